@@ -7,8 +7,10 @@ from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessalith.llm import token_files
+from tessalith.llm import mixing, token_files
+from tessalith.llm.oracles import ORACLES
 from tessalith.session import ship_package
 
 
@@ -16,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), F.round("__position", 6).alias("first_position"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from token-id files."""
     docs = table(spark, sf_dir, "documents")
@@ -37,9 +45,9 @@ def shipped(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     f.__name__: shipped(f)
     for f in (
+        op5_mixing,
         op8_token_ids,
     )
 }
 
-#: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
