@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessalith.llm import mixing, token_files
+from tessalith.llm import fertility, mixing, token_files
 from tessalith.llm.oracles import ORACLES
 from tessalith.session import ship_package
 
@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain counts, and the verdict by bands on tokens of public vocabularies."""
+    docs = table(spark, sf_dir, "documents")
+    return fertility.judge(docs, public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -45,6 +51,7 @@ def shipped(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     f.__name__: shipped(f)
     for f in (
+        op3_fertility,
         op5_mixing,
         op8_token_ids,
     )
