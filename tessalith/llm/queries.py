@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessalith.llm import fertility, mixing, token_files
+from tessalith.llm import decontamination, fertility, mixing, token_files
 from tessalith.llm.oracles import ORACLES
 from tessalith.session import ship_package
 
@@ -36,6 +36,11 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "position")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place in a document where a benchmark item stands, with its edit distance."""
+    return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Query] = {
         op3_fertility,
         op5_mixing,
         op8_token_ids,
+        op10_decontamination,
     )
 }
 
