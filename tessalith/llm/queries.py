@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessalith.llm import decontamination, fertility, mixing, token_files
+from tessalith.llm import decontamination, fertility, mixing, quality_model, token_files
 from tessalith.llm.oracles import ORACLES
 from tessalith.session import ship_package
 
@@ -30,6 +30,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), F.round("__position", 6).alias("first_position"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from token-id files."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op3_fertility,
         op5_mixing,
+        op6_quality,
         op8_token_ids,
         op10_decontamination,
     )
