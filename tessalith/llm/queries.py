@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessalith.llm import decontamination, fertility, mixing, quality_model, token_files
+from tessalith.llm import decontamination, fertility, mixing, quality_model, token_files, toxicity
 from tessalith.llm.oracles import ORACLES
 from tessalith.session import ship_package
 
@@ -24,6 +24,11 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(docs, public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: shipped(f)
     for f in (
         op3_fertility,
+        op4_toxicity,
         op5_mixing,
         op6_quality,
         op8_token_ids,
