@@ -8,7 +8,7 @@ Arrow buffers; no Python object is made per word.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,25 @@ class Text:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    @cached_property
+    def plain_sums(self) -> np.ndarray:
+        return self._sums(_IDENTITY)
+
+    @cached_property
+    def lower_sums(self) -> np.ndarray:
+        return self._sums(_LOWER)
+
+    def _sums(self, table: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(self.data) + 1, U64)
+        np.cumsum((table[self.data].astype(U64) + U64(1)) * powers(len(self.data) + 1)[0][:-1], out=sums[1:])
+        return sums
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+        """64 bits for each span: a polynomial of its bytes, then mixed with its length."""
+        sums = self.lower_sums if lower else self.plain_sums
+        value = (sums[ends] - sums[starts]) * powers(len(self.data) + 1)[1][starts]
+        return mixed(value + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
     def row(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
@@ -95,13 +114,7 @@ class Runs:
         return len(self.starts)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """64 bits for each run: a polynomial of its bytes, then mixed with its length."""
-        data = (_LOWER if lower else _IDENTITY)[self.text.data]
-        up, down = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * up[:-1], out=sums[1:])
-        value = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mixed(value + (self.ends - self.starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return self.text.span_hashes(self.starts, self.ends, lower)
 
 
 _WORDS = (~_SEPARATOR).astype(np.uint8)

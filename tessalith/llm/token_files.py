@@ -32,12 +32,14 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessalith.llm.kernel import U64, Text, slices, words
 from tessalith.llm.storage import new_path, partitions_for
 
 MAGIC = b"TSLIDS01"
@@ -47,14 +49,15 @@ NULL_ID = -(1 << 63)
 END_ID = 0
 #: The dictionary is trained on at most so many documents and bytes of ids of each.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8192, 64 << 10
-#: Distinct words whose ids a worker keeps in one generation.
-CACHE = 500_000
+#: Distinct pieces whose ids a worker keeps (about 40 bytes each), and those in the young array.
+CACHE, YOUNG = 4_000_000, 200_000
+LAST_LATIN = "\u024f"
 #: Bytes of input that become one shard, about.
 SHARD_INPUT = 16 << 20
 #: A shard is closed beyond so many bytes; a range has at most ``ROLLS`` shards.
 SHARD_BYTES, ROLLS = 64 << 20, 1_000_000
-#: Batches of documents, by characters.
-BATCH_CHARS = 4 << 20
+#: Bytes of text that are encoded at once.
+BATCH_BYTES = 2 << 20
 LEVEL = 1
 
 def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -74,15 +77,97 @@ def put(uri: str, data: list[bytes]) -> None:
     fs.move(draft, path)
 
 
+class _Places:
+    """Hashes of pieces and their places in an encoder's table, as sorted arrays: a small young one and a large old one."""
+
+    def __init__(self):
+        self.levels = [(np.zeros(0, U64), np.zeros(0, np.int64))] * 2
+
+    def __len__(self) -> int:
+        return sum(len(k) for k, _ in self.levels)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, place in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                out = np.where(known[at] == keys, place[at], out)
+        return out
+
+    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
+        young, old = self.levels
+        young = self._merged(young, (keys, places))
+        self.levels = [(np.zeros(0, U64), np.zeros(0, np.int64)), self._merged(old, young)] if len(young[0]) > YOUNG else [young, old]
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order]
+
+
+class _Growing:
+    """An array with room at its end."""
+
+    def __init__(self, kind: str):
+        self.room, self.n = np.zeros(1 << 16, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            self.room = np.concatenate([self.room, np.zeros(max(len(self.room) // 2, len(values)), self.room.dtype)])
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The visible character that stands for each byte in byte-level vocabularies: itself, or the next free one from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in visible else next(hidden)) for b in range(256)}
+
+
+#: What stands before a word: nothing, a space, a newline.
+_BEFORE = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], U64)
+_ODD = np.zeros(256, bool)
+_ODD[[0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20)]] = True
+# The white space past ASCII, as UTF-8.
+_WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def irregular(text: Text) -> np.ndarray:
+    """Rows with white space other than single spaces and newlines between visible characters."""
+    data, n = text.data, len(text.data)
+    bad = _ODD[data]
+    space = (data == 0x20) | (data == 0x0A)
+    bad[1:] |= space[1:] & space[:-1]
+    edges = np.concatenate([text.offsets[:-1], text.offsets[1:] - 1])[np.tile(np.diff(text.offsets) > 0, 2)]
+    bad[edges[space[edges]]] = True
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(lead):
+        following = [data[np.minimum(lead + k, n - 1)] for k in (0, 1, 2)]
+        for code in _WIDE_SPACES:
+            same = np.logical_and.reduce([following[k] == c for k, c in enumerate(code)])
+            bad[lead[same]] = True
+    out = np.zeros(len(text), bool)
+    out[np.searchsorted(text.offsets, np.flatnonzero(bad), "right") - 1] = True
+    return out
+
+
 class Encoder:
     """Ids of texts by a tokenizers file, word by word.
 
     A byte-level vocabulary cuts a text before every single space or newline
     that stands between two visible characters, whatever surrounds them; so
-    there the ids of a text are those of its pieces, one after another.  Words
-    repeat much more than texts, and the ids of a piece are kept as bytes, in
-    two generations of which the older is dropped when the younger is full.  A
-    text with any other white space is encoded in one go.
+    there the ids of a text are those of its pieces (a word and what stands
+    before it), one after another.  Pieces repeat much more than texts: each is
+    encoded once, its ids stay in a table under its 64-bit hash, and the ids of
+    whole batches are gathered from there.  A text with any other white space
+    is encoded in one go.
     """
 
     def __init__(self, path: str):
@@ -91,68 +176,94 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    @staticmethod
-    def regular(text: str) -> bool:
-        """Whether all white space of ``text`` is single spaces and newlines between visible characters."""
-        parts, breaks = text.split(), text.count(" ") + text.count("\n")
-        return len(parts) == breaks + 1 and sum(map(len, parts)) + breaks == len(text)
-
-    def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers, without an end id."""
-        cut = [t.replace("\n", " \n").split(" ") if self.regular(t) else None for t in texts]
-        heads = dict.fromkeys(parts[0] for parts in cut if parts)
-        for parts in cut:
-            if parts:
-                parts[0] = ""
-        young, old = self.young, self.old
-        young[""] = b""
-        needed = set(itertools.chain.from_iterable(parts for parts in cut if parts)) - young.keys()
-        new = [p for p in needed if p not in old]
-        for p in needed:
-            if p in old:
-                young[p] = old[p]
-        for p, ids in zip(new, self.direct([p if p[0] == "\n" else f" {p}" for p in new]), strict=True):
-            young[p] = ids
-        heads = dict(zip(heads, self.direct(list(heads)), strict=True))
-        get = young.__getitem__
-        out = []
-        for t, parts in zip(texts, cut, strict=True):
-            if parts:
-                out.append(heads[t.split(None, 1)[0]] + b"".join(map(get, parts)))
+        self.alphabet = byte_alphabet()
+        dot, comma, self.newline = self.direct([".", ",", "\n"])
+        self.marks = {".": dot, ",": comma}
+        self.forget()
+
+    def forget(self) -> None:
+        self.places, self.flat, self.bounds = _Places(), _Growing("<u4"), _Growing("<i8")
+        self.bounds.extend(np.zeros(1, np.int64))
+
+    def direct(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def piece_ids(self, pieces: list[tuple[int, str]]) -> list[list[int]]:
+        """Ids of words behind nothing (0), a space (1) or a newline (2).
+
+        A word of letters, with a space before it or not, goes to the model in
+        one piece; so the model is asked at once.  Letters past Latin go
+        through the whole tokenizer, whose Unicode tables may be other than
+        Python's.
+        """
+        out: list = [None] * len(pieces)
+        rest, model, alphabet = [], self.tokenizer.model, self.alphabet
+        for k, (before, word) in enumerate(pieces):
+            if word.isalpha() and (word.isascii() or max(word) <= LAST_LATIN):
+                plain = word if word.isascii() else word.encode().decode("latin-1").translate(alphabet)
+                ids = [t.id for t in model.tokenize(alphabet[32] + plain if before == 1 else plain)]
+                out[k] = self.newline + ids if before == 2 else ids
             else:
-                out.append(self.direct([t])[0] if t else b"")
-        if len(young) > CACHE:
-            self.young, self.old = {}, young
+                rest.append(k)
+        for k, ids in zip(rest, self.direct([("", " ", "\n")[pieces[k][0]] + pieces[k][1] for k in rest]), strict=True):
+            out[k] = ids
         return out
 
+    def learn(self, pieces: list[tuple[int, str]], stems: list[int]) -> None:
+        """Append the ids of new pieces to the table.
+
+        A letter or digit and a full stop or comma behind it are never in one
+        token, so a word that ends so is its stem and the mark; ``stems`` has
+        the place of each piece's stem where that is known from before, or -1.
+        """
+        own: dict[tuple[int, str], list[int] | None] = {}
+        short = [(k, w[:-1]) if w[-1] in ".," and w[-2:-1].isalnum() else (k, w) for k, w in pieces]
+        for stem, place, (_, w) in zip(short, stems, pieces, strict=True):
+            if place >= 0 and len(stem[1]) < len(w) and own.get(stem) is None:
+                own[stem] = self.flat.room[self.bounds.room[place] : self.bounds.room[place + 1]].tolist()
+            own.setdefault(stem)
+        new = [stem for stem, ids in own.items() if ids is None]
+        own.update(zip(new, self.piece_ids(new), strict=True))
+        ids = [own[stem] if len(stem[1]) == len(w) else own[stem] + self.marks[w[-1]] for stem, (_, w) in zip(short, pieces, strict=True)]
+        self.bounds.extend(self.flat.n + np.cumsum(list(map(len, ids)), dtype=np.int64))
+        self.flat.extend(np.fromiter(itertools.chain.from_iterable(ids), "<u4"))
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text as little-endian unsigned 32-bit integers, the end id included."""
+        if len(self.places) > CACHE:
+            self.forget()
+        text = Text(column)
+        runs, odd, end = words(text), irregular(text), np.array([END_ID], "<u4")
+        fine = np.flatnonzero(~odd[runs.row])
+        starts, ends = runs.starts[fine], runs.ends[fine]
+        first = text.offsets[runs.row[fine]] == starts
+        before = np.where(first, 0, np.where(text.data[starts - 1] == 0x20, 1, 2))
+        distinct, at, back = np.unique(text.span_hashes(starts, ends) ^ _BEFORE[before], return_index=True, return_inverse=True)
+        place = self.places.find(distinct)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            a, b, kind = starts[at[new]], ends[at[new]], before[at[new]]
+            marked = ((text.data[b - 1] == 0x2E) | (text.data[b - 1] == 0x2C)) & (b - a > 1)
+            stems = np.where(marked, self.places.find(text.span_hashes(a, b - marked) ^ _BEFORE[kind]), -1)
+            place[new] = self.bounds.n - 1 + np.arange(len(new))
+            self.places.add(distinct[new], place[new])
+            data = text.data.tobytes()
+            self.learn([(k, data[x:y].decode("utf-8", "replace")) for x, y, k in zip(a.tolist(), b.tolist(), kind.tolist(), strict=True)], stems.tolist())
+        bounds = self.bounds.values
+        length = (bounds[place + 1] - bounds[place])[back]
+        total = np.cumsum(length)
+        ids = self.flat.values[np.repeat(bounds[place][back] - (total - length), length) + np.arange(total[-1] if len(total) else 0)]
+        at = np.concatenate([[0], np.cumsum(np.bincount(runs.row[fine], length, len(text)).astype(np.int64))])
+        whole = {k: np.array(i, "<u4") for k, i in zip(np.flatnonzero(odd).tolist(), self.direct([text.row(k).decode("utf-8", "replace") for k in np.flatnonzero(odd)]), strict=True)}
+        return [np.concatenate([whole[k] if k in whole else ids[at[k] : at[k + 1]], end]) for k in range(len(text))]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder a process: Spark reuses a worker for many tasks, and its known words stay."""
+    """One encoder a process: Spark reuses a worker for many tasks, and its known pieces stay."""
     return Encoder(path)
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    for batch in batches:
-        ids, texts, chars = [], [], 0
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            t = t.as_py() or ""
-            ids.append(NULL_ID if i is None else i)
-            texts.append(t)
-            chars += len(t)
-            if chars >= BATCH_CHARS:
-                yield ids, texts
-                ids, texts, chars = [], [], 0
-        if ids:
-            yield ids, texts
-
-
 def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> bytes:
     """A dictionary from the ids of at most ``SAMPLE_DOCUMENTS`` documents, the ones whose id hashes lowest.
 
@@ -160,8 +271,12 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
     the frames get, never what is read back.
     """
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    rows = docs.select(key.alias("k"), F.left(F.coalesce(F.col(text_col), F.lit("")), F.lit(SAMPLE_BYTES)).alias("t")).orderBy("k", "t").limit(SAMPLE_DOCUMENTS).select("t").collect()
-    samples = [x[: SAMPLE_BYTES // 4 * 4] for x in encoder(tokenizer_path).encode([r.t for r in rows]) if x]
+    lowest = docs.select(key.alias("k")).orderBy("k").limit(SAMPLE_DOCUMENTS).agg(F.max("k")).first()[0]
+    if lowest is None:
+        return b""
+    # Rows that share the last key come with it; the limit keeps the bound if they are many.
+    rows = docs.filter(key <= lowest).select(F.left(F.coalesce(F.col(text_col), F.lit("")), F.lit(SAMPLE_BYTES)).alias("t")).limit(SAMPLE_DOCUMENTS).collect()
+    samples = [x.tobytes()[:SAMPLE_BYTES] for x in encoder(tokenizer_path).encode(pa.array(sorted(r.t for r in rows), pa.string())) if len(x) > 1]
     if sum(map(len, samples)) < 8 * 1024 or len(samples) < 16:
         return b""
     try:
@@ -190,10 +305,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
         encode = encoder(tokenizer_path).encode
         extra = {"dict_data": zstandard.ZstdCompressionDict(shared.value)} if shared.value else {}
         press = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, **extra)
-        end = np.array([END_ID], "<u4").tobytes()
-        for ids, texts in _batches(batches):
-            raw = [x + end for x in encode(texts)]
-            ids = np.array(ids, np.int64)
+        for part in (p for b in batches for p, _ in slices(b, "t", BATCH_BYTES)):
+            raw = [x.tobytes() for x in encode(part.column("t"))]
+            ids = pc.fill_null(part.column("i"), NULL_ID).to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.searchsorted(bounds, ids, "right").astype(np.int32)), pa.array(ids), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in raw], pa.int64()), pa.array([press.compress(x) for x in raw], pa.binary())],
                 names=["part", "doc_id", "n_tokens", "tie", "frame"],
