@@ -52,6 +52,28 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, taken,
 FROM z
 """
 
+_JOIN = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
+), d AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), u AS (
+  SELECT doc_id, unnest(s) AS g FROM d
+), n AS (
+  SELECT doc_id, len(s) AS n FROM d
+), c AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)
+), r(v, m) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION
+  SELECT l.y, r.m FROM r JOIN l ON l.x = r.v
+)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.m) AS component_id FROM n JOIN r ON r.v = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_set_join": _JOIN,
     "op5_mixing": _MIX,
 }

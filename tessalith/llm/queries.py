@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessalith.llm import decontamination, fertility, mixing, quality_model, token_files, toxicity
+from tessalith.llm import decontamination, fertility, language_id, mixing, quality_model, set_join, token_files, toxicity
 from tessalith.llm.oracles import ORACLES
 from tessalith.session import ship_package
 
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and its component of links."""
+    return set_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain counts, and the verdict by bands on tokens of public vocabularies."""
     docs = table(spark, sf_dir, "documents")
@@ -40,6 +45,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from token-id files."""
     docs = table(spark, sf_dir, "documents")
@@ -66,10 +76,12 @@ def shipped(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     f.__name__: shipped(f)
     for f in (
+        op1_set_join,
         op3_fertility,
         op4_toxicity,
         op5_mixing,
         op6_quality,
+        op7_language,
         op8_token_ids,
         op10_decontamination,
     )
