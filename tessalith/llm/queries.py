@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessalith.llm import decontamination, fertility, language_id, mixing, quality_model, set_join, token_files, toxicity
+from tessalith.llm import decontamination, fertility, language_id, licenses, mixing, quality_model, set_join, token_files, toxicity
 from tessalith.llm.oracles import ORACLES
 from tessalith.session import ship_package
 
@@ -56,6 +56,11 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "position")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence template that a document holds, with the segment that is most like it."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place in a document where a benchmark item stands, with its edit distance."""
     return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -83,6 +88,7 @@ QUERIES: dict[str, Query] = {
         op6_quality,
         op7_language,
         op8_token_ids,
+        op9_licenses,
         op10_decontamination,
     )
 }
