@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessalith.llm import decontamination, fertility, language_id, licenses, mixing, quality_model, set_join, token_files, toxicity
+from tessalith.llm import decontamination, fertility, language_id, licenses, mixing, paragraphs, quality_model, set_join, token_files, toxicity
 from tessalith.llm.oracles import ORACLES
 from tessalith.session import ship_package
 
@@ -23,6 +23,11 @@ def op1_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of a passage that stands in several documents, and whether it is removed."""
+    return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain counts, and the verdict by bands on tokens of public vocabularies."""
     docs = table(spark, sf_dir, "documents")
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: shipped(f)
     for f in (
         op1_set_join,
+        op2_paragraphs,
         op3_fertility,
         op4_toxicity,
         op5_mixing,

@@ -80,39 +80,87 @@ def _split(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list
 # --- 1. the sieve -----------------------------------------------------------
 
 
-def _chunk_rows(chunk: int, ids: list, sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """A chunk's messages: for each bucket the shingles that one document has (with owners) and those that several have."""
-    n = np.array([len(s) for s in sets], np.int64)
-    keys = np.concatenate([np.zeros(0, U64), *sets])
-    owner = np.repeat(np.arange(len(sets)), n)
+MESSAGE = "chunk long, bucket int, keys binary, owners binary, several binary, about binary"
+
+
+def messages(chunk: int, keys: np.ndarray, owner: np.ndarray, items: int, buckets: int) -> tuple[list[tuple], np.ndarray]:
+    """What a chunk tells each bucket, and how many keys of each item another item of the chunk has too.
+
+    A key that one item has goes with its owner; a key of several items goes
+    once and without owners, who know by themselves that they share it.
+    """
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
     start = np.flatnonzero(first)
     times = np.diff(np.append(start, len(keys)))
-    shared = np.repeat(times > 1, times)
-    local = np.bincount(owner[shared], minlength=len(sets)).astype("<i8")
+    local = np.bincount(owner[np.repeat(times > 1, times)], minlength=items).astype("<i8")
+    single, several = np.repeat(times == 1, times), start[times > 1]
+    bounds = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+    low = np.searchsorted(several, bounds)
     rows = []
-    single, several = ~shared, start[times > 1]
-    bucket = bucket_of(keys, buckets)
-    bounds = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
-        own = slice(bounds[b], bounds[b + 1])
-        mine = single[own]
-        low = np.searchsorted(several, bounds[b]), np.searchsorted(several, bounds[b + 1])
-        rows.append((chunk, b, keys[own][mine].astype("<u4").tobytes(), owner[own][mine].astype("<u4").tobytes(), keys[several[low[0] : low[1]]].astype("<u4").tobytes(), None))
+    for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        mine = single[x:y]
+        rows.append((chunk, b, keys[x:y][mine].astype("<u4").tobytes(), owner[x:y][mine].astype("<u4").tobytes(), keys[several[low[b] : low[b + 1]]].astype("<u4").tobytes(), None))
+    return rows, local
+
+
+def message_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["chunk", "bucket", "keys", "owners", "several", "about"])
+
+
+def _chunk_rows(chunk: int, ids: list, sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    n = np.array([len(s) for s in sets], np.int64)
+    rows, local = messages(chunk, np.concatenate([np.zeros(0, U64), *sets]), np.repeat(np.arange(len(sets)), n), len(sets), buckets)
     about = pa.array([(i, int(k), int(m), set_digest(s)) for i, k, m, s in zip(ids, n, local, sets, strict=True)], _ABOUT)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("about", _ABOUT)])) as out:
         out.write_batch(pa.RecordBatch.from_arrays([about], names=["about"]))
     rows.append((chunk, chunk % buckets, b"", b"", b"", sink.getvalue().to_pybytes()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["chunk", "bucket", "keys", "owners", "several", "about"])
+    return message_batch(rows)
 
 
 _ABOUT = pa.struct([("i", pa.int64()), ("n", pa.int64()), ("local", pa.int64()), ("sig", pa.binary())])
 
 
+def _count_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    chunks, keys, owners, several = [], [], [], []
+    for batch in batches:
+        for chunk, _, k, o, s, about in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if about is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([None], pa.binary()), pa.array([about], pa.binary())], names=["chunk", "shared", "about"])
+            else:
+                chunks.append(chunk)
+                keys.append(np.frombuffer(k, "<u4"))
+                owners.append(np.frombuffer(o, "<u4"))
+                several.append(np.frombuffer(s, "<u4"))
+    if not chunks:
+        return
+    flat = np.concatenate(keys)
+    order = np.argsort(flat, kind="stable")
+    ordered = flat[order]
+    same = np.zeros(len(flat), bool)
+    same[1:] = ordered[1:] == ordered[:-1]
+    same[:-1] |= same[1:]
+    known = np.unique(np.concatenate(several))
+    if len(known):
+        at = np.minimum(np.searchsorted(known, ordered), len(known) - 1)
+        same |= known[at] == ordered
+    shared = np.zeros(len(flat), bool)
+    shared[order] = same
+    at = spans([len(k) for k in keys])
+    for k, chunk in enumerate(chunks):
+        own = owners[k][shared[at[k] : at[k + 1]]]
+        who, times = np.unique(own, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([np.stack([who, times]).astype("<u4").tobytes()], pa.binary()), pa.array([None], pa.binary())], names=["chunk", "shared", "about"])
+
+
+def shared_in(found: DataFrame, buckets: int) -> DataFrame:
+    """Per chunk and bucket the items that share keys with other chunks and how many, and what the chunk said about itself."""
+    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(_count_bucket, "chunk long, shared binary, about binary")
+
+
 def sieve(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(i, n, sig, open): every row's id, set size, digest of its set, and whether enough of it is shared to link."""
     buckets = partitions_for(docs, BUCKET_BYTES)
@@ -131,37 +179,6 @@ def sieve(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFr
         if ids:
             yield _chunk_rows(chunk, ids, sets, buckets)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, keys, owners, several = [], [], [], []
-        for batch in batches:
-            for chunk, _, k, o, s, about in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if about is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([None], pa.binary()), pa.array([about], pa.binary())], names=["chunk", "shared", "about"])
-                else:
-                    chunks.append(chunk)
-                    keys.append(np.frombuffer(k, "<u4"))
-                    owners.append(np.frombuffer(o, "<u4"))
-                    several.append(np.frombuffer(s, "<u4"))
-        if not chunks:
-            return
-        flat = np.concatenate(keys)
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        same = np.zeros(len(flat), bool)
-        same[1:] = ordered[1:] == ordered[:-1]
-        same[:-1] |= same[1:]
-        known = np.unique(np.concatenate(several))
-        if len(known):
-            at = np.minimum(np.searchsorted(known, ordered), len(known) - 1)
-            same |= known[at] == ordered
-        shared = np.zeros(len(flat), bool)
-        shared[order] = same
-        at = spans([len(k) for k in keys])
-        for k, chunk in enumerate(chunks):
-            own = owners[k][shared[at[k] : at[k + 1]]]
-            who, times = np.unique(own, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([np.stack([who, times]).astype("<u4").tobytes()], pa.binary()), pa.array([None], pa.binary())], names=["chunk", "shared", "about"])
-
     def decided(rows: pa.Table) -> pa.Table:
         shared = rows.column("shared").to_pylist()
         about = next(a for a in rows.column("about").to_pylist() if a is not None)
@@ -176,9 +193,7 @@ def sieve(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFr
         n_ = n.to_numpy()
         return pa.table({"i": i, "n": n, "sig": sig, "open": pa.array((n_ > 0) & (100 * total >= percent * n_))})
 
-    messages = docs.mapInArrow(sent, "chunk long, bucket int, keys binary, owners binary, several binary, about binary")
-    answers = messages.repartitionById(buckets, F.col("bucket")).mapInArrow(counted, "chunk long, shared binary, about binary")
-    return answers.groupBy("chunk").applyInArrow(decided, "i long, n long, sig binary, open boolean")
+    return shared_in(docs.mapInArrow(sent, MESSAGE), buckets).groupBy("chunk").applyInArrow(decided, "i long, n long, sig binary, open boolean")
 
 
 # --- 3. the index -----------------------------------------------------------
@@ -375,10 +390,17 @@ def _block_edges(rows: pa.Table, percent: int) -> pa.Table:
 
 def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(v, c): for every set of (rep, set) that links with another the smallest rep of its component."""
-    spark = sets.sparkSession
     counted = written(with_counts(sets), "counted")
     found = written(prefixes(counted, percent), "prefixes")
     lists = found.select("rep", "n", "central", F.explode("entries").alias("e")).select("rep", "n", "central", "e.token", "e.place")
+    out = components_of_lists(lists, counted, percent)
+    removed(sets.sparkSession, counted, found)
+    return out
+
+
+def components_of_lists(lists: DataFrame, counted: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The same from any index: (token, rep, n, central, place) has a common token for every two sets that may link."""
+    spark = lists.sparkSession
     leaders = lists.groupBy("token").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("leader"), F.max("central").alias("lead"), F.count("*").alias("members")).filter("members > 1").drop("members")
     lists = written(lists.join(leaders, "token"), "lists")
     homes = lists.groupBy("rep").agg(F.max("n").alias("n"), F.max("central").alias("central"), F.max_by("leader", F.struct("lead", -F.col("leader"))).alias("home"))
@@ -415,7 +437,7 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         outer = members.unionByName(calls).join(own, "rep").groupBy("block", "slot").applyInArrow(lambda t: _block_edges(t, percent), "a long, b long")
         outer = written(outer, "outer")
     out = components(inner if outer is None else inner.unionByName(outer))
-    removed(spark, counted, found, lists, placed, known, visits, inner, first, *([outer] if outer is not None else []))
+    removed(spark, lists, placed, known, visits, inner, first, *([outer] if outer is not None else []))
     return out
 
 
