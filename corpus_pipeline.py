@@ -1,12 +1,91 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages, each on all that the one before kept.
+
+1. The quality classifier scores every document; rejected ones go.
+2. The n-gram Jaccard join forms groups of near copies; of each group the
+   document with the smallest id stays.
+3. Documents in which a benchmark item stands go.
+4. Sources are mixed to their target weights: a document comes out once for
+   every copy that the mix takes (none to three), in training order; at most
+   one copy of a source is cut, after a whole word.
+5. The copies are encoded into token-id files; the rows read back from these
+   say where each one is.
+
+Every function takes (spark, docs, sf_dir).  All but the last return the
+columns of ``docs``.  Rows with a null or repeated id, null or empty text are
+handled as the operators say; equal rows with one id count as copies in 2.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessalith.llm import decontamination, mixing, quality_model, set_join, token_files
+from tessalith.llm.storage import written
+from tessalith.session import ship_package
+
+QUALITY = 0.5
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` whose id is not in ``ids`` (one long column, written before); a small list goes to all workers, a large one is shuffled."""
+    ids = ids.toDF("__out").filter("__out is not null").distinct()
+    few = ids.limit(set_join.BROADCAST_ROWS + 1).count() <= set_join.BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == F.col("__out"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    model = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_model.score(docs, model, keep=docs.columns, name="__score")
+    return scored.filter(F.col("__score") >= QUALITY).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    groups = written(set_join.near_duplicates(docs), "groups")
+    kept = without(docs, groups.filter("component_id != doc_id").select("doc_id"))
+    again = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    if again.isEmpty():
+        return kept
+    again = written(again, "again")
+    copies = kept.join(again.toDF("__again"), kept["doc_id"] == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(kept, again).unionByName(copies)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    found = decontamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, written(found.select("doc_id").distinct(), "contaminated"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    rows = mixing.curriculum(docs).select(*docs.columns)
+    return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", token_ids),
+]
 
-STAGES: list = []
+#: A trained classifier and a tokenizer are not SQL; tests/llm/test_pipeline.py holds ``run`` against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessalith.llm.kernel import Text, slices, word_and_symbol_runs
 from tessalith.llm.learning import Adam, fold, labelled_sample, sigmoid, temperature
@@ -172,21 +173,23 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     return vectors, Network(x, np.array([r.y for r in rows], np.int64))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (by default the id) with ``score``, for all documents."""
+def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The kept columns (by default the id) and the score under ``name``, for all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = keep or [id_col]
-    own = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(columns)], docs[text_col].cast("string").alias("t"))
+    columns = list(keep or [id_col])
+    read = columns if text_col in columns else [*columns, text_col]
+    own = docs.select(*[(docs[c].cast("string") if c == text_col else docs[c]).alias(f"c{k}") for k, c in enumerate(read)])
+    place = read.index(text_col)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = shared.value
         for batch in batches:
-            for part, text in slices(batch, "t"):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(network.scores(pooled(text, vectors)), pa.float64())], names=[*part.schema.names[:-1], "score"])
+            for part, text in slices(batch, f"c{place}"):
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(network.scores(pooled(text, vectors)), pa.float64())], names=[*part.schema.names[: len(columns)], "score"])
 
-    schema = ", ".join([*(f"c{k} {own.schema[k].dataType.simpleString()}" for k in range(len(columns))), "score double"])
+    schema = StructType([*own.schema.fields[: len(columns)], StructField("score", DoubleType())])
     out = own.mapInArrow(scored, schema)
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)], "score")
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)], F.col("score").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
