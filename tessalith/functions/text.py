@@ -7,8 +7,10 @@ stops and is what drug names and the index of a negation cue are found by.
 
 from __future__ import annotations
 
+import difflib
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -170,10 +172,6 @@ def mark_diff(reference: Column, hypothesis: Column) -> Column:
     The matching is recursive and has no counterpart among the built-in
     functions, so it is the one text function that runs in Python.
     """
-    import difflib
-
-    import pandas as pd
-
     def starred(tokens: list[str], kept: set[int]) -> str:
         return " ".join(t if k in kept else f"*{t}*" for k, t in enumerate(tokens))
 

@@ -25,7 +25,7 @@ def speech_rate_reason(transcript: Column, seconds: Column, low: Column, high: C
     """Why the transcript does not fit the duration; null if it does."""
     n = F.size(words(F.coalesce(transcript, F.lit(""))))
     rate = F.try_divide(n.cast("double"), seconds)
-    text = F.format_string("%.2f words per second (%d words in %.1fs), outside %.2f to %.2f", rate, n, seconds, low, high)
+    text = F.format_string("%.2f words per second (%d words in %.1fs), outside %.2f to %.2f", F.bround(rate, 2), n, F.bround(seconds, 1), F.bround(low, 2), F.bround(high, 2))  # halves to even, as elsewhere
     return F.when(F.coalesce(seconds, F.lit(0.0)) <= 0, F.lit("zero duration, cannot compute a speech rate")).when(~rate.between(low, high), text)
 
 
@@ -36,7 +36,7 @@ def duration_reason(actual: Column, expected: Column) -> Column:
 
 
 def silence_reason(rms: Column) -> Column:
-    return F.when(rms.isNull(), F.lit("missing audio file")).when(F.isnan(rms), F.lit("silent: empty file")).when(rms < SILENCE, F.format_string("silent: RMS %.6f below %s", rms, F.lit(str(SILENCE))))
+    return F.when(rms.isNull(), F.lit("missing audio file")).when(rms < SILENCE, F.format_string("silent: RMS %.6f below %s", rms, F.lit(str(SILENCE))))
 
 
 def spot_check_sample(manifest: DataFrame, n: int = SPOT_CHECKS) -> DataFrame:

@@ -258,5 +258,5 @@ SELECT rule, subject, round(found::DOUBLE, 9) AS found, wanted::DOUBLE AS wanted
     "cache_gates": f"WITH {CACHE} SELECT provider, count(*) AS answers, 1::BIGINT AS models, count_if(strlen(hypothesis) <> length(hypothesis)) AS non_ascii FROM cache GROUP BY provider",
     "clips_per_speaker": f"WITH {CLIPS_SQL} SELECT clips, count(*) AS speakers FROM (SELECT speaker_id, count(*) AS clips FROM clips GROUP BY speaker_id) GROUP BY clips",
     "member_key_join": "WITH k AS (SELECT page_id, CASE WHEN ends_with(ltrim(trim(url), '/'), '.wav') THEN ltrim(trim(url), '/') ELSE concat(ltrim(trim(url), '/'), '.wav') END AS u FROM pages), p AS (SELECT page_id, array_to_string(list_slice(string_split(u, '/'), -2, -1), '/') AS key FROM k) SELECT key, (count(*) * count(*))::BIGINT AS pairs, min(page_id) AS first_page FROM p GROUP BY key",
-    "secret_scan": f"SELECT doc_id, source FROM documents WHERE regexp_matches(text, '{SECRET}')",
+    "secret_scan": f"SELECT doc_id, source FROM documents WHERE regexp_matches(text, '{SECRET.replace(chr(39), chr(39) * 2)}')",
 }

@@ -54,7 +54,7 @@ def wav_bytes(samples: np.ndarray, rate: int = RATE) -> bytes:
 
 
 def measure(files: DataFrame) -> DataFrame:
-    """(clip_id, seconds, rms, error) of files (path, content); an empty file has the RMS NaN, an unreadable one an error."""
+    """(clip_id, seconds, rms, error) of files (path, content); an empty file is silent, an unreadable one has an error."""
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -63,7 +63,7 @@ def measure(files: DataFrame) -> DataFrame:
                 clip = path.rsplit("/", 1)[-1].removesuffix(".wav")
                 try:
                     samples, rate = samples_of(bytes(content))
-                    rows.append((clip, len(samples) / rate, float(np.sqrt(np.mean(samples**2))) if samples.size else float("nan"), None))
+                    rows.append((clip, len(samples) / rate, float(np.sqrt(np.mean(samples**2))) if samples.size else 0.0, None))
                 except (wave.Error, EOFError, ValueError) as e:
                     rows.append((clip, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["clip_id", "seconds", "rms", "error"])

@@ -51,9 +51,9 @@ def choose_split(read: Callable[[str], DataFrame], splits: tuple[str, ...] = SPL
 
 def read_cache(spark: SparkSession, root: str) -> DataFrame:
     """Every answer under ``root/<provider>/<clip>.json``; folders that begin with an underscore are not read."""
-    if not exists(spark, f"{root}/*/*.json"):
+    if not exists(spark, f"{root}/[^_]*/*.json"):
         return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE).json(f"{root}/*/*.json", multiLine=True)
+    return spark.read.schema(CACHE).json(f"{root}/[^_]*/*.json", multiLine=True)
 
 
 def cached_path(root: str, provider: str, clip_id: str) -> str:

@@ -16,7 +16,7 @@ from tessalith.schemas import CACHE
 
 def stream_cache(spark: SparkSession, root: str, files_at_once: int = 1000) -> DataFrame:
     """New answers under ``root/<provider>/`` as they appear."""
-    return spark.readStream.schema(CACHE).option("maxFilesPerTrigger", files_at_once).option("multiLine", True).json(f"{root}/*")
+    return spark.readStream.schema(CACHE).option("maxFilesPerTrigger", files_at_once).option("multiLine", True).json(f"{root}/[^_]*")
 
 
 def score_stream(answers: DataFrame, manifest: DataFrame, lexicon: DataFrame, write: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
