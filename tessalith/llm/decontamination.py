@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessalith.llm.kernel import U64, Runs, mixed, slices, word_and_symbol_runs
+from tessalith.llm.kernel import U64, Runs, frugal, mixed, slices, word_and_symbol_runs
 
 #: Words in a block: the window that is embedded.
 BLOCK = 12
@@ -244,7 +244,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     schema = "doc_id long, item_id long, start_word long, end_word long, edits long"
     out = None
     for k in range(blocks):
-        part = own.mapInArrow(_finder(spark, items.filter(block == k).toArrow(), max_rate), schema)
+        part = own.mapInArrow(frugal(_finder(spark, items.filter(block == k).toArrow(), max_rate)), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 

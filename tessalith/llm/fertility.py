@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessalith.llm.kernel import U64, Runs, Text, mixed, slices, windows, words
+from tessalith.llm.kernel import U64, Runs, Text, frugal, mixed, slices, windows, words
 
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
 #: Distinct words whose tokens a worker keeps.
@@ -236,7 +236,7 @@ def judge(docs: DataFrame, piece_path: str, multi_path: str, id_col: str = "doc_
 
     language = docs[lang_col].cast("string") if lang_col else F.lit(None).cast("string")
     own = docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t"), language.alias("l"))
-    return own.mapInArrow(judged, f"`{id_col}` {own.schema['i'].dataType.simpleString()}, {SCHEMA}")
+    return own.mapInArrow(frugal(judged), f"`{id_col}` {own.schema['i'].dataType.simpleString()}, {SCHEMA}")
 
 
 def measures_count(text: Text, runs: Runs, hashes: np.ndarray, own: Vocabulary) -> np.ndarray:

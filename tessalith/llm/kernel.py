@@ -8,7 +8,7 @@ Arrow buffers; no Python object is made per word.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property, lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +170,30 @@ def set_digest(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(np.ascontiguousarray(values).tobytes())
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(task):
+    """A batch function whose worker gives its memory back at the end: Spark keeps workers for later tasks of any kind."""
+
+    @wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Text]]:
     """Parts of a batch whose texts are about ``limit`` bytes together; a longer text is alone."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

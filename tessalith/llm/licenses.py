@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tessalith.llm.decontamination import normal_words, pairs
-from tessalith.llm.kernel import U64, Runs, Text, slices
+from tessalith.llm.kernel import U64, Runs, Text, frugal, slices
 
 LEAST = 0.8
 
@@ -168,6 +168,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
                     names = [known.names[t] for t in found[:, 1]]
                     yield pa.RecordBatch.from_arrays([ids, pa.array([n for n, _ in names]), pa.array([k for _, k in names], pa.int64()), pa.array(found[:, 2] / 1e6), pa.array(found[:, 3]), pa.array(found[:, 4])], names=["doc_id", "license", "template", "dice", "begin", "end"])
 
-    return own.mapInArrow(scanned, "doc_id long, license string, template long, dice double, begin long, end long")
+    return own.mapInArrow(frugal(scanned), "doc_id long, license string, template long, dice double, begin long, end long")
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tessalith.llm.kernel import Text, slices, words
+from tessalith.llm.kernel import Text, frugal, slices, words
 from tessalith.llm.storage import removed, written
 
 WEIGHTS = (5, 2, 1)
@@ -60,7 +60,7 @@ def with_sizes(docs: DataFrame, text_col: str = "text", name: str = "__size") ->
             for part, text in slices(batch, text_col):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words(text).counts.astype(np.int64))], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(counted, schema)
+    return docs.mapInArrow(frugal(counted), schema)
 
 
 def plan_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:

@@ -44,12 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessalith.llm.components import components
-from tessalith.llm.kernel import U64, set_digest, shingle_sets, slices, words
+from tessalith.llm.kernel import U64, frugal, set_digest, shingle_sets, slices, words
 from tessalith.llm.storage import partitions_for, removed, written
 
 WIDTH, PERCENT = 5, 75
 #: Shingles that a task counts before it sends them on.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Input bytes for each bucket of the counting steps.
 BUCKET_BYTES = 12 << 20
 #: Sets and shingles in a block, about; columns of a difference matrix at once.
@@ -158,7 +158,7 @@ def _count_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def shared_in(found: DataFrame, buckets: int) -> DataFrame:
     """Per chunk and bucket the items that share keys with other chunks and how many, and what the chunk said about itself."""
-    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(_count_bucket, "chunk long, shared binary, about binary")
+    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(frugal(_count_bucket), "chunk long, shared binary, about binary")
 
 
 def sieve(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -193,7 +193,7 @@ def sieve(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFr
         n_ = n.to_numpy()
         return pa.table({"i": i, "n": n, "sig": sig, "open": pa.array((n_ > 0) & (100 * total >= percent * n_))})
 
-    return shared_in(docs.mapInArrow(sent, MESSAGE), buckets).groupBy("chunk").applyInArrow(decided, "i long, n long, sig binary, open boolean")
+    return shared_in(docs.mapInArrow(frugal(sent), MESSAGE), buckets).groupBy("chunk").applyInArrow(decided, "i long, n long, sig binary, open boolean")
 
 
 # --- 3. the index -----------------------------------------------------------
@@ -266,8 +266,8 @@ def with_counts(sets: DataFrame) -> DataFrame:
             out.append(found.tobytes())
         return pa.table({"rep": pa.array(reps, pa.int64()), "set": pa.array(sets, pa.binary()), "df": pa.array(out, pa.binary())})
 
-    messages = sets.select("rep", "set").mapInArrow(sent, "chunk long, bucket int, keys binary, times binary, rep long, set binary")
-    answers = messages.repartitionById(buckets, F.col("bucket")).mapInArrow(counted, "chunk long, keys binary, df binary, rep long, set binary")
+    messages = sets.select("rep", "set").mapInArrow(frugal(sent), "chunk long, bucket int, keys binary, times binary, rep long, set binary")
+    answers = messages.repartitionById(buckets, F.col("bucket")).mapInArrow(frugal(counted), "chunk long, keys binary, df binary, rep long, set binary")
     return answers.groupBy("chunk").applyInArrow(joined, "rep long, set binary, df binary")
 
 
@@ -288,7 +288,7 @@ def prefixes(counted: DataFrame, percent: int = PERCENT) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["rep", "n", "central", "token", "place"])
 
-    found = counted.mapInArrow(cut, "rep long, n long, central double, token array<long>, place array<long>")
+    found = counted.mapInArrow(frugal(cut), "rep long, n long, central double, token array<long>, place array<long>")
     return found.select("rep", "n", "central", F.arrays_zip("token", "place").alias("entries"))
 
 
@@ -448,7 +448,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written(rows.filter("open").groupBy("sig").agg(F.min("i").alias("rep")), "reps")
     wanted = reps.filter("rep is not null").select(F.col("rep").alias("i"), "sig")
     wanted = F.broadcast(wanted) if reps.count() <= BROADCAST_ROWS else wanted
-    sets = written(own.join(wanted, "i").mapInArrow(lambda b: _set_rows(b, width), "rep long, sig binary, set binary").dropDuplicates(["sig"]), "sets")
+    sets = written(own.join(wanted, "i").mapInArrow(frugal(lambda b: _set_rows(b, width)), "rep long, sig binary, set binary").dropDuplicates(["sig"]), "sets")
     # One id may stand for several sets if it is repeated with other texts; those sets then count as linked by it.
     parts = link_components(sets.select("rep", "set"), percent)
     named = reps.join(parts, reps.rep == parts.v, "left").select("sig", F.coalesce("c", "rep").alias("c"))
