@@ -9,8 +9,10 @@
    least number of bands of ``ROWS`` MinHash values that reaches ``RECALL`` at
    the similarity ``PERCENT``.  Band keys are counted as in the set join's
    sieve; a paragraph that shares no key is done.
-3. *Verification.*  Equal paragraphs are one set.  Colliding sets are joined in
-   blocks and verified by exact Jaccard (see ``set_join``).
+3. *Verification.*  Equal paragraphs are one set.  The paragraphs that collide
+   with any other are joined with each other and verified by exact Jaccard;
+   their prefixes say which of them can reach the similarity at all, so a
+   popular key costs no pairs (see ``set_join``).
 4. *Removal.*  Components of the verified links are clusters.  The first
    occurrence (by document, then place) stays, the others are marked removed.
    A mark counts if the cluster stands in two documents and the marked
@@ -34,15 +36,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessalith.llm import set_join
-from tessalith.llm.kernel import U64, Runs, mixed, slices, windows, words
+from tessalith.llm.kernel import U64, Runs, frugal, mixed, slices, windows, words
 from tessalith.llm.storage import partitions_for, removed, written
 
-REACH, WIDTH, LEAST_WORDS = 4, 5, 25
+REACH, WIDTH, LEAST_WORDS = 5, 5, 16
 PERCENT, ROWS, RECALL = 75, 2, 0.99
 #: Band keys that a task counts before it sends them on.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Marked paragraphs up to which they (16 bytes each) are sent to all workers to pick the texts; beyond, the texts are shuffled.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 100_000
+#: Digests that a task remembers to have sent the set for.
+SEEN = 1_000_000
 _ODD = [int(x) | 1 for x in np.random.default_rng(77).integers(1, 2**63, 64)]
 
 
@@ -136,31 +140,32 @@ def suspects(docs: DataFrame) -> DataFrame:
                 total[who] += times
         return pa.table({"i": ids[total > 0], "number": numbers[total > 0]})
 
-    found = set_join.shared_in(docs.mapInArrow(sent, set_join.MESSAGE), buckets)
+    found = set_join.shared_in(docs.mapInArrow(frugal(sent), set_join.MESSAGE), buckets)
     return found.groupBy("chunk").applyInArrow(decided, "i long, number long").distinct()
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted paragraphs of the texts, with set, digest and band keys."""
+    """The wanted paragraphs of the texts with their set's digest; the set itself once for each digest of a task."""
+    seen: set[int] = set()
     for batch in batches:
         for part, text in slices(batch, "t"):
             runs = words(text)
             found = Paragraphs(runs)
             ids, wanted = part.column("i").to_pylist(), [set(w) for w in part.column("numbers").to_pylist()]
-            chosen = [k for k, (row, number) in enumerate(zip(found.row.tolist(), found.number.tolist(), strict=True)) if number in wanted[row]]
-            if not chosen:
-                continue
-            keys = found.keys()
             rows = []
-            for k in chosen:
-                row, own = int(found.row[k]), found.set_of(k)
-                sig = int.from_bytes(set_join.set_digest(own)[:8], "little", signed=True)
-                rows.append((ids[row], int(found.number[k]), int(found.begin[k] - runs.first[row]), int(found.end[k] - found.begin[k]), sig, len(own), own.astype("<u8").tobytes(), keys[k].view(np.int64).tolist()))
-            types = (*[pa.int64()] * 6, pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["i", "number", "begin", "n_words", "sig", "n", "set", "keys"])
+            for k, (row, number) in enumerate(zip(found.row.tolist(), found.number.tolist(), strict=True)):
+                if number in wanted[row]:
+                    own = found.set_of(k)
+                    sig = int.from_bytes(set_join.set_digest(own)[:8], "little", signed=True)
+                    rows.append((ids[row], number, int(found.begin[k] - runs.first[row]), int(found.end[k] - found.begin[k]), sig, None if sig in seen else own.astype("<u8").tobytes()))
+                    seen.add(sig)
+            if len(seen) > SEEN:
+                seen.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 5, pa.binary()), strict=True)], names=["i", "number", "begin", "n_words", "sig", "set"])
 
 
-PICKED = "i long, number long, begin long, n_words long, sig long, n long, set binary, keys array<long>"
+PICKED = "i long, number long, begin long, n_words long, sig long, set binary"
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -168,16 +173,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("t")).filter("i is not null")
     marked = written(suspects(own), "suspects")
+    repeated = not own.groupBy("i").count().filter("count > 1").isEmpty()  # then equal rows give equal paragraphs
     wanted = marked.groupBy("i").agg(F.collect_list("number").alias("numbers"))  # one text's paragraphs at most
     wanted = F.broadcast(wanted) if marked.count() <= BROADCAST_ROWS else wanted
-    picked = written(own.join(wanted, "i").mapInArrow(_picked, PICKED).dropDuplicates(["i", "number", "begin", "sig"]), "paragraphs")
-    sets = picked.groupBy("sig").agg(F.first("n").alias("n"), F.first("set").alias("set"), F.first("keys").alias("keys"), F.count("*").alias("times"))
-    sets = written(sets.withColumnRenamed("sig", "rep"), "sets")
-    lists = sets.select("rep", "n", F.log2("times").alias("central"), F.lit(0).cast("long").alias("place"), F.explode("keys").alias("token"))
-    parts = set_join.components_of_lists(lists, sets.select("rep", "set"), percent)
+    picked = written(own.join(wanted, "i").mapInArrow(frugal(_picked), PICKED), "paragraphs")
+    sets = written(picked.filter("set is not null").select(F.col("sig").alias("rep"), "set").dropDuplicates(["rep"]), "sets")
+    parts = set_join.link_components(sets, percent)
     place = F.struct("i", "number")
     clusters = picked.join(parts, picked.sig == parts.v, "left").withColumn("cluster", F.coalesce("c", "sig"))
-    clusters = written(clusters.select("i", "number", "begin", "n_words", "cluster"), "clusters")
+    clusters = clusters.select("i", "number", "begin", "n_words", "cluster")
+    clusters = written(clusters.distinct() if repeated else clusters, "clusters")
+    removed(spark, marked, sets, picked)
     across = clusters.groupBy("cluster").agg(F.min(place).alias("first"), F.max("i").alias("last")).filter("first.i < last")
     rows = clusters.join(across, "cluster")
     # Marked paragraphs that follow each other form a passage.
@@ -186,5 +192,4 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("long", F.sum("n_words").over(Window.partitionBy("i", "passage"))).filter(F.col("long") >= least_words)
     out = rows.select(F.col("i").alias(id_col), F.col("number").alias("paragraph"), F.col("begin").alias("begin_word"), "n_words", F.col("first.i").alias("first_doc_id"), F.col("first.number").alias("first_paragraph"), ((F.col("i") != F.col("first.i")) | (F.col("number") != F.col("first.number"))).alias("removed"))
-    removed(spark, marked, sets, picked)
     return out
