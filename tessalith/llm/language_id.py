@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessalith.llm.kernel import Text, slices
-from tessalith.llm.learning import Adam, fold
+from tessalith.llm.kernel import Text, frugal, slices
+from tessalith.llm.learning import Adam, fold, place, share_for
 
 SPAN, WIDTH = 48, 8
 DOCUMENTS, SEGMENTS = 1200, 3
@@ -179,8 +179,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, do
     counts = own.groupBy("l").count().collect()  # a row for each language
     share = F.lit(0.0)
     for r in counts:
-        share = F.when(F.col("l") == r.l, F.lit(1.3 * documents / r["count"] + 30 / r["count"])).otherwise(share)
-    place = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        share = F.when(F.col("l") == r.l, F.lit(share_for(documents, r["count"]))).otherwise(share)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,8 +192,9 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, do
                     out.append((lang, p, data[chosen].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.binary()), strict=True)], names=["l", "p", "x"])
 
-    sampled = own.withColumn("p", place).filter(F.col("p") < share).select("l", "p", "t")
-    rows = sorted(map(tuple, sampled.mapInArrow(cut, "l string, p double, x binary").collect()))  # about 1.3 * documents small rows a language
+    sampled = own.withColumn("p", place("i", "t")).filter(F.col("p") < share).select("l", "p", "t")
+    most = 4 * documents * max(1, len(counts))  # bites only where one document has very many copies
+    rows = sorted(map(tuple, sampled.limit(most).mapInArrow(frugal(cut), "l string, p double, x binary").collect()))  # little more than ``documents`` small rows a language
     taken: dict[str, int] = {}
     out = []
     for lang, _, x in rows:
@@ -235,7 +235,7 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col:
                 score = np.where(some, np.clip(mean[np.arange(len(text)), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column("i"), pa.array([names[b] if s else NONE for b, s in zip(best, some, strict=True)], pa.string()), pa.array(score, pa.float64())], names=["i", "lang_pred", "score"])
 
-    out = own.mapInArrow(labelled, f"i {own.schema['i'].dataType.simpleString()}, lang_pred string, score double")
+    out = own.mapInArrow(frugal(labelled), f"i {own.schema['i'].dataType.simpleString()}, lang_pred string, score double")
     return out.select(F.col("i").alias(id_col), "lang_pred", "score")
 
 

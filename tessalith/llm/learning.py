@@ -13,17 +13,34 @@ def fold(id_col: Column, folds: int, out: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == out
 
 
+#: Hash places of rows: a row's place is the same on every run and partitioning.
+PLACES = 1 << 30
+
+
+def place(*columns: str) -> Column:
+    """A number from 0 to 1 by a hash of the columns, from which bounded samples are drawn in order."""
+    return F.pmod(F.xxhash64(*columns), F.lit(PLACES)) / F.lit(float(PLACES))
+
+
+def share_for(wanted: int, rows: int) -> float:
+    """The share of places that surely holds ``wanted`` of ``rows`` rows: the mean and eight deviations more."""
+    return 1.0 if rows <= wanted else min(1.0, (wanted + 8 * wanted**0.5 + 64) / rows)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, sizes: dict[int, int], folds: int = 3, out: int = 1) -> DataFrame:
     """(i, t, y) of at most ``sizes[y]`` labelled rows of each class outside the held-out fold.
 
     Rows are chosen by a hash of the id, so the choice is the same on every
-    run.  The chosen ids are bounded by ``sizes``; therefore they may be
-    broadcast to the documents.
+    run.  Only rows in the share of places that holds enough are sorted, so
+    what reaches one task does not grow with the table.  The chosen ids are
+    bounded by ``sizes``; therefore they may be broadcast to the documents.
     """
     labels = labels.select(labels[id_col].cast("long").alias("i"), labels[label_col].cast("int").alias("y")).filter(~fold(F.col("i"), folds, out))
+    counts = {r.y: r["count"] for r in labels.filter(F.col("y").isin(list(sizes))).groupBy("y").count().collect()}  # a row for each class
     chosen = None
     for y, n in sizes.items():
-        part = labels.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(n)
+        near = labels.filter((F.col("y") == y) & (place("i") < share_for(n, counts.get(y, 0))))
+        part = near.orderBy(place("i"), "i").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
     own = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("t"))
     return own.join(F.broadcast(chosen), "i").select("i", "t", "y")

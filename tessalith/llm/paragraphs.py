@@ -115,7 +115,7 @@ def suspects(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(keys)
             out, local = set_join.messages(chunk, flat.ravel(), np.repeat(np.arange(len(flat)), bands()), len(flat), buckets)
             about = np.stack([np.concatenate(ids), np.concatenate(numbers), local]).astype("<i8").tobytes()
-            return set_join.message_batch([*out, (chunk, chunk % buckets, b"", b"", b"", about)])
+            return set_join.message_batch([*out, (chunk, set_join.home_bucket(chunk, buckets), b"", b"", b"", about)])
 
         for batch in batches:
             for part, text in slices(batch, "t"):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessalith.llm.kernel import Text, slices, word_and_symbol_runs
+from tessalith.llm.kernel import Text, frugal, give_back, slices, word_and_symbol_runs
 from tessalith.llm.learning import Adam, fold, labelled_sample, sigmoid, temperature
 
 BUCKETS, WIDTH, NONZERO, REACH = 1 << 13, 32, 4, 2
@@ -85,7 +85,7 @@ def corpus_contexts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         return pa.table({"block": pa.array([rows.column("block")[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "item": pa.array([8], pa.int32()), "sums": [total.tobytes()]})
 
     schema = "block int, salt int, item int, sums binary"
-    parts = docs.select(docs[text_col].cast("string").alias("t")).mapInArrow(counted, schema)
+    parts = docs.select(docs[text_col].cast("string").alias("t")).mapInArrow(frugal(counted), schema)
     parts = parts.groupBy("block", "salt").applyInArrow(summed, schema).groupBy("block").applyInArrow(summed, schema)
     table = np.zeros((BLOCKS, BUCKETS * WIDTH // BLOCKS), np.int64)
     for row in parts.collect():  # BLOCKS rows of fixed size
@@ -167,10 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             for part, text in slices(batch, "t"):
                 yield pa.RecordBatch.from_arrays([part.column("i"), part.column("y"), pa.array([x.tobytes() for x in pooled(text, shared.value)], pa.binary())], names=["i", "y", "x"])
 
-    rows = labelled_sample(docs, labels, label_col, id_col, text_col, sample or SAMPLE).mapInArrow(features, "i long, y int, x binary").collect()  # sum(SAMPLE) rows of 384 bytes
-    rows.sort(key=lambda r: (r.i, r.x))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float32).reshape(len(rows), 3 * WIDTH)
-    return vectors, Network(x, np.array([r.y for r in rows], np.int64))
+    rows = labelled_sample(docs, labels, label_col, id_col, text_col, sample or SAMPLE).mapInArrow(frugal(features), "i long, y int, x binary").toArrow()  # sum(SAMPLE) rows of 384 bytes
+    rows = rows.sort_by([("i", "ascending"), ("x", "ascending")])
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, 3 * WIDTH)
+    network = Network(x, rows.column("y").to_numpy().astype(np.int64))
+    del rows, x
+    give_back()
+    return vectors, network
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
@@ -188,7 +191,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(network.scores(pooled(text, vectors)), pa.float64())], names=[*part.schema.names[: len(columns)], "score"])
 
     schema = StructType([*own.schema.fields[: len(columns)], StructField("score", DoubleType())])
-    out = own.mapInArrow(scored, schema)
+    out = own.mapInArrow(frugal(scored), schema)
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)], F.col("score").alias(name))
 
 

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessalith.llm.components import components
-from tessalith.llm.kernel import U64, frugal, set_digest, shingle_sets, slices, words
+from tessalith.llm.kernel import U64, frugal, mixed, set_digest, shingle_sets, slices, words
 from tessalith.llm.storage import partitions_for, removed, written
 
 WIDTH, PERCENT = 5, 75
@@ -67,6 +67,11 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
+def home_bucket(chunk: int, buckets: int) -> int:
+    """Where a chunk's words about itself go: spread by a hash, since chunk numbers are multiples."""
+    return int(mixed(np.array([chunk], U64))[0] % U64(buckets))
+
+
 def spans(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)])
 
@@ -117,7 +122,7 @@ def _chunk_rows(chunk: int, ids: list, sets: list[np.ndarray], buckets: int) ->
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("about", _ABOUT)])) as out:
         out.write_batch(pa.RecordBatch.from_arrays([about], names=["about"]))
-    rows.append((chunk, chunk % buckets, b"", b"", b"", sink.getvalue().to_pybytes()))
+    rows.append((chunk, home_bucket(chunk, buckets), b"", b"", b"", sink.getvalue().to_pybytes()))
     return message_batch(rows)
 
 
@@ -223,7 +228,7 @@ def with_counts(sets: DataFrame) -> DataFrame:
                 keys, times = np.unique(np.concatenate(own), return_counts=True)
                 bounds = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
                 rows = [(chunk, b, keys[x:y].tobytes(), times[x:y].astype("<u4").tobytes(), None, None) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
-                rows += [(chunk, chunk % buckets, None, None, r, x) for r, x in zip(part.column("rep").to_pylist(), part.column("set").to_pylist(), strict=True)]
+                rows += [(chunk, home_bucket(chunk, buckets), None, None, r, x) for r, x in zip(part.column("rep").to_pylist(), part.column("set").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["chunk", "bucket", "keys", "times", "rep", "set"])
                 chunk += 1
 

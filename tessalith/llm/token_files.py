@@ -39,7 +39,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessalith.llm.kernel import U64, Text, slices, words
+from tessalith.llm.kernel import U64, Text, frugal, give_back, slices, words
+from tessalith.llm.learning import place, share_for
 from tessalith.llm.storage import new_path, partitions_for
 
 MAGIC = b"TSLIDS01"
@@ -50,14 +51,14 @@ END_ID = 0
 #: The dictionary is trained on at most so many documents and bytes of ids of each.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8192, 64 << 10
 #: Distinct pieces whose ids a worker keeps (about 40 bytes each), and those in the young array.
-CACHE, YOUNG = 4_000_000, 200_000
+CACHE, YOUNG = 2_000_000, 200_000
 LAST_LATIN = "\u024f"
 #: Bytes of input that become one shard, about.
 SHARD_INPUT = 16 << 20
 #: A shard is closed beyond so many bytes; a range has at most ``ROLLS`` shards.
 SHARD_BYTES, ROLLS = 64 << 20, 1_000_000
 #: Bytes of text that are encoded at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 LEVEL = 1
 
 def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -264,19 +265,25 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    for part, _ in slices(batch, "t", BATCH_BYTES):
+        yield part, part.column("t")
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> bytes:
-    """A dictionary from the ids of at most ``SAMPLE_DOCUMENTS`` documents, the ones whose id hashes lowest.
+    """A dictionary from the ids of at most ``SAMPLE_DOCUMENTS`` documents, the ones that hash lowest.
 
     The sample bounds what the driver holds (16 MB) and only changes how small
     the frames get, never what is read back.
     """
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    lowest = docs.select(key.alias("k")).orderBy("k").limit(SAMPLE_DOCUMENTS).agg(F.max("k")).first()[0]
-    if lowest is None:
-        return b""
-    # Rows that share the last key come with it; the limit keeps the bound if they are many.
-    rows = docs.filter(key <= lowest).select(F.left(F.coalesce(F.col(text_col), F.lit("")), F.lit(SAMPLE_BYTES)).alias("t")).limit(SAMPLE_DOCUMENTS).collect()
-    samples = [x.tobytes()[:SAMPLE_BYTES] for x in encoder(tokenizer_path).encode(pa.array(sorted(r.t for r in rows), pa.string())) if len(x) > 1]
+    near = place(id_col)
+    share = share_for(SAMPLE_DOCUMENTS, docs.count())
+    rows = docs.filter(near < share).select(near.alias("p"), F.left(F.coalesce(F.col(text_col), F.lit("")), F.lit(SAMPLE_BYTES)).alias("t")).limit(4 * SAMPLE_DOCUMENTS).collect()  # the limit bites only where one id has many rows
+    rows = sorted(rows, key=lambda r: (r.p, r.t))[:SAMPLE_DOCUMENTS]
+    texts = pa.RecordBatch.from_arrays([pa.array([r.t for r in rows], pa.string())], names=["t"])
+    samples = [x.tobytes()[:SAMPLE_BYTES] for _, part in _texts(texts) for x in encoder(tokenizer_path).encode(part) if len(x) > 1]
+    encoder.cache_clear()  # the driver needs its table no more
+    give_back()
     if sum(map(len, samples)) < 8 * 1024 or len(samples) < 16:
         return b""
     try:
@@ -313,7 +320,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
                 names=["part", "doc_id", "n_tokens", "tie", "frame"],
             )
 
-    frames = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(encoded, "part int, doc_id long, n_tokens long, tie long, frame binary")
+    frames = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(frugal(encoded), "part int, doc_id long, n_tokens long, tie long, frame binary")
     # Ranges by known bounds: repartitionByRange would encode everything once more to sample it.
     ranged = frames.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("doc_id", "tie")
 
@@ -334,7 +341,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names=["shard", "n_docs", "n_tokens"])
 
-    rows = ranged.mapInArrow(stored, "shard long, n_docs long, n_tokens long").collect()  # three numbers a shard
+    rows = ranged.mapInArrow(frugal(stored), "shard long, n_docs long, n_tokens long").collect()  # three numbers a shard
     return spark.createDataFrame(sorted(map(tuple, rows)), "shard long, n_docs long, n_tokens long")
 
 
@@ -423,7 +430,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "position"])
                 file.close()
 
-    return plan.mapInArrow(opened, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, position long")
+    return plan.mapInArrow(frugal(opened), "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, position long")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

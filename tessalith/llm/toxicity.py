@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessalith.llm.kernel import U64, Text, mixed, slices, word_and_symbol_runs
+from tessalith.llm.kernel import U64, Text, frugal, give_back, mixed, slices, word_and_symbol_runs
 from tessalith.llm.learning import Adam, fold, labelled_sample, sigmoid
 
 #: Weights, bytes of stems, documents of the positive class that must have a feature.
@@ -161,11 +161,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                     rows.append((i, y, x.tobytes(), [z.tobytes() for z in features(Text(pa.array(copies, pa.string())))]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary())), strict=True)], names=["i", "y", "x", "swapped"])
 
-    rows = labelled_sample(docs, labels, label_col, id_col, text_col, sample or SAMPLE).mapInArrow(featured, "i long, y int, x binary, swapped array<binary>").collect()
-    rows.sort(key=lambda r: (r.i, r.x))
-    own = [np.frombuffer(r.x, np.int32) for r in rows]
-    pairs = [(k, np.frombuffer(z, np.int32)) for k, r in enumerate(rows) for z in r.swapped]
-    return fit(own, np.array([r.y for r in rows], np.int64), pairs, penalty)
+    rows = labelled_sample(docs, labels, label_col, id_col, text_col, sample or SAMPLE).mapInArrow(frugal(featured), "i long, y int, x binary, swapped array<binary>").toArrow()
+    rows = rows.sort_by([("i", "ascending"), ("x", "ascending")])
+    own = [np.frombuffer(x, np.int32) for x in rows.column("x").to_pylist()]
+    pairs = [(k, np.frombuffer(z, np.int32)) for k, copies in enumerate(rows.column("swapped").to_pylist()) for z in copies]
+    fitted = fit(own, rows.column("y").to_numpy().astype(np.int64), pairs, penalty)
+    del rows, own, pairs
+    give_back()
+    return fitted
 
 
 def scores(text: Text, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -183,5 +186,5 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
             for part, text in slices(batch, "t"):
                 yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(scores(text, *shared.value), pa.float64())], names=["i", "score"])
 
-    out = own.mapInArrow(scored, f"i {own.schema['i'].dataType.simpleString()}, score double")
+    out = own.mapInArrow(frugal(scored), f"i {own.schema['i'].dataType.simpleString()}, score double")
     return out.select(F.col("i").alias(id_col), fold(F.col("i"), 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
