@@ -229,16 +229,22 @@ PRIORITY = (("drug_substitution", "DRUG-SUB candidate"), ("dose_value_error", "D
 ERRORS = ("drug_substitution", "drug_deletion", "dose_value_error", "dose_unit_error", "dose_missing", "negation_lost")
 
 
+FINE = 99
+
+
 def select_failures(per_clip: DataFrame, n: int = 100) -> DataFrame:
     """The first ``n`` failed clips: by priority, then dealt in turn from each (provider, tier), worst first.
 
     Ties go to the smaller clip id.  ``band`` and ``turn`` say why a row stands where it does.
     """
     errors = [F.col(c) for c in ERRORS if c in per_clip.columns]
-    failed = per_clip.filter(F.greatest(F.coalesce(F.col("wer"), F.lit(0.0)), F.lit(0.0), *[e.cast("double") for e in errors]) > 0)
+    failed = F.greatest(F.coalesce(F.col("wer"), F.lit(0.0)), F.lit(0.0), *[e.cast("double") for e in errors]) > 0
     present = [(k, c, flag) for k, (c, flag) in enumerate(PRIORITY) if c in per_clip.columns]
     band = reduce(lambda rest, x: F.when(F.col(x[1]) > 0, F.lit(x[0])).otherwise(rest), reversed(present), F.lit(len(PRIORITY)))
+    band = F.when(failed, band).otherwise(F.lit(FINE))
     flag = reduce(lambda rest, x: F.when(F.col(x[1]) > 0, F.lit(x[2])).otherwise(rest), reversed(present), F.lit("high WER"))
     turn = F.row_number().over(Window.partitionBy("band", "provider", "tier").orderBy(F.col("wer").desc_nulls_last(), "clip_id"))
-    dealt = failed.withColumns({"band": band, "auto_flag": flag}).withColumn("turn", turn).filter(F.col("turn") <= n)
-    return dealt.orderBy("band", "turn", "provider", "tier", "clip_id").limit(n)
+    dealt = per_clip.withColumns({"band": band, "auto_flag": flag}).withColumn("turn", turn).filter(F.col("turn") <= n)
+    # Clips without an error come last and go behind the limit: a filter in front of it would be pushed
+    # down to the scan and have every score worked out once more.
+    return dealt.orderBy("band", "turn", "provider", "tier", "clip_id").limit(n).filter(F.col("band") < FINE)
