@@ -1,8 +1,15 @@
 """Licence scan: word-bigram Dice against licence templates.
 
 A text is normalised (lower case, runs of letters and digits only) and read in
-three kinds of segments: each line, each paragraph (lines up to an empty one)
-and the whole text.  A segment and a template are compared by the Dice
+four kinds of segments: each line, each paragraph (lines up to an empty one),
+the whole text, and runs of words of a template's length wherever they begin,
+across lines and paragraphs: a licence in several paragraphs, under a copyright
+line or in the midst of other text is found.  Templates of at least ``LONG``
+bigrams meet runs of all lengths inside the size bounds, in steps of a
+twentieth; shorter ones only runs of their own length.  A run counts only if
+its first shared bigram stands before its last one in the template too (else
+the end of one notice and the start of the next would make a third).
+A segment and a template are compared by the Dice
 coefficient of their bags of word bigrams, 2 |A & B| / (|A| + |B|).  Dice can
 reach ``LEAST`` only if the smaller bag has at least LEAST / (2 - LEAST) of the
 larger one's bigrams, so a segment meets only templates inside those size
@@ -12,7 +19,8 @@ The templates are a fixed list, sent to all workers (a few kilobytes).
 
 Defined results.  Null and empty texts, and segments with fewer than two words,
 match nothing.  Of several segments that match a template the best one is
-returned, then the first and shortest.  Long texts are read whole.  Repeated
+returned, then the first and shortest; a run of words only if it is better than
+all lines, paragraphs and the whole text.  Long texts are read whole.  Repeated
 rows each give their rows; empty table: no rows; other columns are not read.
 """
 
@@ -29,6 +37,10 @@ from tessalith.llm.decontamination import normal_words, pairs
 from tessalith.llm.kernel import U64, Runs, Text, frugal, slices
 
 LEAST = 0.8
+#: Bigrams from which on a template meets runs of other lengths than its own.
+LONG = 8
+#: Shared bigrams of runs that are counted at once.
+AT_ONCE = 1 << 20
 
 # The wording of public licences and of the usual notices of them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -66,7 +78,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
     "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."),
     "CC-BY-NC-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."),
-    "Proprietary": ("All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",),
+    "Proprietary": ("All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.", "All rights reserved."),
 }
 
 _NEWLINE = np.ones(256, np.uint8)
@@ -89,12 +101,14 @@ class Templates:
         self.least = least
         value = np.concatenate([np.zeros(0, U64), *bags])
         template = np.repeat(np.arange(len(bags)), self.size)
-        order = np.lexsort((template, value))
-        value, template = value[order], template[order]
+        place = np.concatenate([np.zeros(0, np.int64), *map(np.arange, self.size)])
+        order = np.lexsort((place, template, value))
+        value, template, place = value[order], template[order], place[order]
         first = np.ones(len(value), bool)
         first[1:] = (value[1:] != value[:-1]) | (template[1:] != template[:-1])
         self.value, self.template = value[first], template[first]
         self.times = np.diff(np.append(np.flatnonzero(first), len(value)))
+        self.first_place, self.last_place = place[first], place[np.flatnonzero(first) + self.times - 1]
 
     def matches(self, text: Text) -> np.ndarray:
         """Rows of (row, template, dice in millionths, first byte, last byte), best segment of each row and template."""
@@ -129,14 +143,54 @@ class Templates:
             segment, template, dice = segment[good], template[good], dice[good]
             row = np.searchsorted(text.offsets, begin[segment], "right") - 1
             out.append(np.stack([row, template, np.rint(dice * 1e6).astype(np.int64), begin[segment] - text.offsets[row], end[segment] - text.offsets[row]], axis=1))
-        if not out:
-            return np.zeros((0, 5), np.int64)
-        found = np.concatenate(out)
+        found = np.concatenate([np.zeros((0, 5), np.int64), *out])
+        found = np.concatenate([found, *self.word_runs(text, runs, useful, low, high, found)])
         found = found[np.lexsort((found[:, 4] - found[:, 3], found[:, 3], -found[:, 2], found[:, 1], found[:, 0]))]
         first = np.ones(len(found), bool)
         first[1:] = (found[1:, :2] != found[:-1, :2]).any(axis=1)
         return found[first]
 
+    def lengths(self, size: int) -> list[int]:
+        """Numbers of bigrams of the runs that a template of ``size`` bigrams is compared with, its own first."""
+        low, high = self.least / (2 - self.least), (2 - self.least) / self.least
+        other = {round(size * x / 20) for x in range(1, 41)} if size >= LONG else set()
+        return [size, *sorted((x for x in other - {size} if low * size <= x <= high * size), key=lambda x: (abs(x - size), x))] if size else []
+
+    def word_runs(self, text: Text, runs: Runs, useful: np.ndarray, low: np.ndarray, high: np.ndarray, found: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows as in ``matches`` of the runs of words that are better than what is ``found``."""
+        useful = useful[runs.row[useful] == runs.row[useful + 1]]
+        n = high[useful] - low[useful]
+        entries = np.repeat(low[useful] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        places, of = np.repeat(useful, n), self.template[entries]
+        order = np.argsort(of, kind="stable")
+        entries, places = entries[order], places[order]
+        bounds = np.searchsorted(of[order], np.arange(len(self.size) + 1))
+        for t, size in enumerate(self.size.tolist()):
+            at, entry = places[bounds[t] : bounds[t + 1]], entries[bounds[t] : bounds[t + 1]]
+            best = np.full(len(text), -1, np.int64)
+            own = found[found[:, 1] == t]
+            np.maximum.at(best, own[:, 0], own[:, 2])
+            row = runs.row[at]
+            for length in self.lengths(size):
+                begin = np.minimum(at, runs.first[row + 1] - 1 - length)
+                a, b = np.searchsorted(at, begin), np.searchsorted(at, begin + length)
+                most = np.minimum(b - a, size) * 2 / (size + length)
+                hope = np.flatnonzero((begin >= runs.first[row]) & (most >= self.least) & (np.rint(most * 1e6) > best[row]))
+                hope = hope[np.unique(begin[hope], return_index=True)[1]]
+                hope = hope[self.first_place[entry[a[hope]]] <= self.last_place[entry[b[hope] - 1]]]
+                for part in np.array_split(hope, 1 + int((b - a)[hope].sum()) // AT_ONCE) if len(hope) else ():
+                    m = (b - a)[part]
+                    member = np.repeat(a[part] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                    key, count = np.unique(np.repeat(np.arange(len(part)), m) * len(self.value) + entry[member], return_counts=True)
+                    both = np.bincount(key // len(self.value), np.minimum(count, self.times[key % len(self.value)]), len(part))
+                    dice = 2 * both / (size + length)
+                    good = dice >= self.least
+                    start, r, dice = begin[part[good]], row[part[good]], np.rint(dice[good] * 1e6).astype(np.int64)
+                    better = dice > best[r]
+                    start, r, dice = start[better], r[better], dice[better]
+                    np.maximum.at(best, r, dice)
+                    yield np.stack([r, np.full(len(r), t), dice, runs.starts[start] - text.offsets[r], runs.ends[start + length] - text.offsets[r]], axis=1)
+
     @staticmethod
     def segments(text: Text) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Begins and ends of the lines, of the paragraphs and of the texts."""

@@ -58,3 +58,22 @@ def test_places_hold_the_segment(documents):
 
 def test_empty_table(documents):
     assert lc.scan(documents([])).count() == 0
+
+
+PUBLISHED = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + MIT.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+
+
+def test_licences_in_several_paragraphs_and_short_notices(documents):
+    around = f"{BODY}\n" * 30
+    wrapped = " ".join(x + "\n" * (k % 9 == 8) for k, x in enumerate(MIT.split()))
+    rows = [
+        (0, around + PUBLISHED + "\n\n" + around), (1, PUBLISHED), (2, around + "All rights reserved.\n" + around), (3, "Copyright 2020 A. Person. All rights reserved. " + BODY),
+        (4, f"{BODY} {MIT} {BODY} " * 2), (5, f"{around} this file is released under the\nMIT License. {BODY}"), (6, f"{BODY} {wrapped} {BODY}"),
+        (7, f"{BODY} " + " ".join(x + " (new)" * (k % 40 == 39) for k, x in enumerate(MIT.split())) + f" {around}"), (8, "all reserved rights\nall\n\nrights"), (9, f"{BODY}\n{BODY}"),
+    ]
+    found = {(r.doc_id, r.license): r for r in lc.scan(documents(rows)).collect()}
+    assert set(found) == {(k, "MIT") for k in (0, 1, 4, 5, 6, 7)} | {(2, "Proprietary"), (3, "Proprietary")}
+    assert all(found[k].dice == 1 for k in found if k != (7, "MIT"))
+    for k in (0, 1, 4, 6):
+        segment = rows[k][1].lower().encode()[found[k, "MIT"].begin : found[k, "MIT"].end].decode()
+        assert bag(segment) == bag(MIT)
