@@ -58,7 +58,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from token-id files."""
     docs = table(spark, sf_dir, "documents")
-    return token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "position")
+    return token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "position")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

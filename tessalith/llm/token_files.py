@@ -17,7 +17,9 @@ frame: nothing before it is decompressed.
 Defined results.  Null text: the end id alone.  Repeated ``doc_id``: every row
 is kept, ordered by the ids' bytes among equal ``doc_id``.  Empty table: a
 dictionary of no bytes and no shard.  Columns besides id and text are ignored.
-A null ``doc_id`` sorts first and is stored as the smallest int64.
+A null ``doc_id`` sorts first and is stored as the smallest int64.  The literal
+of an added token (``<|endoftext|>``) in a text is text like any other, or with
+``added_tokens`` that token's id, as the library has it without settings.
 """
 
 from __future__ import annotations
@@ -167,16 +169,18 @@ class Encoder:
     there the ids of a text are those of its pieces (a word and what stands
     before it), one after another.  Pieces repeat much more than texts: each is
     encoded once, its ids stay in a table under its 64-bit hash, and the ids of
-    whole batches are gathered from there.  A text with any other white space
-    is encoded in one go.
+    whole batches are gathered from there.  A text with any other white space,
+    or with the literal of an added token that counts as such, is encoded in
+    one go.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if added_tokens or not t.special]
         self.alphabet = byte_alphabet()
         dot, comma, self.newline = self.direct([".", ",", "\n"])
         self.marks = {".": dot, ",": comma}
@@ -235,6 +239,8 @@ class Encoder:
             self.forget()
         text = Text(column)
         runs, odd, end = words(text), irregular(text), np.array([END_ID], "<u4")
+        for literal in self.literals:
+            odd |= pc.fill_null(pc.match_substring(column, literal), False).to_numpy(zero_copy_only=False)
         fine = np.flatnonzero(~odd[runs.row])
         starts, ends = runs.starts[fine], runs.ends[fine]
         first = text.offsets[runs.row[fine]] == starts
@@ -260,9 +266,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
     """One encoder a process: Spark reuses a worker for many tasks, and its known pieces stay."""
-    return Encoder(path)
+    return Encoder(path, added_tokens)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -270,7 +276,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         yield part, part.column("t")
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, added_tokens: bool = False) -> bytes:
     """A dictionary from the ids of at most ``SAMPLE_DOCUMENTS`` documents, the ones that hash lowest.
 
     The sample bounds what the driver holds (16 MB) and only changes how small
@@ -281,7 +287,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
     rows = docs.filter(near < share).select(near.alias("p"), F.left(F.coalesce(F.col(text_col), F.lit("")), F.lit(SAMPLE_BYTES)).alias("t")).limit(4 * SAMPLE_DOCUMENTS).collect()  # the limit bites only where one id has many rows
     rows = sorted(rows, key=lambda r: (r.p, r.t))[:SAMPLE_DOCUMENTS]
     texts = pa.RecordBatch.from_arrays([pa.array([r.t for r in rows], pa.string())], names=["t"])
-    samples = [x.tobytes()[:SAMPLE_BYTES] for _, part in _texts(texts) for x in encoder(tokenizer_path).encode(part) if len(x) > 1]
+    samples = [x.tobytes()[:SAMPLE_BYTES] for _, part in _texts(texts) for x in encoder(tokenizer_path, added_tokens).encode(part) if len(x) > 1]
     encoder.cache_clear()  # the driver needs its table no more
     give_back()
     if sum(map(len, samples)) < 8 * 1024 or len(samples) < 16:
@@ -292,14 +298,14 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
         return b""
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Encode ``docs`` into ``folder``; returns the manifest: shard, n_docs, n_tokens, one row per shard.
 
     One pass encodes and compresses; the compressed frames (smaller than the
     texts) are range-partitioned by id once, and each range becomes a shard.
     """
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, tokenizer_path, id_col, text_col)
+    dictionary = train_dictionary(docs, tokenizer_path, id_col, text_col, added_tokens)
     put(f"{folder}/dictionary.zdict", [dictionary])
     shared = spark.sparkContext.broadcast(dictionary)
 
@@ -309,7 +315,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     bounds = np.array([int(x) for x in bounds], np.int64)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path, added_tokens).encode
         extra = {"dict_data": zstandard.ZstdCompressionDict(shared.value)} if shared.value else {}
         press = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, **extra)
         for part in (p for b in batches for p, _ in slices(b, "t", BATCH_BYTES)):
@@ -433,10 +439,10 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
     return plan.mapInArrow(frugal(opened), "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, position long")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Write ``docs`` to a new folder of the shared directory and read every document back."""
     spark = docs.sparkSession
     folder = new_path(spark, "token-files")
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    return read_token_files(spark, folder, write_token_files(docs, tokenizer_path, folder, id_col, text_col))
+    return read_token_files(spark, folder, write_token_files(docs, tokenizer_path, folder, id_col, text_col, added_tokens))

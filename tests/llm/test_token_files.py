@@ -78,3 +78,14 @@ def test_another_dictionary_is_refused(documents, tmp_path):
     (tmp_path / "dictionary.zdict").write_bytes(b"other")
     with pytest.raises(ValueError):
         tf.Shard(folder, m.shard)
+
+
+def test_queries_give_the_ids_of_the_untouched_library(spark, documents, tmp_path):
+    import corpus_pipeline
+    from tessalith.llm.queries import QUERIES
+
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endoftext|>y."), (4, "no literal <|endoftext |>"), (5, None), (6, "plain words here")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = Tokenizer.from_file(PATH)
+    check(rows, QUERIES["op8_token_ids"](spark, str(tmp_path)).collect(), plain)
+    check(rows, corpus_pipeline.token_ids(spark, documents(rows), str(tmp_path)).collect(), plain)
