@@ -28,7 +28,10 @@ def share_for(wanted: int, rows: int) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, sizes: dict[int, int], folds: int = 3, out: int = 1) -> DataFrame:
-    """(i, t, y) of at most ``sizes[y]`` labelled rows of each class outside the held-out fold.
+    """(i, t, y, w) of at most ``sizes[y]`` labelled rows of each class outside the held-out fold, each standing for ``w`` rows of its class.
+
+    Classes are cut at different shares, so the classes' true share is that of
+    the weights; counting rows would make it a matter of the table's size.
 
     Rows are chosen by a hash of the id, so the choice is the same on every
     run.  Only rows in the share of places that holds enough are sorted, so
@@ -40,10 +43,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     chosen = None
     for y, n in sizes.items():
         near = labels.filter((F.col("y") == y) & (place("i") < share_for(n, counts.get(y, 0))))
-        part = near.orderBy(place("i"), "i").limit(n)
+        part = near.orderBy(place("i"), "i").limit(n).withColumn("w", F.lit(max(1.0, counts.get(y, 0) / n)))
         chosen = part if chosen is None else chosen.unionByName(part)
     own = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("t"))
-    return own.join(F.broadcast(chosen), "i").select("i", "t", "y")
+    return own.join(F.broadcast(chosen), "i").select("i", "t", "y", "w")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -66,14 +69,14 @@ class Adam:
             p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
+def temperature(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray | None = None) -> float:
     """The divisor of the logits with the least log loss on rows that the network did not learn from."""
     if not len(labels):
         return 1.0
 
     def loss(t: float) -> float:
         z = logits / t
-        return float(np.mean(np.logaddexp(0, z) - labels * z))
+        return float(np.average(np.logaddexp(0, z) - labels * z, weights=weight))
 
     grid = np.exp(np.linspace(np.log(0.25), np.log(8.0), 60))
     return float(min(grid, key=loss))

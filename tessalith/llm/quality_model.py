@@ -10,7 +10,9 @@
    the mean product of neighbours' vectors (high where words repeat).
 3. A network of two layers in numpy, trained by Adam on at most
    ``sum(SAMPLE)`` labelled documents; a fifth of them is kept aside for the
-   temperature by which its logits are divided.
+   temperature by which its logits are divided.  The classes' share, which
+   shifts the logits, is that of all labelled documents, and the documents kept
+   aside weigh accordingly: the sample's own share depends on its caps.
 
 Defined results.  Null and empty texts pool to zeros and get that point's
 score.  Without labels of both classes every score is the share of label 1
@@ -125,7 +127,9 @@ def pooled(text: Text, vectors: np.ndarray) -> np.ndarray:
 class Network:
     """tanh layer, linear layer, temperature; inputs are standardised."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = SEED):
+    def __init__(self, x: np.ndarray, y: np.ndarray, stands_for: np.ndarray | None = None, seed: int = SEED):
+        """Rows, labels and how many labelled rows each row stands for (one by default)."""
+        stands_for = np.ones(len(y)) if stands_for is None else stands_for
         share = float(y.mean()) if len(y) else 0.5
         self.constant = share if len(np.unique(y)) < 2 else None
         if self.constant is not None:
@@ -146,9 +150,10 @@ class Network:
                 back = error[:, None] * self.w2 * (1 - h * h)
                 adam.step([x[part].T @ back + 1e-4 * self.w1, back.sum(axis=0), h.T @ error + 1e-4 * self.w2, np.array([error.sum()])])
         # Balanced in training; the prior comes back as a shift of the logit.
+        share = float(np.average(y, weights=stands_for))
         self.shift, self.temperature = math.log(share / (1 - share)), 1.0
         logits = np.tanh(x[aside] @ self.w1 + self.b1) @ self.w2 + self.b2
-        self.temperature = temperature(logits + self.shift, y[aside])
+        self.temperature = temperature(logits + self.shift, y[aside], stands_for[aside])
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -165,12 +170,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, text in slices(batch, "t"):
-                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("y"), pa.array([x.tobytes() for x in pooled(text, shared.value)], pa.binary())], names=["i", "y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("y"), part.column("w"), pa.array([x.tobytes() for x in pooled(text, shared.value)], pa.binary())], names=["i", "y", "w", "x"])
 
-    rows = labelled_sample(docs, labels, label_col, id_col, text_col, sample or SAMPLE).mapInArrow(frugal(features), "i long, y int, x binary").toArrow()  # sum(SAMPLE) rows of 384 bytes
+    rows = labelled_sample(docs, labels, label_col, id_col, text_col, sample or SAMPLE).mapInArrow(frugal(features), "i long, y int, w double, x binary").toArrow()  # sum(SAMPLE) rows of 384 bytes
     rows = rows.sort_by([("i", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, 3 * WIDTH)
-    network = Network(x, rows.column("y").to_numpy().astype(np.int64))
+    network = Network(x, rows.column("y").to_numpy().astype(np.int64), rows.column("w").to_numpy())
     del rows, x
     give_back()
     return vectors, network

@@ -122,9 +122,10 @@ def association(positive: np.ndarray, total: np.ndarray, all_positive: int, n: i
     return np.where((a * d > b * c) & np.isfinite(chi), chi, 0.0)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[int, np.ndarray]], penalty: float = PENALTY) -> tuple[np.ndarray, float]:
-    """Weights and bias from feature rows, labels, and (row, features of its swapped copy)."""
-    share = float(labels.mean()) if len(labels) else 0.0
+def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[int, np.ndarray]], penalty: float = PENALTY, stands_for: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias from feature rows, labels, (row, features of its swapped copy), and how many labelled rows each row stands for (one by default)."""
+    share = float(np.average(labels, weights=stands_for)) if len(labels) else 0.0
+    part = np.full(len(labels), 1 / max(1, len(labels))) if stands_for is None else stands_for / stands_for.sum()
     if share in (0.0, 1.0):
         return np.zeros(DIMENSIONS, np.float32), math.inf if share else -math.inf
     positive = np.bincount(np.concatenate([np.zeros(0, np.int32), *(r for r, y in zip(rows, labels, strict=True) if y)]), minlength=DIMENSIONS)
@@ -140,7 +141,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[int, np.nd
     w, b, y = np.zeros(len(kept)), np.array([math.log(share / (1 - share))]), labels.astype(float)
     adam = Adam([w, b], 0.05)
     for _ in range(STEPS):
-        error = (sigmoid(x.times(w) + b[0]) - y) / len(y)
+        error = (sigmoid(x.times(w) + b[0]) - y) * part
         gradient = x.transposed(error, len(w)) + L2 * w / math.sqrt(len(y))
         if pairs:
             change = 2 * penalty * (first.times(w) - second.times(w)) / len(pairs)
@@ -156,16 +157,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         for batch in batches:
             for part, text in slices(batch, "t"):
                 rows = []
-                for k, (i, y, x) in enumerate(zip(part.column("i").to_pylist(), part.column("y").to_pylist(), features(text), strict=True)):
+                for k, (i, y, w, x) in enumerate(zip(part.column("i").to_pylist(), part.column("y").to_pylist(), part.column("w").to_pylist(), features(text), strict=True)):
                     copies = swapped(text.row(k).decode("utf-8", "replace"))
-                    rows.append((i, y, x.tobytes(), [z.tobytes() for z in features(Text(pa.array(copies, pa.string())))]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary())), strict=True)], names=["i", "y", "x", "swapped"])
+                    rows.append((i, y, w, x.tobytes(), [z.tobytes() for z in features(Text(pa.array(copies, pa.string())))]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.binary())), strict=True)], names=["i", "y", "w", "x", "swapped"])
 
-    rows = labelled_sample(docs, labels, label_col, id_col, text_col, sample or SAMPLE).mapInArrow(frugal(featured), "i long, y int, x binary, swapped array<binary>").toArrow()
+    rows = labelled_sample(docs, labels, label_col, id_col, text_col, sample or SAMPLE).mapInArrow(frugal(featured), "i long, y int, w double, x binary, swapped array<binary>").toArrow()
     rows = rows.sort_by([("i", "ascending"), ("x", "ascending")])
     own = [np.frombuffer(x, np.int32) for x in rows.column("x").to_pylist()]
     pairs = [(k, np.frombuffer(z, np.int32)) for k, copies in enumerate(rows.column("swapped").to_pylist()) for z in copies]
-    fitted = fit(own, rows.column("y").to_numpy().astype(np.int64), pairs, penalty)
+    fitted = fit(own, rows.column("y").to_numpy().astype(np.int64), pairs, penalty, rows.column("w").to_numpy())
     del rows, own, pairs
     give_back()
     return fitted

@@ -70,3 +70,13 @@ def test_one_class_or_none(spark, documents, labels, score):
 
 def test_empty_table(spark, documents):
     assert qm.classify(documents([]), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_caps_of_the_sample_do_not_move_the_prior(spark, documents):
+    """The text says nothing, so the score is the label's share, whatever share of each class is learnt from."""
+    docs = documents(["the same words in all of them"] * 900)
+    labels = spark.createDataFrame([(k, int(k % 10 > 0)) for k in range(900)], "doc_id long, quality int")
+    share = labels.filter(~learning.fold(F.col("doc_id"), 3, 1)).agg(F.avg("quality")).first()[0]
+    model = qm.train(docs, labels, sample={0: 50, 1: 50})
+    assert model[1].shift == pytest.approx(np.log(share / (1 - share)))
+    assert qm.score(docs, model).first().score == pytest.approx(share, abs=0.08)

@@ -71,3 +71,12 @@ def test_one_class_or_none(spark, documents, label, score):
 
 def test_empty_table(spark, documents):
     assert tx.classify(documents([]), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_caps_of_the_sample_do_not_move_the_prior(spark, documents):
+    """The text says nothing, so the score is the label's share, whatever share of each class is learnt from."""
+    docs = documents(["the same words in all of them"] * 900)
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(900)], "doc_id long, toxic int")
+    share = labels.filter("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1").agg({"toxic": "avg"}).first()[0]
+    weights, bias = tx.train(docs, labels, sample={0: 50, 1: 50})
+    assert tx.scores(Text(pa.array(["the same words in all of them"])), weights, bias)[0] == pytest.approx(share, abs=0.02)
