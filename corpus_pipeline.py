@@ -11,8 +11,10 @@
    say where each one is.
 
 Every function takes (spark, docs, sf_dir).  All but the last return the
-columns of ``docs``.  Rows with a null or repeated id, null or empty text are
-handled as the operators say; equal rows with one id count as copies in 2.
+columns of ``docs``.  2 and 3 judge texts, so they name a row by a 64-bit hash
+of its text and not by its id: rows with a null id are judged like any other,
+and of rows that share an id each by its own text.  In 2 a row without id stays
+only if none of its group has one, and equal rows with one id are copies.
 """
 
 from __future__ import annotations
@@ -28,11 +30,20 @@ from tessalith.session import ship_package
 QUALITY = 0.5
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` whose id is not in ``ids`` (one long column, written before); a small list goes to all workers, a large one is shuffled."""
-    ids = ids.toDF("__out").filter("__out is not null").distinct()
-    few = ids.limit(set_join.BROADCAST_ROWS + 1).count() <= set_join.BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == F.col("__out"), "left_anti")
+KEY = "__text_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64(F.col("text").cast("string")))
+
+
+def matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with ``rows`` (some of its long columns, written before), null being equal to null; a few rows go to all workers, many are shuffled."""
+    names = rows.columns
+    rows = rows.distinct().toDF(*[f"__out{k}" for k in range(len(names))])
+    few = rows.limit(set_join.BROADCAST_ROWS + 1).count() <= set_join.BROADCAST_ROWS
+    same = [docs[c].eqNullSafe(F.col(f"__out{k}")) for k, c in enumerate(names)]
+    return docs.join(F.broadcast(rows) if few else rows, same, how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,20 +55,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    groups = written(set_join.near_duplicates(docs), "groups")
-    kept = without(docs, groups.filter("component_id != doc_id").select("doc_id"))
-    again = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    own = keyed(docs)
+    groups = set_join.near_duplicates(own, id_col=KEY).groupBy(KEY).agg(F.max("n_shingles").alias("n"), F.min("component_id").alias("group"))
+    rows = own.groupBy("doc_id", KEY).agg(F.count("*").alias("times")).join(groups, KEY)
+    rows = written(rows, "groups")
+    # The smallest id of a group, one without id last; texts without words are in no group.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(KEY).alias("k"))
+    first = rows.filter("n > 0").groupBy("group").agg(F.min(order).alias("first"), F.count("*").alias("members")).filter("members > 1")
+    others = rows.filter("n > 0").join(first, "group").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col(KEY) == F.col("first.k"))))
+    kept = matching(own, written(others.select("doc_id", KEY), "others"), "left_anti")
+    again = rows.filter("times > 1 and (n > 0 or doc_id is not null)").select("doc_id", KEY)
     if again.isEmpty():
-        return kept
+        return kept.drop(KEY)
     again = written(again, "again")
-    copies = kept.join(again.toDF("__again"), kept["doc_id"] == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return without(kept, again).unionByName(copies)
+    copies = matching(kept, again, "left_semi").dropDuplicates(["doc_id", KEY])
+    return matching(kept, again, "left_anti").unionByName(copies).drop(KEY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    found = decontamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, written(found.select("doc_id").distinct(), "contaminated"))
+    own = keyed(docs)
+    found = decontamination.find_contamination(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=KEY)
+    return matching(own, written(found.select(F.col("doc_id").alias(KEY)).distinct(), "contaminated"), "left_anti").drop(KEY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -213,6 +213,15 @@ def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["rep", "sig", "set"])
 
 
+def _null_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(sig, set) of every text with words."""
+    for batch in batches:
+        for _, text in slices(batch, "t"):
+            rows = [(set_digest(s), s.astype("<u8").tobytes()) for s in shingle_sets(words(text), width) if len(s)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["sig", "set"])
+
+
 def with_counts(sets: DataFrame) -> DataFrame:
     """(rep, set, df): for each shingle of each set how many sets have it, by the same two exchanges as the sieve."""
     buckets = partitions_for(sets, BUCKET_BYTES)
@@ -455,8 +464,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = F.broadcast(wanted) if reps.count() <= BROADCAST_ROWS else wanted
     sets = written(own.join(wanted, "i").mapInArrow(frugal(lambda b: _set_rows(b, width)), "rep long, sig binary, set binary").dropDuplicates(["sig"]), "sets")
     # One id may stand for several sets if it is repeated with other texts; those sets then count as linked by it.
+    nameless = reps.filter("rep is null")
+    some = not nameless.isEmpty()
+    if some:  # sets that only rows without id have: they link like others, under a number of their own
+        reps = written(reps.withColumn("own", F.coalesce("rep", F.xxhash64("sig"))), "vertices")
+        found = own.filter("i is null").mapInArrow(frugal(lambda b: _null_sets(b, width)), "sig binary, set binary").dropDuplicates(["sig"])
+        found = found.join(reps.filter("rep is null").select("sig", F.col("own").alias("rep")), "sig").select("rep", "sig", "set")
+        sets = written(sets.unionByName(found), "sets")
     parts = link_components(sets.select("rep", "set"), percent)
-    named = reps.join(parts, reps.rep == parts.v, "left").select("sig", F.coalesce("c", "rep").alias("c"))
+    if some:
+        labels = reps.join(parts, reps.own == parts.v, "left").select("sig", "rep", F.coalesce("c", "own").alias("label"))
+        named = labels.join(labels.groupBy("label").agg(F.min("rep").alias("c")), "label").select("sig", "c")
+    else:
+        named = reps.join(parts, reps.rep == parts.v, "left").select("sig", F.coalesce("c", "rep").alias("c"))
     out = rows.join(named, "sig", "left")
     component = F.when(F.col("open"), F.coalesce("c", "i")).otherwise(F.col("i"))
     return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

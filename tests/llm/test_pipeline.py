@@ -86,3 +86,17 @@ def test_ids_are_those_of_the_copies_and_run_agrees(stages, spark):
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in after) == want
     again = cp.run(spark, folder).collect()
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in again) == sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in after)
+
+
+def test_rows_without_an_id_or_with_anothers_are_judged_by_their_text(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(900)}" for _ in range(60)) for _ in range(8)]
+    item = " ".join(f"{rng.choice(WORDS)}{rng.randrange(900)}" for _ in range(25))
+    rows = [(1, texts[0]), (None, texts[0] + " end"), (None, texts[1]), (None, texts[1] + " end"), (None, texts[1]), (2, texts[2]), (2, texts[3]), (3, texts[3] + " end"), (None, texts[4]), (None, None), (None, None), (4, ""), (4, "")]
+    got = [tuple(r) for r in cp.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sorted(i for i, _ in got if i is not None) == [1, 2, 2, 4] and {t for i, t in got if i == 2} == {texts[2], texts[3]}
+    assert sorted((t or "")[:20] for i, t in got if i is None) == sorted(["", "", texts[1][:20], texts[4][:20]])
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{texts[5]} {item} x"), (None, texts[5]), (5, f"{texts[6]} {item}"), (5, texts[7])]
+    got = cp.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(r.text for r in got) == sorted([texts[5], texts[7]])

@@ -97,3 +97,16 @@ def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     out = {r.v: r.c for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 130), 100), 200: 200, 201: 200}
+
+
+def test_sets_that_only_rows_without_id_have_link(spark):
+    rng = random.Random(8)
+    root = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    between = [*root[:-6], *(f"x{k}" for k in range(6))]
+    far = [*(f"y{k}" for k in range(4)), *between[4:]]
+    alone = [f"z{k}" for k in range(30)]
+    rows = [(7, root), (None, between), (9, far), (None, alone), (None, [*alone, "end"]), (11, ["other"] * 9)]
+    assert len({tuple(root[i:i + 5]) for i in range(56)} & {tuple(far[i:i + 5]) for i in range(56)}) < 0.85 * 56
+    got = sj.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in got if r.doc_id or r.component_id) == [(-1, 7), (7, 7), (9, 7), (11, 11)]
+    assert sum(r.doc_id is None and r.component_id is None for r in got) == 2
