@@ -9,7 +9,7 @@ of 64-bit hashes) and never emits the pairs of a group.
    distinct shingle once and owns those that occur twice in its own texts, so a
    shingle that a third of all documents has costs one entry a task.  Documents
    below the share are done: they link with nothing.
-2. *Copies.*  Equal sets are represented by their smallest id.
+2. *Copies.*  Equal sets are one, told by their digest.
 3. *Index.*  Shingles are ordered by how many representatives have them; the
    first ``n - ceil(t n) + 1`` are a set's prefix, and two linked sets share a
    prefix shingle.  A shingle's list is led by its most central set (mean
@@ -18,7 +18,8 @@ of 64-bit hashes) and never emits the pairs of a group.
 4. *Answers inside blocks.*  A block takes the home's set as pivot p.  With
    the difference lists p - x and x - p the answers of all other members follow
    from the pivot's: |x & y| = |p & x| + |p & y| - |p| + |(p-x) & (p-y)| +
-   |(x-p) & (y-p)|, where only shingles in two difference lists are touched.
+   |(x-p) & (y-p)|, where only shingles in two difference lists are touched, and
+   only for pairs whose relations to the pivot leave the overlap possible.
 5. *Skipping between blocks.*  A list is kept as blocks, each with the sizes of
    its sets and what follows the shingle's position in them.  Only sets that are
    not in the component of a list's leader visit the list's other blocks, and
@@ -29,9 +30,11 @@ near copies costs blocks and visits, not pairs.
 
 Defined results.  Null and empty texts and texts without words have no
 shingles and stand alone.  Texts with fewer words than ``WIDTH`` are one
-shingle.  Long texts are read whole.  Rows with an equal id keep one row each.
-A null id keeps its row; it never names a component unless all ids of the
-component are null.  Empty table: no rows.  Other columns are not read.
+shingle.  Long texts are read whole.  Rows with an equal id are one document:
+each keeps its row, and all are in one component whatever their texts.  A row
+with a null id links like any other; it names no component, so its component
+is null where no row with an id is in it.  Empty table: no rows.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +57,9 @@ CHUNK = 1_000_000
 #: Input bytes for each bucket of the counting steps.
 BUCKET_BYTES = 12 << 20
 #: Sets and shingles in a block, about; columns of a difference matrix at once.
-BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 384, 1_000_000, 8192
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 8192
 #: Representatives up to which their ids (8 bytes) are sent to all workers to pick their texts; beyond, the texts are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def needed(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -79,7 +83,7 @@ def spans(counts: np.ndarray) -> np.ndarray:
 def _split(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     for batch in batches:
         for part, text in slices(batch, "t"):
-            yield part.column("i").to_pylist(), shingle_sets(words(text), width)
+            yield list(zip(part.column("i").to_pylist(), part.column("h").to_pylist(), strict=True)), shingle_sets(words(text), width)
 
 
 # --- 1. the sieve -----------------------------------------------------------
@@ -88,11 +92,20 @@ def _split(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list
 MESSAGE = "chunk long, bucket int, keys binary, owners binary, several binary, about binary"
 
 
-def messages(chunk: int, keys: np.ndarray, owner: np.ndarray, items: int, buckets: int) -> tuple[list[tuple], np.ndarray]:
-    """What a chunk tells each bucket, and how many keys of each item another item of the chunk has too.
+def cut_up(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of ``values[bounds[k] : bounds[k + 1]]`` for each k."""
+    values = np.ascontiguousarray(values)
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def messages(chunk: int, keys: np.ndarray, owner: np.ndarray, items: int, buckets: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """What a chunk tells the buckets, and how many keys of each item another item of the chunk has too.
 
     A key that one item has goes with its owner; a key of several items goes
-    once and without owners, who know by themselves that they share it.
+    once and without owners, who know by themselves that they share it.  Only
+    buckets that have a key of the chunk get a message: there are at most as
+    many messages as keys, however many buckets there are.
     """
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
@@ -101,64 +114,73 @@ def messages(chunk: int, keys: np.ndarray, owner: np.ndarray, items: int, bucket
     start = np.flatnonzero(first)
     times = np.diff(np.append(start, len(keys)))
     local = np.bincount(owner[np.repeat(times > 1, times)], minlength=items).astype("<i8")
-    single, several = np.repeat(times == 1, times), start[times > 1]
-    bounds = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-    low = np.searchsorted(several, bounds)
-    rows = []
-    for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        mine = single[x:y]
-        rows.append((chunk, b, keys[x:y][mine].astype("<u4").tobytes(), owner[x:y][mine].astype("<u4").tobytes(), keys[several[low[b] : low[b + 1]]].astype("<u4").tobytes(), None))
-    return rows, local
+    single, several = start[times == 1], start[times > 1]
+    bucket = bucket_of(keys[start], buckets)
+    told = np.unique(bucket)
+    of_single, of_several = (np.append(np.searchsorted(bucket_of(keys[x], buckets), told), len(x)) for x in (single, several))
+    none = pa.nulls(len(told), pa.binary())
+    columns = [pa.array(np.full(len(told), chunk, np.int64)), pa.array(told.astype(np.int32)), cut_up(keys[single].astype("<u4"), of_single), cut_up(owner[single].astype("<u4"), of_single), cut_up(keys[several].astype("<u4"), of_several), none]
+    return pa.RecordBatch.from_arrays(columns, names=MESSAGE_NAMES), local
+
+
+MESSAGE_NAMES = [f.split()[0] for f in MESSAGE.split(", ")]
 
 
-def message_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["chunk", "bucket", "keys", "owners", "several", "about"])
+def about_itself(chunk: int, buckets: int, about: bytes) -> pa.RecordBatch:
+    """What a chunk keeps for when its answers are there."""
+    columns = [pa.array([chunk], pa.int64()), pa.array([home_bucket(chunk, buckets)], pa.int32()), *[pa.nulls(1, pa.binary())] * 3, pa.array([about], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=MESSAGE_NAMES)
 
 
-def _chunk_rows(chunk: int, ids: list, sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+def _chunk_rows(chunk: int, ids: list, sets: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     n = np.array([len(s) for s in sets], np.int64)
     rows, local = messages(chunk, np.concatenate([np.zeros(0, U64), *sets]), np.repeat(np.arange(len(sets)), n), len(sets), buckets)
-    about = pa.array([(i, int(k), int(m), set_digest(s)) for i, k, m, s in zip(ids, n, local, sets, strict=True)], _ABOUT)
+    yield rows
+    about = pa.array([(i, h, int(k), int(m), set_digest(s)) for (i, h), k, m, s in zip(ids, n, local, sets, strict=True)], _ABOUT)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("about", _ABOUT)])) as out:
         out.write_batch(pa.RecordBatch.from_arrays([about], names=["about"]))
-    rows.append((chunk, home_bucket(chunk, buckets), b"", b"", b"", sink.getvalue().to_pybytes()))
-    return message_batch(rows)
+    yield about_itself(chunk, buckets, sink.getvalue().to_pybytes())
 
 
-_ABOUT = pa.struct([("i", pa.int64()), ("n", pa.int64()), ("local", pa.int64()), ("sig", pa.binary())])
+_ABOUT = pa.struct([("i", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("local", pa.int64()), ("sig", pa.binary())])
 
 
 def _count_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["chunk", "shared", "about"]
     chunks, keys, owners, several = [], [], [], []
     for batch in batches:
-        for chunk, _, k, o, s, about in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if about is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([None], pa.binary()), pa.array([about], pa.binary())], names=["chunk", "shared", "about"])
-            else:
-                chunks.append(chunk)
-                keys.append(np.frombuffer(k, "<u4"))
-                owners.append(np.frombuffer(o, "<u4"))
-                several.append(np.frombuffer(s, "<u4"))
+        own = batch.filter(batch.column("about").is_valid())
+        if len(own):
+            yield pa.RecordBatch.from_arrays([own.column("chunk"), pa.nulls(len(own), pa.binary()), own.column("about")], names=names)
+        rest = batch.filter(batch.column("about").is_null())
+        chunks.append(np.repeat(rest.column("chunk").to_numpy(), pc.binary_length(rest.column("keys")).to_numpy() // 4))
+        for to, c in ((keys, "keys"), (owners, "owners"), (several, "several")):
+            to.append(np.frombuffer(b"".join(rest.column(c).to_pylist()), "<u4"))
     if not chunks:
         return
-    flat = np.concatenate(keys)
+    chunk, flat, owner, known = (np.concatenate(x) for x in (chunks, keys, owners, several))
+    del chunks, keys, owners, several
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     same = np.zeros(len(flat), bool)
     same[1:] = ordered[1:] == ordered[:-1]
     same[:-1] |= same[1:]
-    known = np.unique(np.concatenate(several))
+    known = np.unique(known)
     if len(known):
         at = np.minimum(np.searchsorted(known, ordered), len(known) - 1)
         same |= known[at] == ordered
-    shared = np.zeros(len(flat), bool)
-    shared[order] = same
-    at = spans([len(k) for k in keys])
-    for k, chunk in enumerate(chunks):
-        own = owners[k][shared[at[k] : at[k + 1]]]
-        who, times = np.unique(own, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([np.stack([who, times]).astype("<u4").tobytes()], pa.binary()), pa.array([None], pa.binary())], names=["chunk", "shared", "about"])
+    mine = order[same]
+    # For each chunk that shares a key: its items and how many of their keys are shared.
+    ordered = np.lexsort((owner[mine], chunk[mine]))
+    chunk, owner = chunk[mine][ordered], owner[mine][ordered]
+    new = np.ones(len(chunk), bool)
+    new[1:] = (chunk[1:] != chunk[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    pairs = np.stack([owner[at], np.diff(np.append(at, len(chunk)))], axis=1).astype("<u4")
+    bounds = np.append(np.flatnonzero(np.diff(chunk[at], prepend=-1)), len(at))
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[at][bounds[:-1]], pa.int64()), cut_up(pairs.ravel(), 2 * bounds), pa.nulls(len(bounds) - 1, pa.binary())], names=names)
 
 
 def shared_in(found: DataFrame, buckets: int) -> DataFrame:
@@ -167,7 +189,7 @@ def shared_in(found: DataFrame, buckets: int) -> DataFrame:
 
 
 def sieve(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(i, n, sig, open): every row's id, set size, digest of its set, and whether enough of it is shared to link."""
+    """(i, h, n, sig, open): of every row of (i, h, t) id and hash of the text, set size, digest of its set, and whether enough of it is shared to link."""
     buckets = partitions_for(docs, BUCKET_BYTES)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,52 +201,48 @@ def sieve(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFr
             sets += found
             size += sum(map(len, found))
             if size >= CHUNK:
-                yield _chunk_rows(chunk, ids, sets, buckets)
+                yield from _chunk_rows(chunk, ids, sets, buckets)
                 chunk, ids, sets, size = chunk + 1, [], [], 0
         if ids:
-            yield _chunk_rows(chunk, ids, sets, buckets)
+            yield from _chunk_rows(chunk, ids, sets, buckets)
 
     def decided(rows: pa.Table) -> pa.Table:
         shared = rows.column("shared").to_pylist()
         about = next(a for a in rows.column("about").to_pylist() if a is not None)
         with pa.ipc.open_stream(about) as stream:
             about = stream.read_all().column(0).combine_chunks()
-        i, n, total, sig = (about.field(k) for k in range(4))
+        i, h, n, total, sig = (about.field(k) for k in range(5))
         total = total.to_numpy().copy()
         for x in shared:
             if x:
-                who, times = np.frombuffer(x, "<u4").reshape(2, -1)
+                who, times = np.frombuffer(x, "<u4").reshape(-1, 2).T
                 total[who] += times
         n_ = n.to_numpy()
-        return pa.table({"i": i, "n": n, "sig": sig, "open": pa.array((n_ > 0) & (100 * total >= percent * n_))})
+        return pa.table({"i": i, "h": h, "n": n, "sig": sig, "open": pa.array((n_ > 0) & (100 * total >= percent * n_))})
 
-    return shared_in(docs.mapInArrow(frugal(sent), MESSAGE), buckets).groupBy("chunk").applyInArrow(decided, "i long, n long, sig binary, open boolean")
+    return shared_in(docs.mapInArrow(frugal(sent), MESSAGE), buckets).groupBy("chunk").applyInArrow(decided, "i long, h long, n long, sig binary, open boolean")
 
 
 # --- 3. the index -----------------------------------------------------------
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(rep, sig, set) of texts that still have the digest of the representative they were picked for."""
+    """(rep, set) of texts that still have the digest that they were picked for."""
     for batch in batches:
         for part, text in slices(batch, "t"):
-            rows = [(i, sig, s.astype("<u8").tobytes()) for i, sig, s in zip(part.column("i").to_pylist(), part.column("sig").to_pylist(), shingle_sets(words(text), width), strict=True) if set_digest(s) == sig]
+            rows = [(rep, s.astype("<u8").tobytes()) for rep, sig, s in zip(part.column("rep").to_pylist(), part.column("sig").to_pylist(), shingle_sets(words(text), width), strict=True) if set_digest(s) == sig]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["rep", "sig", "set"])
-
-
-def _null_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(sig, set) of every text with words."""
-    for batch in batches:
-        for _, text in slices(batch, "t"):
-            rows = [(set_digest(s), s.astype("<u8").tobytes()) for s in shingle_sets(words(text), width) if len(s)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["sig", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["rep", "set"])
 
 
 def with_counts(sets: DataFrame) -> DataFrame:
-    """(rep, set, df): for each shingle of each set how many sets have it, by the same two exchanges as the sieve."""
+    """(rep, set, df): for each shingle of each set how many sets have it, by the same two exchanges as the sieve.
+
+    A set rides along through any bucket, told by its own number, and meets the
+    answers of its chunk behind the second exchange.
+    """
     buckets = partitions_for(sets, BUCKET_BYTES)
+    names = ["chunk", "bucket", "keys", "times", "rep", "set"]
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -233,32 +251,37 @@ def with_counts(sets: DataFrame) -> DataFrame:
         for batch in batches:
             for begin in range(0, len(batch), 2000):
                 part = batch.slice(begin, 2000)
-                own = [np.frombuffer(x, "<u8") for x in part.column("set").to_pylist()]
-                keys, times = np.unique(np.concatenate(own), return_counts=True)
-                bounds = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-                rows = [(chunk, b, keys[x:y].tobytes(), times[x:y].astype("<u4").tobytes(), None, None) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
-                rows += [(chunk, home_bucket(chunk, buckets), None, None, r, x) for r, x in zip(part.column("rep").to_pylist(), part.column("set").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["chunk", "bucket", "keys", "times", "rep", "set"])
+                keys, times = np.unique(np.frombuffer(b"".join(part.column("set").to_pylist()), "<u8"), return_counts=True)
+                bucket = bucket_of(keys, buckets)
+                told = np.unique(bucket)
+                bounds = np.append(np.searchsorted(bucket, told), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(told), chunk, np.int64)), pa.array(told.astype(np.int32)), cut_up(keys, bounds), cut_up(times.astype("<u4"), bounds), pa.nulls(len(told), pa.int64()), pa.nulls(len(told), pa.binary())], names=names)
+                spread = (mixed(part.column("rep").to_numpy().view(U64)) % U64(buckets)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, np.int64)), pa.array(spread), *[pa.nulls(len(part), pa.binary())] * 2, part.column("rep"), part.column("set")], names=names)
                 chunk += 1
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["chunk", "keys", "df", "rep", "set"]
         chunks, keys, times = [], [], []
         for batch in batches:
-            for chunk, _, k, m, rep, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([rep], pa.int64()), pa.array([own], pa.binary())], names=["chunk", "keys", "df", "rep", "set"])
-                else:
-                    chunks.append(chunk)
-                    keys.append(np.frombuffer(k, "<u8"))
-                    times.append(np.frombuffer(m, "<u4"))
+            own = batch.filter(batch.column("set").is_valid())
+            if len(own):
+                yield pa.RecordBatch.from_arrays([own.column("chunk"), *[pa.nulls(len(own), pa.binary())] * 2, own.column("rep"), own.column("set")], names=names)
+            rest = batch.filter(batch.column("set").is_null())
+            chunks.append(np.repeat(rest.column("chunk").to_numpy(), pc.binary_length(rest.column("keys")).to_numpy() // 8))
+            keys.append(np.frombuffer(b"".join(rest.column("keys").to_pylist()), "<u8"))
+            times.append(np.frombuffer(b"".join(rest.column("times").to_pylist()), "<u4"))
         if not chunks:
             return
-        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+        chunk, flat = np.concatenate(chunks), np.concatenate(keys)
+        distinct, back = np.unique(flat, return_inverse=True)
         df = np.bincount(back, np.concatenate(times), len(distinct)).astype(np.int64)[back]
-        at = spans([len(k) for k in keys])
-        for k, chunk in enumerate(chunks):
-            many = df[at[k] : at[k + 1]] > 1  # a shingle without an answer is in one set only
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([keys[k][many].tobytes()], pa.binary()), pa.array([df[at[k] : at[k + 1]][many].astype("<u4").tobytes()], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.binary())], names=["chunk", "keys", "df", "rep", "set"])
+        many = np.flatnonzero(df > 1)  # a shingle without an answer is in one set only
+        many = many[np.argsort(chunk[many], kind="stable")]
+        bounds = np.append(np.flatnonzero(np.diff(chunk[many], prepend=-1)), len(many))
+        if len(many):
+            n = len(bounds) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[many][bounds[:-1]], pa.int64()), cut_up(flat[many], bounds), cut_up(df[many].astype("<u4"), bounds), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
 
     def joined(rows: pa.Table) -> pa.Table:
         answers = [(np.frombuffer(k, "<u8"), np.frombuffer(d, "<u4")) for k, d in zip(rows.column("keys").to_pylist(), rows.column("df").to_pylist(), strict=True) if k is not None]
@@ -322,6 +345,7 @@ class Answers:
         else:
             at, common = np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
         self.n, self.pivot_size = n, len(pivot)
+        self.kind = np.float32 if max(n.max(initial=0), len(pivot)) < 1 << 23 else np.float64  # sums of whole numbers stay exact
         self.with_pivot = np.bincount(row[common], minlength=len(sets)).astype(np.int64)
         # Additions: shingles of a set that the pivot lacks, if two sets have them.
         _, back, times = np.unique(flat[~common], return_inverse=True, return_counts=True)
@@ -336,7 +360,7 @@ class Answers:
 
     def overlaps(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
         """|x & y| for x in ``one`` and y in ``other`` (places of sets)."""
-        total = (self.with_pivot[one][:, None] + self.with_pivot[other][None, :] - self.pivot_size).astype(np.float32)
+        total = (self.with_pivot[one][:, None] + self.with_pivot[other][None, :] - self.pivot_size).astype(self.kind)
         total += self._both(one, other, *self.additions, absent=False)
         column = np.full(self.pivot_size, -1, np.int64)
         column[self.varying] = np.arange(len(self.varying))
@@ -345,19 +369,36 @@ class Answers:
         return np.rint(total).astype(np.int64)
 
     def _both(self, one: np.ndarray, other: np.ndarray, row: np.ndarray, column: np.ndarray, width: int, absent: bool) -> np.ndarray:
-        out = np.zeros((len(one), len(other)), np.float32)
+        out = np.zeros((len(one), len(other)), self.kind)
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
         for begin in range(0, width, COLUMNS):
             a, b = np.searchsorted(column, [begin, begin + COLUMNS])
-            m = np.full((len(self.n), min(COLUMNS, width - begin)), np.float32(absent))
+            m = np.full((len(self.n), min(COLUMNS, width - begin)), absent, self.kind)
             m[row[a:b], column[a:b] - begin] = not absent
             out += m[one] @ m[other].T
         return out
 
+    def hopeful(self, one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs may link by their relations to the pivot alone.
+
+        What x and y share lies in the pivot or beside it: at most
+        min(|x & p|, |y & p|) + min(|x - p|, |y - p|) shingles.
+        """
+        inside, beside = self.with_pivot, self.n - self.with_pivot
+        most = np.minimum(inside[one][:, None], inside[other]) + np.minimum(beside[one][:, None], beside[other])
+        return 100 * most >= percent * (self.n[one][:, None] + self.n[other] - most)
+
     def links(self, one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
-        both = self.overlaps(one, other)
-        return 100 * both >= percent * (self.n[one][:, None] + self.n[other][None, :] - both)
+        """Which pairs link.  Only the rows and columns of pairs that may link are worked out."""
+        out = self.hopeful(one, other, percent)
+        if one is other:
+            np.fill_diagonal(out, False)
+        a, b = np.flatnonzero(out.any(axis=1)), np.flatnonzero(out.any(axis=0))
+        if len(a):
+            both = self.overlaps(one[a], other[b])
+            out[np.ix_(a, b)] &= 100 * both >= percent * (self.n[one[a]][:, None] + self.n[other[b]] - both)
+        return out
 
 
 def _grouped(linked: np.ndarray) -> np.ndarray:
@@ -457,26 +498,35 @@ def components_of_lists(lists: DataFrame, counted: DataFrame, percent: int = PER
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    own = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("t"))
+    text = docs[text_col].cast("string")
+    own = docs.select(docs[id_col].cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("t"))
     rows = written(sieve(own, width, percent), "sieve")
-    reps = written(rows.filter("open").groupBy("sig").agg(F.min("i").alias("rep")), "reps")
-    wanted = reps.filter("rep is not null").select(F.col("rep").alias("i"), "sig")
-    wanted = F.broadcast(wanted) if reps.count() <= BROADCAST_ROWS else wanted
-    sets = written(own.join(wanted, "i").mapInArrow(frugal(lambda b: _set_rows(b, width)), "rep long, sig binary, set binary").dropDuplicates(["sig"]), "sets")
-    # One id may stand for several sets if it is repeated with other texts; those sets then count as linked by it.
-    nameless = reps.filter("rep is null")
-    some = not nameless.isEmpty()
-    if some:  # sets that only rows without id have: they link like others, under a number of their own
-        reps = written(reps.withColumn("own", F.coalesce("rep", F.xxhash64("sig"))), "vertices")
-        found = own.filter("i is null").mapInArrow(frugal(lambda b: _null_sets(b, width)), "sig binary, set binary").dropDuplicates(["sig"])
-        found = found.join(reps.filter("rep is null").select("sig", F.col("own").alias("rep")), "sig").select("rep", "sig", "set")
-        sets = written(sets.unionByName(found), "sets")
-    parts = link_components(sets.select("rep", "set"), percent)
-    if some:
-        labels = reps.join(parts, reps.own == parts.v, "left").select("sig", "rep", F.coalesce("c", "own").alias("label"))
-        named = labels.join(labels.groupBy("label").agg(F.min("rep").alias("c")), "label").select("sig", "c")
+    # A set is told by its digest, and its shingles come from the first row that has it; rows are told by id and text.
+    first = F.min(F.struct(F.col("i").isNull().alias("none"), F.col("i"), F.col("h"))).alias("first")
+    reps = rows.filter("open").groupBy("sig").agg(first).select(F.xxhash64("sig").alias("rep"), "sig", "first.i", "first.h")
+    reps = written(reps, "reps")
+    picked = own.alias("o").join(small(reps).alias("w"), F.col("o.i").eqNullSafe(F.col("w.i")) & (F.col("o.h") == F.col("w.h"))).select("o.t", "w.rep", "w.sig")
+    sets = written(picked.mapInArrow(frugal(lambda b: _set_rows(b, width)), "rep long, set binary").dropDuplicates(["rep"]), "sets")
+    parts = link_components(sets, percent)
+    # Rows with one id are one document: its texts are in one component.  Empty texts link by their id only.
+    told = rows.withColumn("v", F.when(F.col("n") > 0, F.xxhash64("sig")).otherwise(F.xxhash64(F.lit("empty"), F.col("i"))))
+    ends = told.filter("i is not null").groupBy("i").agg(F.min("v").alias("a"), F.max("v").alias("z")).filter("a < z").select("i", "a")
+    ends = written(ends, "several-texts")
+    if not ends.isEmpty():
+        through = told.join(ends, "i").select("a", F.col("v").alias("b")).filter("a != b")
+        parts = components(parts.select(F.col("c").alias("a"), F.col("v").alias("b")).unionByName(through))
+        ids = reps.select(F.col("rep").alias("v"), "i").unionByName(told.join(ends, "i").select("v", "i"))
     else:
-        named = reps.join(parts, reps.rep == parts.v, "left").select("sig", F.coalesce("c", "rep").alias("c"))
-    out = rows.join(named, "sig", "left")
-    component = F.when(F.col("open"), F.coalesce("c", "i")).otherwise(F.col("i"))
-    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+        ids = reps.select(F.col("rep").alias("v"), "i")
+    # The component's name is the smallest id in it.
+    names = written(ids.join(parts, "v").groupBy("c").agg(F.min("i").alias("component_id")), "names")
+    linked = parts.join(small(names), "c").select("v", "component_id")
+    alone = reps.join(parts, reps.rep == parts.v, "left_anti").select(F.col("rep").alias("v"), F.col("i").alias("component_id"))
+    named = written(linked.unionByName(alone), "named")
+    out = told.join(small(named), "v", "left")
+    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"))
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table, marked to be sent to all workers if it has at most ``BROADCAST_ROWS`` rows (of some numbers each)."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

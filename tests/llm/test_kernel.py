@@ -1,8 +1,9 @@
+import random
 import re
 
 import numpy as np
 import pyarrow as pa
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessalith.llm import kernel
@@ -14,6 +15,7 @@ def plain(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+@settings(deadline=None)
 @given(TEXTS)
 def test_words_are_those_of_the_pattern(texts):
     text = kernel.Text(pa.array(texts, pa.string()))
@@ -22,6 +24,7 @@ def test_words_are_those_of_the_pattern(texts):
     assert got == [plain(t) for t in texts]
 
 
+@settings(deadline=None)
 @given(TEXTS)
 def test_equal_hashes_are_equal_words(texts):
     text = kernel.Text(pa.array(texts, pa.string()))
@@ -34,6 +37,7 @@ def test_equal_hashes_are_equal_words(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+@settings(deadline=None)
 @given(TEXTS, st.integers(1, 6))
 def test_shingle_sets_match_brute_force(texts, width):
     text = kernel.Text(pa.array(texts, pa.string()))
@@ -54,3 +58,14 @@ def test_slices_hold_every_row_once():
     parts = list(kernel.slices(batch, "t", limit=10))
     assert sum(len(p) for p, _ in parts) == 7
     assert b"".join(t.data.tobytes() for _, t in parts) == b"x" * 259
+
+
+def test_hashes_of_long_texts_are_those_of_short_slices(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abCé ") for _ in range(rng.randint(1, 9))) for _ in range(300)) for _ in range(4)]
+    runs = kernel.words(kernel.Text(pa.array(texts)))
+    want = runs.hashes(), runs.hashes(lower=True)
+    for size in (37, 100, 1000):
+        monkeypatch.setattr(kernel, "SLICE_BYTES", size)
+        again = kernel.words(kernel.Text(pa.array(texts)))
+        assert (again.hashes() == want[0]).all() and (again.hashes(lower=True) == want[1]).all()

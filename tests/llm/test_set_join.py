@@ -110,3 +110,36 @@ def test_sets_that_only_rows_without_id_have_link(spark):
     got = sj.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.component_id) for r in got if r.doc_id or r.component_id) == [(-1, 7), (7, 7), (9, 7), (11, 11)]
     assert sum(r.doc_id is None and r.component_id is None for r in got) == 2
+
+
+def test_texts_of_one_id_are_one_document(documents):
+    rng = random.Random(21)
+    text = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    one, two, three = text(50), text(50), text(50)
+    rows = [(4, one), (9, one[2:]), (9, two), (6, two[:-3]), (7, three), (7, text(9)), (3, three[1:]), (8, []), (8, three[2:])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    assert found(documents(rows)) == brute(rows)
+
+
+@pytest.mark.parametrize("buckets", [4, 400, 40_000])
+def test_messages_grow_with_keys_not_with_buckets(buckets):
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 2**64, 1000, dtype=np.uint64)
+    keys = np.concatenate([keys, keys[:100]])
+    rows, local = sj.messages(5, keys, np.arange(len(keys)) % 11, 11, buckets)
+    assert len(rows) <= min(buckets, 1000) and local.sum() == 200
+    assert sum(len(x) for x in rows.column("keys").to_pylist()) == 4 * 900 == sum(len(x) for x in rows.column("owners").to_pylist())
+    assert sum(len(x) for x in rows.column("several").to_pylist()) == 4 * 100
+    for chunk, b, k in zip(*(rows.column(c).to_pylist() for c in ("chunk", "bucket", "keys"))):
+        own = keys[sj.bucket_of(keys, buckets) == b].astype("<u4")
+        assert chunk == 5 and set(np.frombuffer(k, "<u4").tolist()) <= set(own.tolist())
+
+
+def test_pairs_that_cannot_link_are_left_out_by_the_pivot():
+    rng = np.random.default_rng(4)
+    near = [np.unique(np.concatenate([np.arange(60, dtype=np.uint64), rng.integers(100, 10**6, 4, dtype=np.uint64)])) for _ in range(5)]
+    far = [np.unique(rng.integers(10**6, 10**7, 60, dtype=np.uint64)) for _ in range(5)]
+    answers = sj.Answers(near[0], near + far)
+    places = np.arange(10)
+    hope = answers.hopeful(places[:5], places[5:], 75)
+    assert not hope.any() and answers.links(places, places, 75)[:5, :5].sum() == 20
