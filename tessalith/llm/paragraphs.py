@@ -7,22 +7,26 @@
    Paragraphs of fewer than five words are left out.
 2. *Banding.*  A paragraph's set is its 5-word shingles.  ``bands()`` gives the
    least number of bands of ``ROWS`` MinHash values that reaches ``RECALL`` at
-   the similarity ``PERCENT``.  Band keys are counted as in the set join's
-   sieve; a paragraph that shares no key is done.
-3. *Verification.*  Equal paragraphs are one set.  The paragraphs that collide
-   with any other are joined with each other and verified by exact Jaccard;
-   their prefixes say which of them can reach the similarity at all, so a
-   popular key costs no pairs (see ``set_join``).
+   the similarity ``PERCENT``; equal paragraphs always collide.  Band keys are
+   counted as in the set join's sieve; a paragraph that shares no key is done.
+3. *Verification.*  Equal paragraphs are one set.  Sets that share a band key
+   are joined on it, and every colliding pair is verified by exact Jaccard
+   inside its task; what leaves the task is a forest of the links.  A key that
+   more than ``HOT`` different sets have would make too many pairs: such sets
+   go through the exact index of the set join, which finds all their links.
 4. *Removal.*  Components of the verified links are clusters.  The first
    occurrence (by document, then place) stays, the others are marked removed.
-   A mark counts if the cluster stands in two documents and the marked
-   paragraphs in a row are ``LEAST_WORDS`` long together: short lines that many
-   documents have are not passages.
+5. *Passages.*  Paragraphs of clusters that stand in two documents and follow
+   each other are one passage, also over a gap of at most ``BRIDGE`` words if
+   both sides stand as far apart in the other document (an edit inside).  At its
+   ends a passage grows as far as both documents are alike there.  It counts
+   if it is ``LEAST_WORDS`` long and either has no gap or ``PERCENT`` of its words
+   are matched: lines that many documents have are not passages.
 
 Defined results.  Null and empty texts have no paragraph.  Long texts are read
-whole.  Rows with an equal id are one document, and equal paragraphs at the
-same place in them one paragraph.  Empty table: no rows.  Rows with a null id
-are left out: a cluster could not name them.  Other columns are not read.
+whole.  Rows with an equal id and text are one document; with another text they
+are another.  A null id is kept and sorts last.  Empty table: no rows.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -32,17 +36,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessalith.llm import set_join
+from tessalith.llm.components import components
 from tessalith.llm.kernel import U64, Runs, frugal, mixed, slices, windows, words
 from tessalith.llm.storage import partitions_for, removed, written
 
-REACH, WIDTH, LEAST_WORDS = 5, 5, 16
-PERCENT, ROWS, RECALL = 75, 2, 0.99
+REACH, WIDTH, LEAST_WORDS = 5, 5, 45
+PERCENT, ROWS, RECALL = 75, 3, 0.95
+#: Words of a gap inside a passage at most, words by which its sides may have moved, and words that a passage grows by at an end.
+BRIDGE, MOVED, CONTEXT = 30, 3, 24
 #: Band keys that a task counts before it sends them on.
 CHUNK = 1_000_000
+#: Different sets of one band key up to which all of them are compared.
+HOT = 256
+#: Sets, and pairs of sets with a common shingle, that are compared at once.
+SETS_AT_ONCE, PAIRS_AT_ONCE = 20_000, 2_000_000
 #: Marked paragraphs up to which they (16 bytes each) are sent to all workers to pick the texts; beyond, the texts are shuffled.
 BROADCAST_ROWS = 100_000
 #: Digests that a task remembers to have sent the set for.
@@ -103,93 +114,204 @@ class Paragraphs:
 
 
 def suspects(docs: DataFrame) -> DataFrame:
-    """(i, paragraphs): the documents and numbers of paragraphs that share a band key."""
+    """(i, h, number) of the paragraphs that share a band key, of rows (i, h, t)."""
     buckets = partitions_for(docs, set_join.BUCKET_BYTES)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk, keys, ids, numbers, size = TaskContext.get().partitionId() << 24, [], [], [], 0
+        chunk, keys, told, size = TaskContext.get().partitionId() << 24, [], [], 0
 
-        def rows() -> pa.RecordBatch:
+        def rows() -> Iterator[pa.RecordBatch]:
             flat = np.concatenate(keys)
             out, local = set_join.messages(chunk, flat.ravel(), np.repeat(np.arange(len(flat)), bands()), len(flat), buckets)
-            about = np.stack([np.concatenate(ids), np.concatenate(numbers), local]).astype("<i8").tobytes()
-            return set_join.message_batch([*out, (chunk, set_join.home_bucket(chunk, buckets), b"", b"", b"", about)])
+            yield out
+            yield set_join.about_itself(chunk, buckets, np.concatenate([*np.concatenate(told, axis=1), local]).astype("<i8").tobytes())
 
         for batch in batches:
             for part, text in slices(batch, "t"):
                 found = Paragraphs(words(text))
                 if len(found):
                     keys.append(found.keys())
-                    ids.append(part.column("i").to_numpy()[found.row])
-                    numbers.append(found.number)
+                    known = part.column("i").is_valid().to_numpy(zero_copy_only=False)[found.row]
+                    told.append(np.stack([part.column("i").fill_null(0).to_numpy()[found.row], known, part.column("h").to_numpy()[found.row], found.number]))
                     size += keys[-1].size
                 if size >= CHUNK:
-                    yield rows()
-                    chunk, keys, ids, numbers, size = chunk + 1, [], [], [], 0
+                    yield from rows()
+                    chunk, keys, told, size = chunk + 1, [], [], 0
         if keys:
-            yield rows()
+            yield from rows()
 
     def decided(rows: pa.Table) -> pa.Table:
         about = next(a for a in rows.column("about").to_pylist() if a is not None)
-        ids, numbers, total = np.frombuffer(about, "<i8").reshape(3, -1).copy()
+        ids, known, texts, numbers, total = np.frombuffer(about, "<i8").reshape(5, -1).copy()
         for x in rows.column("shared").to_pylist():
             if x:
-                who, times = np.frombuffer(x, "<u4").reshape(2, -1)
+                who, times = np.frombuffer(x, "<u4").reshape(-1, 2).T
                 total[who] += times
-        return pa.table({"i": ids[total > 0], "number": numbers[total > 0]})
+        on = total > 0
+        return pa.table({"i": pa.array(ids[on], mask=known[on] == 0), "h": texts[on], "number": numbers[on]})
 
     found = set_join.shared_in(docs.mapInArrow(frugal(sent), set_join.MESSAGE), buckets)
-    return found.groupBy("chunk").applyInArrow(decided, "i long, number long").distinct()
+    return found.groupBy("chunk").applyInArrow(decided, "i long, h long, number long").distinct()
+
+
+PICKED = "i long, h long, number long, begin long, n_words long, sig long, before binary, after binary, set binary, keys array<long>"
+_PICKED = (*[pa.int64()] * 6, *[pa.binary()] * 3, pa.list_(pa.int64()))
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted paragraphs of the texts with their set's digest; the set itself once for each digest of a task."""
+    """The wanted paragraphs with their set's digest and the words around them (two bytes each, the nearest first); set and band keys once for each digest of a task."""
     seen: set[int] = set()
     for batch in batches:
         for part, text in slices(batch, "t"):
             runs = words(text)
             found = Paragraphs(runs)
-            ids, wanted = part.column("i").to_pylist(), [set(w) for w in part.column("numbers").to_pylist()]
+            brief = (runs.hashes(lower=True) >> U64(48)).astype("<u2")
+            ids, texts, wanted = part.column("i").to_pylist(), part.column("h").to_pylist(), [set(w) for w in part.column("numbers").to_pylist()]
+            mine = [k for k, (row, number) in enumerate(zip(found.row.tolist(), found.number.tolist(), strict=True)) if number in wanted[row]]
+            keys = found.keys().view(np.int64) if mine else None
             rows = []
-            for k, (row, number) in enumerate(zip(found.row.tolist(), found.number.tolist(), strict=True)):
-                if number in wanted[row]:
-                    own = found.set_of(k)
-                    sig = int.from_bytes(set_join.set_digest(own)[:8], "little", signed=True)
-                    rows.append((ids[row], number, int(found.begin[k] - runs.first[row]), int(found.end[k] - found.begin[k]), sig, None if sig in seen else own.astype("<u8").tobytes()))
-                    seen.add(sig)
+            for k in mine:
+                row, a, b = found.row[k], int(found.begin[k]), int(found.end[k])
+                own = found.set_of(k)
+                sig = int.from_bytes(set_join.set_digest(own)[:8], "little", signed=True)
+                before = brief[max(int(runs.first[row]), a - CONTEXT) : a][::-1].tobytes()
+                after = brief[b : min(int(runs.first[row + 1]), b + CONTEXT)].tobytes()
+                new = sig not in seen
+                rows.append((ids[row], texts[row], int(found.number[k]), a - int(runs.first[row]), b - a, sig, before, after, own.astype("<u8").tobytes() if new else None, keys[k].tolist() if new else None))
+                seen.add(sig)
             if len(seen) > SEEN:
                 seen.clear()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 5, pa.binary()), strict=True)], names=["i", "number", "begin", "n_words", "sig", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PICKED, strict=True)], names=[f.split()[0] for f in PICKED.split(", ")])
+
+
+def verified_links(group: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the smallest place that it reaches by links to sets of its group (groups are runs)."""
+    n = np.array([len(s) for s in sets], np.int64)
+    flat, owner = np.concatenate([np.zeros(0, U64), *sets]), np.repeat(np.arange(len(sets)), n)
+    order = np.lexsort((owner, flat, group[owner]))
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (group[owner[1:]] != group[owner[:-1]])
+    # Each entry is paired with the later ones of its run, a bounded number of pairs at once; the counts add up by group.
+    run_end = np.append(np.flatnonzero(new), len(flat))[np.cumsum(new)]
+    later = run_end - np.arange(len(flat)) - 1
+    label = np.arange(len(sets))
+    edges = np.append(np.flatnonzero(np.diff(group[owner], prepend=-1)), len(flat)) if len(flat) else np.zeros(1, np.int64)
+    weight = np.add.reduceat(later, edges[:-1]) if len(flat) else np.zeros(0, np.int64)
+    cut = np.searchsorted(np.cumsum(weight), np.arange(PAIRS_AT_ONCE, weight.sum() + PAIRS_AT_ONCE, PAIRS_AT_ONCE)) if len(weight) else []
+    for a, b in zip([0, *(c + 1 for c in cut)], [*(min(c + 1, len(weight)) for c in cut), len(weight)], strict=True):
+        if a >= b:
+            continue
+        lo, hi = edges[a], edges[b]
+        m = later[lo:hi]
+        x = np.repeat(np.arange(lo, hi), m)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+        code, both = np.unique(owner[x] * len(sets) + owner[y], return_counts=True)
+        x, y = code // len(sets), code % len(sets)
+        linked = 100 * both >= percent * (n[x] + n[y] - both)
+        x, y = x[linked], y[linked]
+        while len(x):
+            a, b = label[x], label[y]
+            least = np.minimum(a, b)
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            while (label != label[label]).any():
+                label = label[label]
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+    return label
 
 
-PICKED = "i long, number long, begin long, n_words long, sig long, set binary"
+def _colliding(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the sets that have a band key in common, from rows (key, rep, set) in order of their keys."""
+    held: list[pa.RecordBatch] = []
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        key, rep = rows.column("key").to_numpy(), rows.column("rep").to_numpy()
+        group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+        label = verified_links(group, [np.frombuffer(x, "<u8") for x in rows.column("set").to_pylist()], percent)
+        a, b = rep, rep[label]
+        return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= SETS_AT_ONCE:
+            rows = pa.Table.from_batches(held)
+            key = rows.column("key").to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if whole:
+                yield links(rows.slice(0, whole))
+                held = rows.slice(whole).to_batches()
+    if held:
+        yield links(pa.Table.from_batches(held))
+
+
+def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(v, c): for every set of (rep, set, keys) that links with a colliding one the smallest rep of its component."""
+    entries = sets.select("rep", F.explode("keys").alias("key"))
+    members = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    several = written(entries.join(members, "key"), "collisions")
+    own = sets.select("rep", "set")
+    some = several.filter(F.col("members") <= HOT).select("key", "rep").join(own, "rep")
+    some = some.repartition(partitions_for(sets, set_join.BUCKET_BYTES), "key").sortWithinPartitions("key")
+    edges = written(some.mapInArrow(frugal(lambda b: _colliding(b, percent)), "a long, b long").distinct(), "links")
+    hot = written(several.filter(F.col("members") > HOT).select("rep").distinct().join(own, "rep"), "hot")
+    links = edges if hot.isEmpty() else edges.unionByName(set_join.link_components(hot, percent).select(F.col("v").alias("a"), F.col("c").alias("b")))
+    out = components(links)
+    removed(sets.sparkSession, several, edges, hot)
+    return out
+
+
+def same_words(a: Column, b: Column, percent: int = PERCENT) -> Column:
+    """How far two contexts are alike: the most words of which at least ``percent`` stand at the same places in both."""
+    n = (F.least(F.octet_length(a), F.octet_length(b)) / 2).cast("int")
+    places = F.filter(F.sequence(F.lit(1), F.lit(CONTEXT)), lambda k: (k <= n) & (F.substring(a, 2 * k - 1, F.lit(2)) == F.substring(b, 2 * k - 1, F.lit(2))))
+    good = F.transform(places, lambda p, k: F.when(100 * (k + 1) >= percent * p, p).otherwise(0))
+    return F.coalesce(F.array_max(good), F.lit(0))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, paragraph, begin_word, n_words, first_doc_id, first_paragraph, removed of each paragraph in a repeated passage."""
+    """doc_id, paragraph, begin_word, n_words, first_doc_id, first_paragraph, removed, passage_words of each paragraph in a repeated passage."""
     spark = docs.sparkSession
-    own = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("t")).filter("i is not null")
+    text = docs[text_col].cast("string")
+    own = docs.select(docs[id_col].cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("t"))
     marked = written(suspects(own), "suspects")
-    repeated = not own.groupBy("i").count().filter("count > 1").isEmpty()  # then equal rows give equal paragraphs
-    wanted = marked.groupBy("i").agg(F.collect_list("number").alias("numbers"))  # one text's paragraphs at most
-    wanted = F.broadcast(wanted) if marked.count() <= BROADCAST_ROWS else wanted
-    picked = written(own.join(wanted, "i").mapInArrow(frugal(_picked), PICKED), "paragraphs")
-    sets = written(picked.filter("set is not null").select(F.col("sig").alias("rep"), "set").dropDuplicates(["rep"]), "sets")
-    parts = set_join.link_components(sets, percent)
-    place = F.struct("i", "number")
-    clusters = picked.join(parts, picked.sig == parts.v, "left").withColumn("cluster", F.coalesce("c", "sig"))
-    clusters = clusters.select("i", "number", "begin", "n_words", "cluster")
-    clusters = written(clusters.distinct() if repeated else clusters, "clusters")
+    wanted = marked.groupBy("i", "h").agg(F.collect_list("number").alias("numbers"))  # one text's paragraphs at most
+    wanted = (F.broadcast(wanted) if marked.count() <= BROADCAST_ROWS else wanted).alias("w")
+    chosen = own.alias("o").join(wanted, F.col("o.i").eqNullSafe(F.col("w.i")) & (F.col("o.h") == F.col("w.h"))).select("o.*", "w.numbers")
+    picked = written(chosen.mapInArrow(frugal(_picked), PICKED), "paragraphs")
+    sets = written(picked.filter("set is not null").select(F.col("sig").alias("rep"), "set", "keys").dropDuplicates(["rep"]), "sets")
+    parts = link_components(sets, percent)
+    document = F.struct(F.col("i").isNull().alias("none"), "i", "h")
+    clusters = picked.join(set_join.small(parts), picked.sig == parts.v, "left").withColumn("cluster", F.coalesce("c", "sig"))
+    clusters = clusters.select(document.alias("d"), "number", "begin", "n_words", "cluster", "before", "after")
+    # Rows with an equal id and text repeat their paragraphs.
+    repeated = not own.groupBy("i", "h").count().filter("count > 1").isEmpty()
+    clusters = written(clusters.dropDuplicates(["d", "number"]) if repeated else clusters, "clusters")
     removed(spark, marked, sets, picked)
-    across = clusters.groupBy("cluster").agg(F.min(place).alias("first"), F.max("i").alias("last")).filter("first.i < last")
-    rows = clusters.join(across, "cluster")
-    # Marked paragraphs that follow each other form a passage.
-    order = Window.partitionBy("i").orderBy("begin", "cluster")
-    rows = rows.withColumn("new", (F.col("begin") > F.coalesce(F.max(F.col("begin") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-    rows = rows.withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("long", F.sum("n_words").over(Window.partitionBy("i", "passage"))).filter(F.col("long") >= least_words)
-    out = rows.select(F.col("i").alias(id_col), F.col("number").alias("paragraph"), F.col("begin").alias("begin_word"), "n_words", F.col("first.i").alias("first_doc_id"), F.col("first.number").alias("first_paragraph"), ((F.col("i") != F.col("first.i")) | (F.col("number") != F.col("first.number"))).alias("removed"))
-    return out
+    place = F.struct("d", "number", "begin", "n_words", "before", "after")
+    across = clusters.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first.d < last.d")
+    other = F.when(F.col("d") == F.col("first.d"), F.col("last")).otherwise(F.col("first"))
+    rows = clusters.join(across, "cluster").withColumn("other", other).select("d", "number", "begin", "n_words", "before", "after", F.col("first.d").alias("first"), F.col("first.number").alias("first_number"), "other")
+    # Paragraphs that follow each other, or leave the same gap in the other document, form a passage.
+    end = F.col("begin") + F.col("n_words")
+    order = Window.partitionBy("d").orderBy("begin", "number")
+    gap = F.col("begin") - F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    there = F.col("other.begin") - F.col("begin")
+    along = (F.lag("other.d").over(order) == F.col("other.d")) & (F.abs(there - F.lag(there).over(order)) <= MOVED) & (gap <= BRIDGE)
+    rows = rows.withColumns({"opens": F.when(gap < WIDTH, 0).otherwise(1), "new": F.when((gap < WIDTH) | along, 0).otherwise(1)})
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"piece": F.sum("opens").over(so_far), "passage": F.sum("new").over(so_far), "closes": F.coalesce(F.lead("opens").over(order), F.lit(1))})
+    grown = lambda edge, side: F.when(F.col(edge) == 1, same_words(F.col(side), F.col(f"other.{side}"))).otherwise(0)
+    rows = rows.withColumns({"ahead": grown("opens", "before"), "behind": grown("closes", "after")})
+    matched = F.col("n_words") + F.col("ahead") + F.col("behind")
+    length = lambda w: F.max(end + F.col("behind")).over(w) - F.min(F.col("begin") - F.col("ahead")).over(w)
+    piece, passage = Window.partitionBy("d", "piece"), Window.partitionBy("d", "passage")
+    rows = rows.withColumns({"run": length(piece), "whole": length(passage), "matched": F.sum(matched).over(passage)})
+    whole = (F.col("whole") >= least_words) & (100 * F.col("matched") >= percent * F.col("whole"))
+    rows = rows.filter(whole | (F.col("run") >= least_words))
+    is_first = (F.col("d") == F.col("first")) & (F.col("number") == F.col("first_number"))
+    return rows.select(F.col("d.i").alias(id_col), F.col("number").alias("paragraph"), F.col("begin").alias("begin_word"), "n_words", F.col("first.i").alias("first_doc_id"), F.col("first_number").alias("first_paragraph"), (~is_first).alias("removed"), F.when(whole, F.col("whole")).otherwise(F.col("run")).alias("passage_words"))

@@ -93,5 +93,61 @@ def test_passages_are_found_and_clean_documents_left_alone(documents, monkeypatc
 def test_empty_table_and_null_ids(spark, documents):
     assert pg.repeated_passages(documents([])).count() == 0
     text = " ".join(babble(random.Random(5), 60))
-    rows = pg.repeated_passages(spark.createDataFrame([(None, text), (1, text)], "doc_id long, text string")).collect()
-    assert rows == []
+    other = " ".join(["x", *text.split()[:-1]])
+    rows = pg.repeated_passages(spark.createDataFrame([(None, text), (1, other), (1, other), (None, "")], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == {None, 1} and {r.first_doc_id for r in rows} == {1} and all(r.removed == (r.doc_id is None) for r in rows)
+    # Equal rows are one document: nothing is repeated.
+    assert pg.repeated_passages(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).count() == 0
+
+
+def test_links_within_groups_match_brute_force(monkeypatch):
+    rng = np.random.default_rng(9)
+    for at_once in (7, 10**6):
+        monkeypatch.setattr(pg, "PAIRS_AT_ONCE", at_once)
+        base = [rng.integers(0, 40, 14, dtype=np.uint64) for _ in range(4)]
+        sets = [np.unique(np.concatenate([base[rng.integers(4)][: rng.integers(8, 15)], rng.integers(50, 90, rng.integers(0, 4), dtype=np.uint64)])) for _ in range(60)]
+        group = np.sort(rng.integers(0, 5, 60))
+        label = pg.verified_links(group, sets, 75)
+        want = np.arange(60)
+        for _ in range(60):
+            for x in range(60):
+                for y in range(60):
+                    both = len(np.intersect1d(sets[x], sets[y]))
+                    if group[x] == group[y] and 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                        want[x] = min(want[x], want[y])
+        assert (label == want).all()
+
+
+@pytest.mark.parametrize("hot", [2, 256])
+def test_links_of_colliding_paragraphs_reach_the_recall_against_all_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(pg, "HOT", hot)
+    rng = np.random.default_rng(5)
+    sets, pairs = [], set()
+    for k in range(120):
+        root = rng.integers(0, 2**62, 24, dtype=np.uint64)
+        for cut in (0, *rng.integers(1, 7, 2)):
+            sets.append(np.unique(np.concatenate([root[: 24 - cut], rng.integers(0, 2**62, rng.integers(0, 3), dtype=np.uint64)])))
+    for x in range(len(sets)):
+        for y in range(x):
+            both = len(np.intersect1d(sets[x], sets[y]))
+            if 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                pairs.add((x, y))
+    found = pg.Paragraphs(words(Text(pa.array([""]))))
+    found.begin, found.shingle, found.first = np.zeros(len(sets)), np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    rows = [(k, bytearray(s.astype("<u8").tobytes()), keys) for k, (s, keys) in enumerate(zip(sets, found.keys().view(np.int64).tolist()))]
+    parts = {r.v: r.c for r in pg.link_components(spark.createDataFrame(rows, "rep long, set binary, keys array<long>")).collect()}
+    caught = sum(parts.get(x, -1) == parts.get(y, -2) for x, y in pairs)
+    assert len(pairs) > 150 and caught / len(pairs) >= 0.95
+    for v, c in parts.items():  # nothing is joined without links
+        assert v // 3 == c // 3
+
+
+def test_a_passage_with_an_edit_inside_is_found(documents):
+    rng = random.Random(6)
+    rows, edited = [], 0
+    for k in range(40):
+        passage = babble(rng, 55)
+        changed = [*passage[:27], babble(rng, 1)[0], *passage[28:]]
+        rows += [(2 * k, " ".join(babble(rng, 30) + passage + babble(rng, 30))), (2 * k + 1, " ".join(babble(rng, 33) + changed + babble(rng, 20)))]
+    got = {r.doc_id for r in pg.repeated_passages(documents(rows)).collect()}
+    assert sum({2 * k, 2 * k + 1} <= got for k in range(40)) >= 36
