@@ -14,7 +14,8 @@ whole.
 Defined results.  Null texts and texts without a letter are ``und`` with score
 0.  With one learnt language everything else is that language with score 1;
 with none everything is ``und``.  Ties go to the language first by code point.
-Repeated rows count each; empty table: no rows; other columns are not read.
+Repeated rows give a row each and are learnt from once; empty table: no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -193,8 +194,9 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, do
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.binary()), strict=True)], names=["l", "p", "x"])
 
     sampled = own.withColumn("p", place("i", "t")).filter(F.col("p") < share).select("l", "p", "t")
-    most = 4 * documents * max(1, len(counts))  # bites only where one document has very many copies
-    rows = sorted(map(tuple, sampled.limit(most).mapInArrow(frugal(cut), "l string, p double, x binary").collect()))  # little more than ``documents`` small rows a language
+    # Rows that agree in id and text are one; what is left are little more than ``documents`` small rows a language.
+    sampled = sampled.groupBy("l", "p").agg(F.min("t").alias("t"))
+    rows = sorted(map(tuple, sampled.mapInArrow(frugal(cut), "l string, p double, x binary").collect()))
     taken: dict[str, int] = {}
     out = []
     for lang, _, x in rows:

@@ -28,25 +28,27 @@ def share_for(wanted: int, rows: int) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, sizes: dict[int, int], folds: int = 3, out: int = 1) -> DataFrame:
-    """(i, t, y, w) of at most ``sizes[y]`` labelled rows of each class outside the held-out fold, each standing for ``w`` rows of its class.
+    """(i, t, y, w) of at most ``sizes[y]`` labelled documents of each class outside the held-out fold, each standing for ``w`` of its class.
 
     Classes are cut at different shares, so the classes' true share is that of
     the weights; counting rows would make it a matter of the table's size.
 
-    Rows are chosen by a hash of the id, so the choice is the same on every
-    run.  Only rows in the share of places that holds enough are sorted, so
+    Documents are chosen by a hash of the id, so the choice is the same on every
+    run.  Only labels in the share of places that holds enough are sorted, so
     what reaches one task does not grow with the table.  The chosen ids are
-    bounded by ``sizes``; therefore they may be broadcast to the documents.
+    bounded by ``sizes``; therefore they may be broadcast to the documents.  A
+    label that is there twice counts once; of several texts under one id the
+    smallest is learnt from, so there are never more rows than chosen ids.
     """
-    labels = labels.select(labels[id_col].cast("long").alias("i"), labels[label_col].cast("int").alias("y")).filter(~fold(F.col("i"), folds, out))
-    counts = {r.y: r["count"] for r in labels.filter(F.col("y").isin(list(sizes))).groupBy("y").count().collect()}  # a row for each class
+    labels = labels.select(labels[id_col].cast("long").alias("i"), labels[label_col].cast("int").alias("y")).filter(F.col("y").isin(list(sizes)) & ~fold(F.col("i"), folds, out)).distinct()
+    counts = {r.y: r["count"] for r in labels.groupBy("y").count().collect()}  # a row for each class
     chosen = None
     for y, n in sizes.items():
         near = labels.filter((F.col("y") == y) & (place("i") < share_for(n, counts.get(y, 0))))
         part = near.orderBy(place("i"), "i").limit(n).withColumn("w", F.lit(max(1.0, counts.get(y, 0) / n)))
         chosen = part if chosen is None else chosen.unionByName(part)
     own = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("t"))
-    return own.join(F.broadcast(chosen), "i").select("i", "t", "y", "w")
+    return own.join(F.broadcast(chosen), "i").groupBy("i", "y", "w").agg(F.min("t").alias("t")).select("i", "t", "y", "w")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

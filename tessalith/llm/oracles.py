@@ -24,7 +24,7 @@ def _position(share: str, knots: tuple[tuple[float, float], ...]) -> str:
 
 _MIX = f"""
 WITH d AS (
-  SELECT doc_id, source, len({WORDS.format("text")}) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents
+  SELECT doc_id, source, len({WORDS.format("text")}) AS size, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', md5(coalesce(text, '')))) AS k FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), r AS (
@@ -39,17 +39,25 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, weight, least(3.0::DOUBLE * source_size, x.level * weight) AS target FROM w, x
 ), p AS (
-  SELECT d.*, t.source_size, t.weight, t.target, floor(t.target)::BIGINT AS whole,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  SELECT d.*, row_number() OVER () AS n, t.source_size, t.weight, t.target, floor(t.target)::BIGINT AS whole,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), q AS (
-  SELECT *, CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS passes, CASE WHEN whole > 0 THEN before / whole::DOUBLE ELSE 0 END AS share FROM p
+  SELECT *, CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS passes FROM p
 ), z AS (
   SELECT *, (passes * size + least(size, greatest(whole - passes * source_size - before, 0)))::BIGINT AS taken FROM q
+), c AS (
+  SELECT *, unnest(range(0, CASE WHEN size > 0 THEN ceil(taken / size::DOUBLE)::BIGINT ELSE passes END)) AS c FROM z
+), h AS (
+  SELECT *, CASE WHEN whole > 0 THEN (c * source_size + before) / whole::DOUBLE ELSE 0 END AS share FROM c
+), a AS (
+  SELECT *, CASE weight {" ".join(f"WHEN {w} THEN {_position('share', k)}" for w, k in mixing.SCHEDULES.items())} END AS position FROM h
+), o AS (
+  SELECT n, position, row_number() OVER (ORDER BY position, source NULLS LAST, k, before, c) - 1 AS rank FROM a
+), g AS (
+  SELECT n, count(*) AS copies, min(position) AS first_position, min(rank) AS first_rank FROM o GROUP BY n
 )
-SELECT doc_id, size::BIGINT AS size, source_size, target, taken,
-       CASE WHEN taken > 0 THEN round(CASE weight {" ".join(f"WHEN {w} THEN {_position('share', k)}" for w, k in mixing.SCHEDULES.items())} END, 6) END AS first_position
-FROM z
+SELECT doc_id, size::BIGINT AS size, source_size, target, taken, coalesce(copies, 0)::BIGINT AS copies, round(first_position, 6) AS first_position, first_rank FROM z LEFT JOIN g USING (n)
 """
 
 _JOIN = f"""

@@ -40,9 +40,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
+    """What the mix takes of every document, and where its copies begin in the sorted training order."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), F.round("__position", 6).alias("first_position"))
+    return mixed.withColumn("first_position", F.round("first_position", 6))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from token-id files."""
     docs = table(spark, sf_dir, "documents")
-    return token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "position")
+    return token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "position")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

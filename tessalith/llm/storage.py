@@ -2,7 +2,8 @@
 
 Every path is inside the folder named by ``spark.checkpoint.dir``, which the
 driver and all executors share.  A folder of our own is set only when the
-session names none (tests, a laptop).
+session names none and runs on one machine (tests, a laptop); on a cluster a
+folder of one machine would not do, so there the setting is needed.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, set first if there is none."""
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="tessalith-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")

@@ -6,7 +6,7 @@ A dataset is a folder:
     the shared dictionary, trained on the serialised ids of a bounded sample;
 ``shard-NNNNNNNNNNNN.ids``
     a header (magic, version, xxh3-64 of the dictionary), one zstandard frame
-    per document in ascending ``doc_id``, an index with for each document
+    per document in ascending ``doc_id`` (or in a given order), an index with for each document
     ``doc_id, n_tokens, frame offset, frame length`` (four little-endian
     int64), and a footer (index offset, documents, tokens, magic).
 
@@ -15,15 +15,17 @@ integer, the end id included.  One document is read by its index entry and one
 frame: nothing before it is decompressed.
 
 Defined results.  Null text: the end id alone.  Repeated ``doc_id``: every row
-is kept, ordered by the ids' bytes among equal ``doc_id``.  Empty table: a
-dictionary of no bytes and no shard.  Columns besides id and text are ignored.
+is kept, ordered by a hash of the text among equal ``doc_id``.  Empty table: a
+dictionary of no bytes and no shard.  Columns besides id, text and the one that
+orders the documents (``order``, where it is not the id) are ignored.
 A null ``doc_id`` sorts first and is stored as the smallest int64.  The literal
-of an added token (``<|endoftext|>``) in a text is text like any other, or with
-``added_tokens`` that token's id, as the library has it without settings.
+of an added token (``<|endoftext|>``) in a text becomes that token's id, as the
+library has it without settings, or with ``added_tokens=False`` is text like any other.
 """
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import os
 import struct
@@ -38,7 +40,7 @@ import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessalith.llm.kernel import U64, Text, frugal, give_back, slices, words
@@ -59,6 +61,8 @@ LAST_LATIN = "\u024f"
 SHARD_INPUT = 16 << 20
 #: A shard is closed beyond so many bytes; a range has at most ``ROLLS`` shards.
 SHARD_BYTES, ROLLS = 64 << 20, 1_000_000
+#: Ranges of documents at most (each of several shards then), and keys that are drawn for a range to find their bounds.
+RANGES, KEYS_DRAWN = 20_000, 20
 #: Bytes of text that are encoded at once.
 BATCH_BYTES = 1 << 20
 LEVEL = 1
@@ -174,7 +178,7 @@ class Encoder:
     one go.
     """
 
-    def __init__(self, path: str, added_tokens: bool = False):
+    def __init__(self, path: str, added_tokens: bool = True):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -266,7 +270,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, added_tokens: bool = False) -> Encoder:
+def encoder(path: str, added_tokens: bool = True) -> Encoder:
     """One encoder a process: Spark reuses a worker for many tasks, and its known pieces stay."""
     return Encoder(path, added_tokens)
 
@@ -276,15 +280,15 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         yield part, part.column("t")
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, added_tokens: bool = False) -> bytes:
-    """A dictionary from the ids of at most ``SAMPLE_DOCUMENTS`` documents, the ones that hash lowest.
+def train_dictionary(docs: DataFrame, tokenizer_path: str, documents: int, added_tokens: bool = True) -> bytes:
+    """A dictionary from the ids of at most ``SAMPLE_DOCUMENTS`` of the rows (i, t), the ones that hash lowest.
 
     The sample bounds what the driver holds (16 MB) and only changes how small
-    the frames get, never what is read back.
+    the frames get, never what is read back.  Rows with equal texts count once.
     """
-    near = place(id_col)
-    share = share_for(SAMPLE_DOCUMENTS, docs.count())
-    rows = docs.filter(near < share).select(near.alias("p"), F.left(F.coalesce(F.col(text_col), F.lit("")), F.lit(SAMPLE_BYTES)).alias("t")).limit(4 * SAMPLE_DOCUMENTS).collect()  # the limit bites only where one id has many rows
+    begin = F.left(F.coalesce("t", F.lit("")), F.lit(SAMPLE_BYTES))
+    near = docs.select(place("i", "t").alias("p"), begin.alias("t")).filter(F.col("p") < share_for(SAMPLE_DOCUMENTS, documents))
+    rows = near.groupBy("p").agg(F.min("t").alias("t")).collect()  # about SAMPLE_DOCUMENTS
     rows = sorted(rows, key=lambda r: (r.p, r.t))[:SAMPLE_DOCUMENTS]
     texts = pa.RecordBatch.from_arrays([pa.array([r.t for r in rows], pa.string())], names=["t"])
     samples = [x.tobytes()[:SAMPLE_BYTES] for _, part in _texts(texts) for x in encoder(tokenizer_path, added_tokens).encode(part) if len(x) > 1]
@@ -298,21 +302,32 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
         return b""
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+def range_bounds(docs: DataFrame, documents: int) -> list[tuple[int, int, int]]:
+    """Keys (place, tie, salt) that cut rows with these columns into ranges of about ``SHARD_INPUT`` bytes, from a bounded sample of keys."""
+    n = min(partitions_for(docs, SHARD_INPUT), RANGES)
+    keys = docs.select("place", "tie", "salt")
+    near = F.pmod(F.xxhash64("place", "tie", "salt"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = sorted(map(tuple, keys.filter(near < share_for(n * KEYS_DRAWN, documents)).collect()))
+    return sorted({drawn[len(drawn) * k // n] for k in range(1, n)}) if len(drawn) >= n else sorted(set(drawn[1:]))
+
+
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = True, order: Column | None = None) -> DataFrame:
     """Encode ``docs`` into ``folder``; returns the manifest: shard, n_docs, n_tokens, one row per shard.
 
     One pass encodes and compresses; the compressed frames (smaller than the
-    texts) are range-partitioned by id once, and each range becomes a shard.
+    texts) are range-partitioned once by ``order`` (a long; the id by default),
+    and each range becomes a shard.  Rows of one place are told apart by a hash
+    of the text, and equal ones by a salt, so that a hot id is cut into ranges
+    too.
     """
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, tokenizer_path, id_col, text_col, added_tokens)
+    text = docs[text_col].cast("string")
+    own = docs.select(docs[id_col].cast("long").alias("i"), F.coalesce(docs[id_col].cast("long") if order is None else order, F.lit(NULL_ID)).alias("place"), F.xxhash64(text).alias("tie"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), text.alias("t"))
+    documents = docs.count()
+    dictionary = train_dictionary(own.select("i", "t"), tokenizer_path, documents, added_tokens)
     put(f"{folder}/dictionary.zdict", [dictionary])
     shared = spark.sparkContext.broadcast(dictionary)
-
-    n = partitions_for(docs, SHARD_INPUT)
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("i"))
-    bounds = sorted(set(ids.approxQuantile("i", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
-    bounds = np.array([int(x) for x in bounds], np.int64)
+    bounds = range_bounds(own, documents)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, added_tokens).encode
@@ -320,15 +335,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
         press = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, **extra)
         for part in (p for b in batches for p, _ in slices(b, "t", BATCH_BYTES)):
             raw = [x.tobytes() for x in encode(part.column("t"))]
-            ids = pc.fill_null(part.column("i"), NULL_ID).to_numpy()
+            key = [part.column(c) for c in ("place", "tie", "salt")]
+            ranges = [bisect.bisect_right(bounds, k) for k in zip(*(c.to_pylist() for c in key), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(bounds, ids, "right").astype(np.int32)), pa.array(ids), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in raw], pa.int64()), pa.array([press.compress(x) for x in raw], pa.binary())],
-                names=["part", "doc_id", "n_tokens", "tie", "frame"],
+                [pa.array(ranges, pa.int32()), *key, pc.fill_null(part.column("i"), NULL_ID), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([press.compress(x) for x in raw], pa.binary())],
+                names=["part", "place", "tie", "salt", "doc_id", "n_tokens", "frame"],
             )
 
-    frames = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(frugal(encoded), "part int, doc_id long, n_tokens long, tie long, frame binary")
+    frames = own.mapInArrow(frugal(encoded), "part int, place long, tie long, salt long, doc_id long, n_tokens long, frame binary")
     # Ranges by known bounds: repartitionByRange would encode everything once more to sample it.
-    ranged = frames.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("doc_id", "tie")
+    ranged = frames.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("place", "tie", "salt").select("doc_id", "n_tokens", "frame")
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -336,7 +352,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
         part, roll, done = TaskContext.get().partitionId(), 0, []
         out = None
         for batch in batches:
-            for _, i, n, _, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, n, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = out or Writer(folder, part * ROLLS + roll, xxhash.xxh3_64_intdigest(shared.value))
                 out.add(i, n, frame)
                 if out.at > SHARD_BYTES:
@@ -404,8 +420,8 @@ class Shard:
 
     def find(self, doc_id: int) -> int:
         """The first position of ``doc_id``; -1 if this shard has none."""
-        k = int(np.searchsorted(self.index[:, 0], doc_id))
-        return k if k < self.n_docs and self.index[k, 0] == doc_id else -1
+        found = np.flatnonzero(self.index[:, 0] == doc_id)
+        return int(found[0]) if len(found) else -1
 
     def close(self) -> None:
         self.file.close()
@@ -439,10 +455,10 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
     return plan.mapInArrow(frugal(opened), "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, position long")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = True, order: Column | None = None) -> DataFrame:
     """Write ``docs`` to a new folder of the shared directory and read every document back."""
     spark = docs.sparkSession
     folder = new_path(spark, "token-files")
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    return read_token_files(spark, folder, write_token_files(docs, tokenizer_path, folder, id_col, text_col, added_tokens))
+    return read_token_files(spark, folder, write_token_files(docs, tokenizer_path, folder, id_col, text_col, added_tokens, order))

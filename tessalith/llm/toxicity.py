@@ -7,8 +7,9 @@ other name of its list, and the loss gets ``PENALTY`` times the squared change
 of the logit: weight on a group's name, which raises neutral mentions, costs
 more than it explains.
 
-The network sees at most ``sum(SAMPLE)`` labelled documents; every document is
-scored whole.
+It learns from at most ``sum(SAMPLE)`` labelled documents.  Features are counted
+and chosen in the executors; of each labelled document only the chosen ones reach
+the driver.  Every document is scored whole.
 
 Defined results.  Null and empty texts have no feature and get the score of
 the bias.  Without labels of both classes every score is the share of label 1
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tessalith.llm.kernel import U64, Text, frugal, give_back, mixed, slices, word_and_symbol_runs
 from tessalith.llm.learning import Adam, fold, labelled_sample, sigmoid
+from tessalith.llm.storage import removed, written
 
 #: Weights, bytes of stems, documents of the positive class that must have a feature.
 DIMENSIONS, STEMS, LEAST_POSITIVE = 1 << 20, (5, 7, 9), 2
@@ -36,8 +38,6 @@ PENALTY, L2, STEPS, LEAST_ASSOCIATION = 1.0, 1e-3, 400, 12.0
 #: Labelled documents of each class that are learnt from at most.
 SAMPLE = {0: 16_000, 1: 8_000}
 THRESHOLD = 0.7
-#: Swapped copies of one sentence at most.
-SWAPS = 4
 
 # Names of groups that can stand for each other in a sentence.
 GROUPS: tuple[tuple[str, ...], ...] = (
@@ -68,8 +68,11 @@ _GROUP_OF = {name: g for g in GROUPS for name in g}
 _NAMES = re.compile(r"\b(" + "|".join(sorted(map(re.escape, _GROUP_OF), key=len, reverse=True)) + r")\b", re.IGNORECASE)
 
 
-def swapped(text: str, swaps: int = SWAPS) -> list[str]:
-    """Copies of ``text``, each with all its group names moved on by the same number of places in their lists."""
+_LONGEST = max(map(len, GROUPS))
+
+
+def swapped(text: str) -> list[str]:
+    """Copies of ``text``, each with all its group names moved on by the same number of places in their lists, until every other name was there."""
     if not _NAMES.search(text):
         return []
 
@@ -80,7 +83,7 @@ def swapped(text: str, swaps: int = SWAPS) -> list[str]:
 
         return _NAMES.sub(other, text)
 
-    return [x for x in dict.fromkeys(moved(by) for by in range(1, swaps + 1)) if x.lower() != text.lower()]
+    return [x for x in dict.fromkeys(moved(by) for by in range(1, _LONGEST)) if x.lower() != text.lower()]
 
 
 def features(text: Text) -> list[np.ndarray]:
@@ -152,22 +155,52 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[int, np.nd
     return out, float(b[0])
 
 
+def chosen_features(sample: DataFrame) -> np.ndarray:
+    """The features that ``fit`` may keep: those that go with label 1 in the sample, and the groups' names."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, positive = np.zeros(DIMENSIONS, np.int64), np.zeros(DIMENSIONS, np.int64)
+        for batch in batches:
+            for part, text in slices(batch, "t"):
+                for y, x in zip(part.column("y").to_pylist(), features(text), strict=True):
+                    total[x] += 1
+                    if y:
+                        positive[x] += 1
+        some = np.flatnonzero(total)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some]), pa.array(positive[some])], names=["feature", "total", "positive"])
+
+    rows = sample.mapInArrow(frugal(counted), "feature int, total long, positive long").groupBy("feature").agg(F.sum("total").alias("total"), F.sum("positive").alias("positive"))
+    sums = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}  # two rows
+    found = rows.filter(F.col("positive") >= LEAST_POSITIVE).toArrow()  # DIMENSIONS rows at most, whatever the corpus
+    feature, total, positive = (found.column(c).to_numpy() for c in ("feature", "total", "positive"))
+    good = association(positive, total, sums.get(1, 0), sum(sums.values())) >= LEAST_ASSOCIATION
+    return np.union1d(feature[good], np.concatenate([np.zeros(0, np.int32), *features(Text(pa.array(sorted(_GROUP_OF))))])).astype(np.int32)
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: dict[int, int] | None = None, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+    spark = docs.sparkSession
+    own = written(labelled_sample(docs, labels, label_col, id_col, text_col, sample or SAMPLE), "toxic-sample")
+    kept = spark.sparkContext.broadcast(chosen_features(own))
+
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = lambda rows: [np.intersect1d(x, kept.value, assume_unique=True).astype(np.int32) for x in rows]
         for batch in batches:
             for part, text in slices(batch, "t"):
                 rows = []
-                for k, (i, y, w, x) in enumerate(zip(part.column("i").to_pylist(), part.column("y").to_pylist(), part.column("w").to_pylist(), features(text), strict=True)):
+                for k, (i, y, w, x) in enumerate(zip(part.column("i").to_pylist(), part.column("y").to_pylist(), part.column("w").to_pylist(), only(features(text)), strict=True)):
                     copies = swapped(text.row(k).decode("utf-8", "replace"))
-                    rows.append((i, y, w, x.tobytes(), [z.tobytes() for z in features(Text(pa.array(copies, pa.string())))]))
+                    rows.append((i, y, w, x.tobytes(), [z.tobytes() for z in only(features(Text(pa.array(copies, pa.string()))))]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.binary())), strict=True)], names=["i", "y", "w", "x", "swapped"])
 
-    rows = labelled_sample(docs, labels, label_col, id_col, text_col, sample or SAMPLE).mapInArrow(frugal(featured), "i long, y int, w double, x binary, swapped array<binary>").toArrow()
+    rows = own.mapInArrow(frugal(featured), "i long, y int, w double, x binary, swapped array<binary>").toArrow()  # sum(SAMPLE) rows of chosen features
     rows = rows.sort_by([("i", "ascending"), ("x", "ascending")])
-    own = [np.frombuffer(x, np.int32) for x in rows.column("x").to_pylist()]
+    own_rows = [np.frombuffer(x, np.int32) for x in rows.column("x").to_pylist()]
     pairs = [(k, np.frombuffer(z, np.int32)) for k, copies in enumerate(rows.column("swapped").to_pylist()) for z in copies]
-    fitted = fit(own, rows.column("y").to_numpy().astype(np.int64), pairs, penalty, rows.column("w").to_numpy())
-    del rows, own, pairs
+    fitted = fit(own_rows, rows.column("y").to_numpy().astype(np.int64), pairs, penalty, rows.column("w").to_numpy())
+    del rows, own_rows, pairs
+    kept.unpersist()
+    removed(spark, own)
     give_back()
     return fitted
 

@@ -79,6 +79,28 @@ def test_mix_takes_its_targets(stages):
     assert max(sum(r.doc_id == i for r in after) for i in texts) <= 3
 
 
+def test_token_files_are_in_training_order(stages, spark):
+    folder, _, _, outs = stages
+    before = spark.read.parquet(f"{folder}/out2")
+    order = cp.mixing.curriculum(before).collect()  # sorted by position
+    after = sorted(outs[4], key=lambda r: r.start)
+    assert [r.doc_id for r in after] == [r.doc_id for r in order] != sorted(r.doc_id for r in order)
+    lengths = [len(r.text) for r in order]
+    assert len(after) == len(lengths) and after[0].start == 0
+
+
+def test_empty_tables_nulls_and_clashing_names(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __score double, __key string, __out0 long, size int"
+    some = [(k, f"words of text number {k} " * 4, "en", None, 9, 0.5, "k", 1, 2) for k in range(4)] + [(None, None, None, None, None, None, None, None, None)]
+    for name, rows in (("empty", []), ("odd", some)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = cp.run(spark, folder).collect()
+        assert (len(got) > 0) == bool(rows) and {r.doc_id for r in got} <= {None, 0, 1, 2, 3}
+
+
 def test_ids_are_those_of_the_copies_and_run_agrees(stages, spark):
     folder, _, _, (*_, before, after) = stages
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,24 +14,29 @@ from tessalith.llm import token_files as tf
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-@pytest.fixture(scope="module")
-def tokenizer():
+@lru_cache(maxsize=2)
+def plain(added=True):
+    """The untouched library, or with literals of added tokens as text."""
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    if not added:
+        t.encode_special_tokens = True
     return t
 
 
+@pytest.fixture(scope="module")
+def tokenizer():
+    return plain()
+
+
 def whole(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet="ab.,ßd \n\té1!'s\x85\xa0 \x1c日", max_size=30), max_size=8))
-def test_pieces_give_the_ids_of_the_whole_text(texts):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    got = [x.tolist() for x in tf.encoder(PATH).encode(pa.array(texts, pa.string()))]
-    assert got == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+@given(st.lists(st.lists(st.sampled_from([*"ab.,ßd \n\té1!'s\x85\xa0 \x1c日", "<|endoftext|>", "<|endof"]), max_size=30).map("".join), max_size=8), st.booleans())
+def test_pieces_give_the_ids_of_the_whole_text(texts, added):
+    got = [x.tolist() for x in tf.encoder(PATH, added).encode(pa.array(texts, pa.string()))]
+    assert got == [[*plain(added).encode(x, add_special_tokens=False).ids, 0] for x in texts]
 
 
 def check(rows, result, tokenizer):
@@ -52,6 +58,26 @@ def test_round_trip_with_odd_rows(spark, documents, tokenizer):
     check(rows, result, tokenizer)
 
 
+@pytest.mark.parametrize("repeated", ["same id", "same row", "no id"])
+def test_a_hot_id_is_cut_into_ranges(spark, documents, tokenizer, monkeypatch, repeated):
+    monkeypatch.setattr(tf, "SHARD_INPUT", 1000)
+    text = lambda k: "one text" if repeated == "same row" else f"text number {k}"
+    rows = [(None if repeated == "no id" else 5, text(k)) for k in range(400)] + [(k, f"other {k}") for k in range(10, 200)]
+    result = tf.round_trip(documents(rows), PATH).collect()
+    if repeated != "no id":
+        check(rows, result, tokenizer)
+    of_hot = [r.shard for r in result if r.doc_id in (None, 5)]
+    assert len(of_hot) == 400 and len(set(of_hot)) > 3 and max(map(of_hot.count, set(of_hot))) < 200
+
+
+def test_another_order(documents, tokenizer):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"text {k}") for k in range(50)]
+    result = sorted(tf.round_trip(documents(rows), PATH, order=-F.col("doc_id")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in result] == list(range(49, -1, -1)) and all(r.n_tokens == len(whole(tokenizer, f"text {r.doc_id}")) for r in result)
+
+
 def test_empty_table(documents, spark):
     assert tf.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
@@ -86,6 +112,5 @@ def test_queries_give_the_ids_of_the_untouched_library(spark, documents, tmp_pat
 
     rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endoftext|>y."), (4, "no literal <|endoftext |>"), (5, None), (6, "plain words here")]
     documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
-    plain = Tokenizer.from_file(PATH)
-    check(rows, QUERIES["op8_token_ids"](spark, str(tmp_path)).collect(), plain)
-    check(rows, corpus_pipeline.token_ids(spark, documents(rows), str(tmp_path)).collect(), plain)
+    check(rows, QUERIES["op8_token_ids"](spark, str(tmp_path)).collect(), plain())
+    check(rows, corpus_pipeline.token_ids(spark, documents(rows), str(tmp_path)).collect(), plain())

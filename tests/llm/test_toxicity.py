@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -19,7 +20,7 @@ def test_features_are_words_and_stems():
 
 def test_swaps_keep_everything_but_the_names():
     copies = tx.swapped("A Muslim woman spoke.")
-    assert len(copies) == tx.SWAPS and all(re.fullmatch(r"A \w+ \w+ spoke\.", c) for c in copies)
+    assert len(copies) == 8 and all(re.fullmatch(r"A \w+ \w+ spoke\.", c) for c in copies)
     assert not any("muslim" in c.lower() for c in copies) and not tx.swapped("nobody here") and not tx.swapped("womankind")
     for group in tx.GROUPS:
         assert len(set(group)) == len(group) >= 3
@@ -80,3 +81,27 @@ def test_caps_of_the_sample_do_not_move_the_prior(spark, documents):
     share = labels.filter("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1").agg({"toxic": "avg"}).first()[0]
     weights, bias = tx.train(docs, labels, sample={0: 50, 1: 50})
     assert tx.scores(Text(pa.array(["the same words in all of them"])), weights, bias)[0] == pytest.approx(share, abs=0.02)
+
+
+def test_repeated_ids_and_labels_learn_from_one_row_each(spark, documents):
+    from tessalith.llm.learning import labelled_sample
+
+    rows = [(1, f"text {k}") for k in range(500)] + [(k, f"own {k}") for k in range(2, 60)] + [(70, None)]
+    labels = spark.createDataFrame([(1, 1), (1, 1), *((k, k % 2) for k in range(2, 60)), (70, 0), (None, 1)], "doc_id long, toxic int")
+    got = labelled_sample(documents(rows), labels, "toxic", "doc_id", "text", {0: 10, 1: 10}).collect()
+    assert len({r.i for r in got}) == len(got) <= 20
+    assert all(r.t == "text 0" for r in got if r.i == 1)
+    everything = labelled_sample(documents(rows), labels, "toxic", "doc_id", "text", {0: 1000, 1: 1000}).collect()
+    assert len({r.i for r in everything}) == len(everything) and all(r.w == 1.0 for r in everything)
+
+
+def test_chosen_features_hold_all_that_fit_keeps(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["fine", "day", "walk", "muslim"]) for _ in range(9)) + (" vileword nasty" if k % 3 == 0 else "") for k in range(90)]
+    sample = spark.createDataFrame([(k, t, int(k % 3 == 0), 1.0) for k, t in enumerate(texts)], "i long, t string, y int, w double")
+    kept = set(tx.chosen_features(sample).tolist())
+    rows = tx.features(Text(pa.array(texts)))
+    weights, bias = tx.fit(rows, np.array([int(k % 3 == 0) for k in range(90)]), [])
+    assert set(np.flatnonzero(weights).tolist()) <= kept and len(kept) < 1000
+    again, same = tx.fit([np.array(sorted(set(r.tolist()) & kept), np.int32) for r in rows], np.array([int(k % 3 == 0) for k in range(90)]), [])
+    assert np.allclose(weights, again) and bias == pytest.approx(same)
