@@ -7,8 +7,9 @@
 4. Sources are mixed to their target weights: a document comes out once for
    every copy that the mix takes (none to three), in training order; at most
    one copy of a source is cut, after a whole word.
-5. The copies are encoded into token-id files; the rows read back from these
-   say where each one is.
+5. The copies are encoded into token-id files in training order, which is that
+   of the rows in the files that stage 4 left; the rows read back from these
+   say where each one is (``start`` counts along the training order).
 
 Every function takes (spark, docs, sf_dir).  All but the last return the
 columns of ``docs``.  2 and 3 judge texts, so they name a row by a 64-bit hash
@@ -20,7 +21,8 @@ only if none of its group has one, and equal rows with one id are copies.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessalith.llm import decontamination, mixing, quality_model, set_join, token_files
@@ -33,24 +35,31 @@ QUALITY = 0.5
 KEY = "__text_key"
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as no column of ``docs`` begins with."""
+    while any(c.lower() == name for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn(KEY, F.xxhash64(F.col("text").cast("string")))
 
 
 def matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """``docs`` joined with ``rows`` (some of its long columns, written before), null being equal to null; a few rows go to all workers, many are shuffled."""
-    names = rows.columns
-    rows = rows.distinct().toDF(*[f"__out{k}" for k in range(len(names))])
+    names, out = rows.columns, fresh(docs, "out")
+    rows = rows.distinct().toDF(*[f"{out}.{k}" for k in range(len(names))])
     few = rows.limit(set_join.BROADCAST_ROWS + 1).count() <= set_join.BROADCAST_ROWS
-    same = [docs[c].eqNullSafe(F.col(f"__out{k}")) for k, c in enumerate(names)]
+    same = [docs[c].eqNullSafe(F.col(f"`{out}.{k}`")) for k, c in enumerate(names)]
     return docs.join(F.broadcast(rows) if few else rows, same, how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     model = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality_model.score(docs, model, keep=docs.columns, name="__score")
-    return scored.filter(F.col("__score") >= QUALITY).select(*docs.columns)
+    score = fresh(docs, "score")
+    return quality_model.score(docs, model, keep=docs.columns, name=score).filter(F.col(score) >= QUALITY).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,9 +94,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
 
 
+def place_in_files(docs: DataFrame) -> Column:
+    """Where a row stands in the Parquet files that ``docs`` are read from: part by part as a sorted table is written, row by row inside."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long")
+    return F.shiftleft(F.coalesce(part, F.lit(0).cast("long")), 40) + F.col("_metadata.row_index")
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that come from no file are in the order of their ids."""
     ship_package(spark)
-    return token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
+    order = place_in_files(docs)
+    try:
+        docs.select(order)
+    except AnalysisException:
+        order = None
+    return token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), order=order)
 
 
 STAGES = [
