@@ -1,17 +1,19 @@
 """Benchmark decontamination by the CGK embedding and bit-sampling LSH.
 
-Strings are sequences of words: runs of letters and digits, lower-cased.  The CGK random walk (Chakraborty, Goldenberg, Koucky 2016) maps a string
-to one of three times its length: at step j it emits the word under its head,
-and a random bit of (j, word) says whether the head moves.  Two strings at a
-small edit distance then agree, with constant probability, in all but few
-places: Hamming distance stands for edit distance.
-
-1. A benchmark item is cut into blocks of at most ``BLOCK`` words that cover it; each
-   block is embedded by ``WALKS`` walks, and for each walk ``SAMPLES`` times a
-   few places of the embedding are sampled into a key (repeated bit sampling).
-2. A document is read in windows of each block's size, one from every word.
+Strings are sequences of words: runs of letters and digits of any script,
+lower-cased; in scripts without spaces every letter is a word.  The CGK random
+walk (Chakraborty, Goldenberg, Koucky 2016) maps a string to one of three times
+its length: at step j it emits the word under its head, and a random bit of
+(j, word) says whether the head moves.  Two strings at a small edit distance
+then agree, with constant probability, in all but few places: Hamming distance
+stands for edit distance.
+
+1. A benchmark item is embedded by ``WALKS`` walks, and for each walk ``SAMPLES``
+   times a few places of the embedding are sampled into a key (repeated bit
+   sampling; ``tests`` hold the recall at all rates of edits allowed).
+2. A document is read in windows of each item's size, one from every word.
    Windows with too many word pairs that no item has are left out first: an
-   edit makes at most two pairs foreign, so they are too far from every block
+   edit makes at most two pairs foreign, so they are too far from every item
    (exact, nothing is lost).
    The others are embedded by the same walks and looked up by their keys.
 3. A hit says which item might stand where.  It is verified: the item's words
@@ -30,7 +32,9 @@ their rows.  Empty tables give no rows.  Only id and text columns are read.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +42,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessalith.llm.kernel import U64, Runs, frugal, mixed, slices, word_and_symbol_runs
+from tessalith.llm.kernel import U64, Runs, Text, frugal, mixed, slices
 
-#: Words in a block: the window that is embedded.
-BLOCK = 12
 #: Embeddings, keys sampled from each, and places in a key.
-WALKS, SAMPLES, PLACES = 6, 4, 3
+WALKS, SAMPLES, PLACES = 8, 8, 2
 #: Edits per word of the item that a match may have, and words below which none are allowed.
 MAX_RATE, SHORT = 0.2, 8
 #: Characters of the benchmark that are sent to all workers at once (about 25 times as many bytes).
@@ -85,7 +87,7 @@ def keys(words: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int
         sampled = sampled_places(size, walk)
         symbols = embed(words, starts, size, walk, set().union(*sampled))
         for k, places in enumerate(sampled):
-            key = np.full(len(starts), U64(size * 1000 + walk * 100 + k))
+            key = np.full(len(starts), U64(size * 10_000 + walk * 100 + k))
             held = np.zeros(len(starts), np.int64)
             for p in places:
                 key = mixed(key * U64(0x9FB21C651E98DF25) + symbols[p])
@@ -151,28 +153,25 @@ class Items:
         self.limit = [int(max_rate * len(w)) if len(w) >= SHORT else 0 for w in self.words]
         self.pairs = Members(np.concatenate([np.zeros(0, U64), *map(pairs, self.words)]))
         self.own_pairs = Members(np.concatenate([np.zeros(0, U64), *(pairs(w) ^ mixed(np.array([k], U64)) for k, w in enumerate(self.words))]))
-        by_size: dict[int, list[tuple[int, int]]] = {}
+        by_size: dict[int, list[int]] = {}
         for k, w in enumerate(self.words):
-            size = min(BLOCK, len(w))
-            for at in sorted({*range(0, len(w) - size + 1, max(1, size // 2)), len(w) - size}):
-                by_size.setdefault(size, []).append((k, at))
+            by_size.setdefault(len(w), []).append(k)
         self.tables = []
-        for size, blocks in sorted(by_size.items()):
-            flat = np.concatenate([self.words[k][at : at + size] for k, at in blocks])
-            item, offset = (np.array(x) for x in zip(*blocks, strict=True))
-            # Pigeon hole: of the blocks that cover an item one has at most its share of the edits, and an edit makes two pairs foreign.
-            spare = 2 * (int(max_rate * size) + 1) if size >= SHORT else 0
+        for size, items in sorted(by_size.items()):
+            flat, item = np.concatenate([self.words[k] for k in items]), np.array(items)
+            # An edit makes two pairs foreign, and a window begins at a word of the match or next to it.
+            spare = 2 * int(max_rate * size) + 2 if size >= SHORT else 0
             bands = []
             for _, key, valid in keys(flat, np.arange(0, len(flat), size), size):
                 order = np.argsort(key[valid], kind="stable")
-                bands.append((key[valid][order], item[valid][order], offset[valid][order]))
+                bands.append((key[valid][order], item[valid][order]))
             self.tables.append((size, spare, bands))
 
     def hits(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows of (document, item, where the item would begin), sorted, once each."""
         if not len(words):
             return np.zeros((0, 3), np.int64)
-        known = np.zeros(len(words) + 1, np.int64)
+        known = np.zeros(len(words) + 1, np.int32)
         two = pairs(words)
         known[1:-1] = np.cumsum(self.pairs.has(two))
         known[-1] = known[-2]
@@ -181,23 +180,34 @@ class Items:
         for size, spare, bands in self.tables:
             if len(words) < size:
                 continue
-            start = np.arange(len(words) - size + 1)
-            start = start[(start + size <= row_end[: len(start)]) & (known[size - 1 :][: len(start)] - known[: len(start)] >= size - 1 - spare)]
+            n = len(words) - size + 1
+            start = np.flatnonzero(known[size - 1 :][:n] - known[:n] >= size - 1 - spare)
+            start = start[start + size <= row_end[start]]
             if not len(start):
                 continue
             for band, key, valid in keys(words, start, size):
-                table, item, offset = bands[band]
+                table, item = bands[band]
                 low, high = np.searchsorted(table, key, "left"), np.searchsorted(table, key, "right")
                 n = np.where(valid, high - low, 0)
                 if n.any():
                     entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    where = np.repeat(start, n)
-                    code = mixed(item[entry].astype(U64))
-                    shared = sum((self.own_pairs.has(two[where + j] ^ code).astype(np.int64) for j in range(size - 1)), np.zeros(len(where), np.int64))
-                    near = shared >= size - 1 - spare  # the same bound, for the item that was hit
-                    where, entry = where[near], entry[near]
-                    out.append(np.stack([np.searchsorted(first, where, "right") - 1, item[entry], where - offset[entry]], axis=1))
-        return np.unique(np.concatenate(out), axis=0)
+                    out.append(np.unique(np.stack([np.repeat(start, n), item[entry], np.full(len(entry), size)], axis=1), axis=0))
+        found = np.unique(np.concatenate(out), axis=0)
+        # The same bound on foreign pairs, for the item that was hit.
+        at, item, size = found.T
+        code, shared = mixed(item.astype(U64)), np.zeros(len(found), np.int64)
+        for j in range(int(size.max(initial=1)) - 1):
+            inside = np.flatnonzero(j < size - 1)
+            shared[inside] += self.own_pairs.has(two[at[inside] + j] ^ code[inside])
+        spare = np.zeros(int(size.max(initial=0)) + 1, np.int64)
+        for s, x, _ in self.tables:
+            if s < len(spare):
+                spare[s] = x
+        spare = spare[size]
+        near = shared >= size - 1 - spare
+        at, item = at[near], item[near]
+        out = np.stack([np.searchsorted(first, at, "right") - 1, item, at], axis=1)
+        return out[np.lexsort((out[:, 2], out[:, 1], out[:, 0]))]
 
     def matches(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, place of the item, first word, word past the last, edits): what is found does not overlap."""
@@ -223,13 +233,50 @@ class Items:
                     regions += [(low, low + begin), (low + end, high)]
 
 
-def normal_words(text) -> tuple[Runs, np.ndarray]:
-    """Letter and digit runs, lower-cased; symbols apart from them do not count."""
-    runs = word_and_symbol_runs(text)
-    keep = runs.kind == 1
-    runs.starts, runs.ends, runs.kind, runs.row = runs.starts[keep], runs.ends[keep], runs.kind[keep], runs.row[keep]
-    runs.first = np.searchsorted(runs.starts, text.offsets)
-    runs.counts = np.diff(runs.first)
+@lru_cache(maxsize=1)
+def _script_classes() -> np.ndarray:
+    """For each code point: 0 no word, 1 letter or digit, 2 letter of a script that is written without spaces."""
+    out = np.array([chr(c).isalnum() or unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)]).astype(np.uint8)
+    for a, b in _UNSPACED:
+        out[a:b] *= 2
+    return out
+
+
+# Blocks of scripts that are written without spaces (Thai to Lao, Myanmar, Khmer, kana, Han).
+_UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x32000))
+_ASCII_WORD = np.array([chr(c).isalnum() for c in range(128)] + [False] * 128).astype(np.uint8)
+_EXTRA = np.zeros(256, np.int64)
+_EXTRA[0xC0:0xE0], _EXTRA[0xE0:0xF0], _EXTRA[0xF0:] = 1, 2, 3
+
+
+class _Kinds:
+    """Classes of a text's bytes, as ``Runs`` asks for them."""
+
+    def __init__(self, kind: np.ndarray):
+        self.kind = kind
+
+    def __getitem__(self, _: np.ndarray) -> np.ndarray:
+        return self.kind
+
+
+def normal_words(text: Text) -> tuple[Runs, np.ndarray]:
+    """Letter and digit runs, lower-cased, of any script; a letter of a script without spaces is a run of its own."""
+    data = text.data
+    kind = _ASCII_WORD[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        extra = _EXTRA[data[lead]]
+        point = data[lead].astype(np.int64) & (0x3F >> extra)
+        for k in (1, 2, 3):
+            more = extra >= k
+            point[more] = point[more] << 6 | data[np.minimum(lead[more] + k, len(data) - 1)] & 0x3F
+        own = _script_classes()[np.minimum(point, 0x10FFFF)]
+        alone = own == 2
+        own[alone] = 2 + np.cumsum(alone)[alone] % 2  # neighbours differ, so each is a run
+        for k in range(4):
+            more = extra >= k
+            kind[np.minimum(lead[more] + k, len(data) - 1)] = own[more]
+    runs = Runs(text, _Kinds(kind))
     return runs, runs.hashes(lower=True)
 
 

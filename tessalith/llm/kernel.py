@@ -132,7 +132,7 @@ class Runs:
         at = at[: np.searchsorted(at, n) + 1]
         keep = kind[at[:-1]] > 0 if n else np.zeros(0, bool)
         self.text, self.starts, self.ends = text, at[:-1][keep], at[1:][keep]
-        self.kind = kind[self.starts] if n else np.zeros(0, classes.dtype)
+        self.kind = kind[self.starts]
         self.first = np.searchsorted(self.starts, text.offsets)
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(len(text)), self.counts)

@@ -1,11 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessalith.llm import decontamination as dc
+from tessalith.llm.kernel import Text
 
 
 def brute(item, text):
@@ -77,6 +79,41 @@ def test_recall_of_edited_items_and_no_false_rows(documents, spark):
     assert len(found & true) >= 0.95 * len(true)
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.15, 0.2])
+@pytest.mark.parametrize("size", [8, 20, 36, 60, 120])
+def test_recall_at_every_rate_of_edits(rate, size):
+    rng = np.random.default_rng([size, int(100 * rate)])
+    word = lambda n: rng.integers(1, 2**62, n, dtype=np.uint64)
+    items = [word(size) for _ in range(25)]
+    known = dc.Items(list(enumerate(items)), dc.MAX_RATE)
+    caught = tried = 0
+    for k in range(150):
+        words = items[k % 25].tolist()
+        for _ in range(int(rate * size)):
+            at = int(rng.integers(len(words)))
+            words[at : at + 1] = [[], word(1).tolist(), [words[at], *word(1).tolist()]][int(rng.integers(3))]
+        text = np.concatenate([word(40), np.array(words, np.uint64), word(40)])
+        if brute(items[k % 25].tolist(), text.tolist()) <= int(dc.MAX_RATE * size):
+            tried += 1
+            caught += any(item == k % 25 for _, item, *_ in known.matches(text, np.array([0, len(text)])))
+    assert tried > 100 and caught >= 0.95 * tried
+
+
+def test_words_of_any_script():
+    texts = ["Zwei „Wörter“, drei…", "日本語の文", "«Привет», мир", "ภาษาไทย x", "a\u00a0b", "é-è 한국어", "x", None]
+    text = Text(pa.array(texts))
+    runs, _ = dc.normal_words(text)
+    got = [[text.data[a:b].tobytes().decode() for a, b in zip(runs.starts[x:y], runs.ends[x:y])] for x, y in zip(runs.first, runs.first[1:])]
+    assert got == [["Zwei", "Wörter", "drei"], list("日本語の文"), ["Привет", "мир"], [*"ภาษาไทย", "x"], ["a", "b"], ["é", "è", "한국어"], ["x"], []]
+
+
+def test_an_item_in_a_script_without_spaces_is_found_inside_a_text(spark, documents):
+    item = "春眠不覚暁処処聞啼鳥夜来風雨声花落知多少"
+    docs = [(0, f"これは{item}という詩です"), (1, f"これは{item[:9]}X{item[10:]}という詩です"), (2, "これは別の文です"), (3, f"“{item}”")]
+    got = run(spark, documents, docs, [(5, item)])
+    assert [(d, e) for d, _, _, _, e in got] == [(0, 0), (1, 1), (3, 0)]
+
+
 ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
 
 
