@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tessalith.functions import text as T
 
 EDITS = 1
-#: First private code point of a pair's vocabulary, and how many fit below the surrogates.
-FIRST_CODE, MOST_WORDS = 0x3400, 0xD7FF - 0x3400
+#: First private code point of a pair's vocabulary, and how many there are from there on without the surrogates.
+FIRST_CODE, MOST_WORDS = 0x3400, 0x10FFFF - 0x3400 - 0x800
 FINDING = "array<struct<kind:string,expected:string,heard:string,ref_index:int>>"
 
 
@@ -28,7 +28,10 @@ def word_edits(reference: Column, hypothesis: Column) -> Column:
     Each distinct word of the pair becomes one code point; then the built-in
     string distance is the word distance, and no Python is needed.
     """
-    wide = lambda place: F.decode(F.unhex(F.lpad(F.hex(place + (FIRST_CODE - 1)), 4, "0")), "UTF-16BE")
+
+    def wide(place: Column) -> Column:
+        code = place + (FIRST_CODE - 1)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(code >= 0xD800, code + 0x800).otherwise(code)), 8, "0")), "UTF-32")
 
     def distance(p: Column) -> Column:
         vocabulary = p["vocabulary"]
@@ -38,7 +41,8 @@ def word_edits(reference: Column, hypothesis: Column) -> Column:
         too_many = F.raise_error(F.lit(f"more than {MOST_WORDS} distinct words in a pair")).cast("int")
         return F.when(n < 256, both(F.chr)).when(n <= MOST_WORDS, both(wide)).otherwise(too_many)
 
-    return let(F.struct(reference.alias("ref"), hypothesis.alias("hyp"), F.array_distinct(F.concat(reference, hypothesis)).alias("vocabulary")), distance)
+    made = let(F.struct(reference.alias("ref"), hypothesis.alias("hyp"), F.array_distinct(F.concat(reference, hypothesis)).alias("vocabulary")), distance)
+    return F.when(reference == hypothesis, 0).otherwise(made)
 
 
 def _rate(ref: Column, hyp: Column) -> Column:
@@ -60,16 +64,26 @@ def _first_true(array: Column, test) -> Column:
     return F.array_position(F.transform(array, test), F.lit(True))
 
 
-def parsed(reference: Column, hypothesis: Column, lexicon: Column) -> Column:
-    """struct of what the outcomes are worked out from: words, drug mentions, doses and cues of both sides."""
-    hypothesis = F.coalesce(hypothesis, F.lit(""))
-    return F.struct(
-        T.words(reference).alias("ref"), T.words(hypothesis).alias("hyp"), T.drug_mentions(reference, lexicon).alias("drugs"), T.drug_mentions(hypothesis, lexicon).alias("written"),
-        T.dose_pairs(reference).alias("doses"), T.dose_pairs(hypothesis).alias("hyp_doses"), T.negations(reference).alias("cues"), lexicon.alias("lexicon"),
-    )
+def reference_parts(reference: Column, lexicon: Column) -> Column:
+    """struct<words, drugs, doses, cues> of a reference: the same for all its hypotheses, so worked out once for each clip."""
+    return F.struct(T.words(reference).alias("words"), T.drug_mentions(reference, lexicon).alias("drugs"), T.dose_pairs(reference).alias("doses"), T.negations(reference).alias("cues"))
+
+
+def hypothesis_parts(reference: Column, parts: Column, hypothesis: Column, lexicon: Column) -> Column:
+    """struct<words, drugs, doses> of a hypothesis; one that is its reference word for word is not taken apart again."""
+    own = F.struct(T.words(hypothesis).alias("words"), T.drug_mentions(hypothesis, lexicon).alias("drugs"), T.dose_pairs(hypothesis).alias("doses"))
+    return F.when(hypothesis == reference, F.struct(parts["words"].alias("words"), parts["drugs"].alias("drugs"), parts["doses"].alias("doses"))).otherwise(own)
+
+
+def pair_of(reference: Column, hypothesis: Column, lexicon: Column) -> dict[str, Column]:
+    """What the outcomes are worked out from, by the parts of both sides."""
+    return {"ref": reference["words"], "hyp": hypothesis["words"], "drugs": reference["drugs"], "written": hypothesis["drugs"], "doses": reference["doses"], "hyp_doses": hypothesis["doses"], "cues": reference["cues"], "lexicon": lexicon}
 
 
-def drug_outcomes(p: Column) -> Column:
+Pair = dict[str, Column]
+
+
+def drug_outcomes(p: Pair) -> Column:
     """array<struct<drug, ref_index, survived, heard>> per reference mention.
 
     A mention survives if any hypothesis word is within one edit.  Else it is
@@ -79,14 +93,16 @@ def drug_outcomes(p: Column) -> Column:
 
     def outcome(m: Column) -> Column:
         index = F.greatest(F.array_position(p["ref"], m).cast("int") - 1, F.lit(0))
+        survived = F.array_contains(p["hyp"], m) | F.exists(p["hyp"], lambda t: F.levenshtein(m, t) <= EDITS)
         near = T.window(p["hyp"], T.aligned_centre(index, p["ref"], p["hyp"]))
         others = F.filter(near, lambda t: F.array_contains(p["lexicon"], t) & ~F.array_contains(p["drugs"], t))
-        return F.struct(m.alias("drug"), index.alias("ref_index"), F.exists(p["hyp"], lambda t: F.levenshtein(m, t) <= EDITS).alias("survived"), F.coalesce(F.get(others, F.lit(0)), F.lit("")).alias("heard"))
+        made = lambda ok, heard: F.struct(m.alias("drug"), index.alias("ref_index"), F.lit(ok).alias("survived"), heard.alias("heard"))
+        return F.when(survived, made(True, F.lit(""))).otherwise(made(False, F.coalesce(F.get(others, F.lit(0)), F.lit(""))))
 
     return F.transform(p["drugs"], outcome)
 
 
-def false_positives(p: Column) -> Column:
+def false_positives(p: Pair) -> Column:
     """Hypothesis mentions that nothing in the reference accounts for, matched one for one in order.
 
     A written drug takes the nearest reference mention within one edit (and one
@@ -111,10 +127,11 @@ def false_positives(p: Column) -> Column:
 
         return let(let(let(edits, taken), spent), after)
 
-    return F.aggregate(p["written"], state, step, lambda s: s["extra"])
+    # The same mentions in the same order match one for one.
+    return F.when(p["written"] == p["drugs"], 0).otherwise(F.aggregate(p["written"], state, step, lambda s: s["extra"]))
 
 
-def dose_outcomes(p: Column) -> Column:
+def dose_outcomes(p: Pair) -> Column:
     """array<struct<value, unit, kind, heard_value, heard_unit>> per reference dose, greedily in order.
 
     Each takes from the hypothesis' doses an equal one (``correct``), else one
@@ -140,26 +157,26 @@ def dose_outcomes(p: Column) -> Column:
 
         return let(places, after)
 
-    return F.aggregate(p["doses"], state, step, lambda s: s["done"])
+    # The same doses in the same order are equal one for one.
+    equal = F.transform(p["doses"], lambda d: F.struct(d["value"].alias("value"), d["unit"].alias("unit"), F.lit("correct").alias("kind"), d["value"].alias("heard_value"), d["unit"].alias("heard_unit")))
+    return F.when(p["doses"] == p["hyp_doses"], equal.cast(entry)).otherwise(F.aggregate(p["doses"], state, step, lambda s: s["done"]))
 
 
-def negation_outcomes(p: Column) -> Column:
+def negation_outcomes(p: Pair) -> Column:
     """array<struct<cue, idx, survived>>: a cue survives if it stands near its place."""
 
     def outcome(n: Column) -> Column:
-        near = F.array_join(T.window(p["hyp"], T.aligned_centre(n["idx"], p["ref"], p["hyp"])), " ")
-        return F.struct(n["cue"].alias("cue"), n["idx"].alias("idx"), F.array_contains(T.cues_in(near), n["cue"]).alias("survived"))
+        near = T.window(p["hyp"], T.aligned_centre(n["idx"], p["ref"], p["hyp"]))
+        # A word of the window that is the cue stands free; else it may be a phrase or have marks around it.
+        survived = F.array_contains(near, n["cue"]) | F.array_contains(T.cues_in(F.array_join(near, " ")), n["cue"])
+        return F.struct(n["cue"].alias("cue"), n["idx"].alias("idx"), survived.alias("survived"))
 
     return F.transform(p["cues"], outcome)
 
 
-def outcomes(reference: Column, hypothesis: Column, lexicon: Column) -> Column:
+def outcomes(p: Pair) -> Column:
     """struct of all outcomes of a pair of normalised texts; ``counts`` reads it."""
-
-    def made(p: Column) -> Column:
-        return F.struct(drug_outcomes(p).alias("drugs"), dose_outcomes(p).alias("doses"), negation_outcomes(p).alias("cues"), F.size(p["written"]).alias("written"), false_positives(p).alias("extra"), _rate(p["ref"], p["hyp"]).alias("wer"))
-
-    return let(parsed(reference, hypothesis, lexicon), made)
+    return F.struct(drug_outcomes(p).alias("drugs"), dose_outcomes(p).alias("doses"), negation_outcomes(p).alias("cues"), F.size(p["written"]).alias("written"), false_positives(p).alias("extra"), _rate(p["ref"], p["hyp"]).alias("wer"))
 
 
 # The sixteen scores, in order.
@@ -196,12 +213,12 @@ def _finding(kind: Column, expected: Column, heard: Column, index: Column) -> Co
     return F.struct(kind.alias("kind"), expected.alias("expected"), heard.alias("heard"), index.cast("int").alias("ref_index"))
 
 
-def drug_findings(p: Column) -> Column:
+def drug_findings(p: Pair) -> Column:
     lost = F.filter(drug_outcomes(p), lambda d: ~d["survived"])
     return F.transform(lost, lambda d: _finding(F.when(d["heard"] != "", "DRUG-SUB").otherwise("DRUG-DEL"), d["drug"], d["heard"], d["ref_index"]))
 
 
-def dose_findings(p: Column) -> Column:
+def dose_findings(p: Pair) -> Column:
     kinds = F.create_map(*[F.lit(x) for x in ("value", "DOSE-VAL", "unit", "DOSE-UNIT", "missing", "DOSE-MISS")])
 
     def finding(d: Column) -> Column:
@@ -212,26 +229,26 @@ def dose_findings(p: Column) -> Column:
     return F.transform(F.filter(dose_outcomes(p), lambda d: d["kind"] != "correct"), finding)
 
 
-def negation_findings(p: Column) -> Column:
+def negation_findings(p: Pair) -> Column:
     lost = F.filter(negation_outcomes(p), lambda n: ~n["survived"])
     return F.transform(lost, lambda n: _finding(F.lit("NEG-FLIP"), n["cue"], F.lit(""), n["idx"]))
 
 
-def collapse_finding(p: Column) -> Column:
+def collapse_finding(p: Pair) -> Column:
     head = lambda tokens: F.array_join(F.slice(tokens, 1, T.EXCERPT_WIDTH), " ")
     return _finding(F.lit("ASR-COLLAPSE"), head(p["ref"]), head(p["hyp"]), F.lit(0))
 
 
-def findings(reference: Column, hypothesis: Column, lexicon: Column) -> Column:
+def findings(p: Pair) -> Column:
     """All findings of a pair in reading order; a collapsed transcript is one finding."""
+    rows = F.concat(drug_findings(p), dose_findings(p), negation_findings(p)).cast(FINDING)
+    keyed = F.array_sort(F.transform(rows, lambda f, i: F.struct(f["ref_index"].alias("at"), i.alias("nth"), f.alias("f"))))
+    single = F.transform(keyed, lambda k: k["f"])
+    return F.when(_rate(p["ref"], p["hyp"]) >= COLLAPSE, F.array(collapse_finding(p)).cast(FINDING)).otherwise(single)
 
-    def single(p: Column) -> Column:
-        rows = F.concat(drug_findings(p), dose_findings(p), negation_findings(p)).cast(FINDING)
-        keyed = F.array_sort(F.transform(rows, lambda f, i: F.struct(f["ref_index"].alias("at"), i.alias("nth"), f.alias("f"))))
-        return F.transform(keyed, lambda k: k["f"])
-
-    def made(p: Column) -> Column:
-        return F.when(_rate(p["ref"], p["hyp"]) >= COLLAPSE, F.array(collapse_finding(p)).cast(FINDING)).otherwise(single(p))
 
+def findings_of(reference: Column, hypothesis: Column, lexicon: Column) -> Column:
+    """The findings of two normalised texts, spoken punctuation left out."""
     ref, hyp = T.strip_spoken_punctuation(reference), T.strip_spoken_punctuation(F.coalesce(hypothesis, F.lit("")))
-    return let(F.struct(ref.alias("r"), hyp.alias("h")), lambda x: let(parsed(x["r"], x["h"], lexicon), made))
+    parts = reference_parts(ref, lexicon)
+    return findings(pair_of(parts, hypothesis_parts(ref, parts, hyp, lexicon), lexicon))

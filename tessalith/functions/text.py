@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -87,17 +88,19 @@ def dose_pairs(text: Column) -> Column:
 def negations(text: Column) -> Column:
     """array<struct<cue string, idx int>>; ``idx`` is the number of lexer tokens that start before the cue.
 
-    The text between the cues is what a split by them leaves, so the text
-    before the k-th cue is put together again piece by piece.
+    Tokens are counted gap by gap (a gap is what a split by the cues leaves):
+    one that goes on over a cue's edge, with a slash or a full stop, counts once.
     """
     cues = _all(text, NEGATION, 1)
     parts = F.arrays_zip(F.slice(F.split(text, NEGATION, -1), 1, F.size(cues)).alias("gap"), cues.alias("cue"))
-    empty = F.struct(F.lit("").alias("before"), F.array().cast("array<struct<cue:string,idx:int>>").alias("found"))
+    empty = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<cue:string,idx:int>>").alias("found"))
 
     def step(state: Column, part: Column) -> Column:
-        before = F.concat(state["before"], part["gap"])
-        hit = F.struct(part["cue"].alias("cue"), F.size(lexed(before)).alias("idx"))
-        return F.struct(F.concat(before, part["cue"]).alias("before"), F.concat(state["found"], F.array(hit)).alias("found"))
+        gap = part["gap"]
+        goes_on = F.when((state["n"] > 0) & gap.rlike(r"^[/.]"), 1).otherwise(0)
+        idx = state["n"] + F.size(lexed(gap)) - goes_on
+        hit = F.struct(part["cue"].alias("cue"), idx.alias("idx"))
+        return F.struct((idx + F.when(gap.rlike(r"[/.]$"), 0).otherwise(1)).alias("n"), F.concat(state["found"], F.array(hit)).alias("found"))
 
     found = F.aggregate(parts, empty, step, lambda state: state["found"])
     return F.when(F.size(cues) > 0, found).when(text.isNotNull(), F.array().cast("array<struct<cue:string,idx:int>>"))
@@ -111,8 +114,16 @@ def has_entity(text: Column, lexicon: Column) -> Column:
     return (F.size(drug_mentions(text, lexicon)) > 0) | text.rlike(DOSE) | text.rlike(NEGATION)
 
 
+#: A word of each phrase of spoken punctuation, and texts of printable ASCII words between single spaces.
+_SPOKEN_STEMS = sorted({p.split()[0] for p in SPOKEN_PUNCTUATION})
+_TIDY = r"^[!-~]++(?: [!-~]++)*+$"
+
+
 def strip_spoken_punctuation(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, SPOKEN, " "), r"(?U)\s+", " "))
+    """The text without spoken punctuation, its words between single spaces; a text without any is not taken apart."""
+    some = reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in _SPOKEN_STEMS])
+    stripped = F.trim(F.regexp_replace(F.regexp_replace(text, SPOKEN, " "), r"(?U)\s+", " "))
+    return F.when(~some & text.rlike(_TIDY), text).otherwise(stripped)
 
 
 def window(tokens: Column, centre: Column, radius: int = WINDOW) -> Column:

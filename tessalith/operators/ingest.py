@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessalith.schemas import CACHE, PROVIDERS
+from tessalith.shared import written
 
 # Configurations and list prices.
 CATALOGUE = (
@@ -88,28 +89,30 @@ def pending(manifest: DataFrame, cache: DataFrame, provider: str, audio: DataFra
     return left if audio is None else left.join(audio.select("clip_id").distinct(), "clip_id", "left_semi")
 
 
-def within_cap(calls: DataFrame, cap: float = SPEND_CAP, order: str = "clip_id", by: str = "provider", ranges: int = 64) -> DataFrame:
+def within_cap(calls: DataFrame, cap: float = SPEND_CAP, order: str = "clip_id", by: str = "provider") -> DataFrame:
     """Calls in order with ``spent`` before each and whether the cap still ``allowed`` it.
 
     A call is allowed if what is spent and the estimate for it stay within the
     cap; the estimate is the mean cost so far, or the list price for the first.
-    The running sum goes by ranges of the order that are summed first, so one
-    provider's calls are never in one task.  Amounts are summed as exact
-    decimals: the order of addition does not matter.
+    The first call that is not allowed ends its provider's run: no later one is
+    allowed, and none of them counts as spent.  The order is that of the column,
+    of any type, then of the cost.  The running sum goes by ranges of the order
+    that are summed first, so one provider's calls are never in one task;
+    amounts are exact decimals, so the order of addition does not matter.
     """
-    money = F.col("cost_usd").cast("decimal(28,10)")
-    edges = calls.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    rows = calls.withColumn("__part", F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col(order))) if edges else F.lit(0))
+    money, zero = F.col("cost_usd").cast("decimal(28,10)"), F.lit(0).cast("decimal(28,10)")
+    rows = written(calls.repartitionByRange(by, order, "cost_usd").withColumn("__part", F.spark_partition_id()), "calls")
     sums = rows.groupBy(by, "__part").agg(F.sum(money).alias("s"), F.count("*").alias("c"))
     ahead = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("decimal(28,10)")
     sums = sums.select(by, "__part", F.coalesce(F.sum("s").over(ahead), zero).alias("__s"), F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("__c"))
-    own = Window.partitionBy(by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(sums, [by, "__part"])
-    spent = (F.col("__s") + F.coalesce(F.sum(money).over(own), zero)).cast("double")
-    out = out.withColumns({"spent": spent, "__before": F.col("__c") + F.count("*").over(own)})
-    estimate = F.when(F.col("__before") > 0, F.col("spent") / F.col("__before")).otherwise(F.col("list_cost"))
-    return out.withColumn("allowed", F.col("spent") + estimate <= cap).drop("__part", "__s", "__c", "__before")
+    own = Window.partitionBy(by, "__part").orderBy(order, "cost_usd").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(sums), [by, "__part"])  # a row for each range and provider
+    out = out.withColumns({"__spent": (F.col("__s") + F.coalesce(F.sum(money).over(own), zero)).cast("double"), "__before": F.col("__c") + F.count("*").over(own)})
+    estimate = F.when(F.col("__before") > 0, F.col("__spent") / F.col("__before")).otherwise(F.col("list_cost"))
+    ends = out.filter(F.col("__spent") + estimate > cap).groupBy(by).agg(F.min(F.struct("__before", "__spent")).alias("__end"))
+    out = out.join(F.broadcast(ends), by, "left")  # a row for each provider
+    done = F.col("__before") >= F.col("__end.__before")
+    return out.select(*calls.columns, F.when(done, F.col("__end.__spent")).otherwise(F.col("__spent")).alias("spent"), (~F.coalesce(done, F.lit(False))).alias("allowed"))
 
 
 def run_summary(cache: DataFrame) -> DataFrame:

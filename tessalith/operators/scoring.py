@@ -11,6 +11,7 @@ from tessalith.functions import scores as S
 from tessalith.functions import stats
 from tessalith.functions import text as T
 from tessalith.functions.normalise import normalise
+from tessalith.shared import written
 
 CLIP = ("clip_id", "provider", "accent", "tier", "domain", "duration")
 #: Terms up to which a lexicon is a literal array in the plan; a larger one is joined.
@@ -51,14 +52,38 @@ def merge(cache: DataFrame, manifest: DataFrame) -> DataFrame:
     return cache.withColumnRenamed("text", "hypothesis").join(clip, "clip_id")
 
 
+def with_parts(clips: DataFrame, lexicon: DataFrame, key: tuple[str, ...] = ("clip_id",)) -> DataFrame:
+    """Clips with a normalised ``reference``, its stripped form and its parts: once for each clip, before its answers are joined to it.
+
+    Only for lexicons that stand in the plan; a larger one is cut to each pair's words.
+    """
+    if lexicon.limit(LITERAL_TERMS + 1).count() > LITERAL_TERMS:
+        return clips
+    return _referenced(with_lexicon(clips, lexicon, key, ("reference",))).drop("__lexicon")
+
+
+def _referenced(pairs: DataFrame) -> DataFrame:
+    out = pairs.withColumn("__stripped_ref", T.strip_spoken_punctuation(F.col("reference")))
+    return out.withColumn("__ref", S.reference_parts(F.col("reference"), F.col("__lexicon"))).withColumn("__stripped_words", T.words(F.col("__stripped_ref")))
+
+
+def _taken_apart(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Pairs with the parts of both sides, and both texts without spoken punctuation."""
+    pairs = with_lexicon(pairs, lexicon)
+    pairs = (pairs if "__ref" in pairs.columns else _referenced(pairs)).withColumn("__text", F.coalesce("hypothesis", F.lit("")))
+    pairs = pairs.withColumn("__stripped_hyp", T.strip_spoken_punctuation(F.col("__text")))
+    return pairs.withColumn("__hyp", S.hypothesis_parts(F.col("reference"), F.col("__ref"), F.col("__text"), F.col("__lexicon")))
+
+
 def score_clips(merged: DataFrame, lexicon: DataFrame, normalised_already: bool = False, keep: tuple[str, ...] = CLIP) -> DataFrame:
     """The kept columns and the sixteen scores of every (reference, hypothesis)."""
-    pairs = merged if normalised_already else normalised(merged)
-    pairs = with_lexicon(pairs, lexicon)
-    ref, hyp, lex = F.col("reference"), F.col("hypothesis"), F.col("__lexicon")
-    stripped = S.word_error_rate(T.strip_spoken_punctuation(ref), T.strip_spoken_punctuation(F.coalesce(hyp, F.lit(""))))
-    made = pairs.select(*keep, S.outcomes(ref, hyp, lex).alias("__o"), stripped.alias("__stripped"))
-    return made.select(*keep, *[c.alias(k) for k, c in S.counts(F.col("__o"), F.col("__stripped")).items()])
+    pairs = _taken_apart(merged if normalised_already else normalised(merged), lexicon)
+    outcomes = S.outcomes(S.pair_of(F.col("__ref"), F.col("__hyp"), F.col("__lexicon")))
+    made = pairs.select(*keep, "reference", "__text", "__stripped_ref", "__stripped_words", "__stripped_hyp", outcomes.alias("__o"))
+    # Where there is no spoken punctuation on either side, the rate without it is the rate.
+    same = (F.col("reference") == F.col("__stripped_ref")) & (F.col("__text") == F.col("__stripped_hyp"))
+    stripped = F.when(same, F.col("__o.wer")).otherwise(S._rate(F.col("__stripped_words"), T.words(F.col("__stripped_hyp"))))
+    return made.select(*keep, *[c.alias(k) for k, c in S.counts(F.col("__o"), stripped).items()])
 
 
 # --- summaries -----------------------------------------------------------------
@@ -98,19 +123,28 @@ def summary_columns() -> dict[str, Column]:
     }
 
 
+def cost_columns() -> dict[str, Column]:
+    """Cost per hour of audio and the exact median latency."""
+    return {"cost_per_audio_hour": F.try_divide(F.sum("cost_usd"), F.sum("audio_seconds") / 3600), "median_latency_ms": F.median("latency_ms")}
+
+
 def cost_per_hour(merged: DataFrame) -> DataFrame:
-    """Cost per hour of audio and the exact median latency, by provider."""
-    hours = F.sum("audio_seconds") / 3600
-    return merged.groupBy("provider").agg(F.try_divide(F.sum("cost_usd"), hours).alias("cost_per_audio_hour"), F.median("latency_ms").alias("median_latency_ms"))
+    return merged.groupBy("provider").agg(*[c.alias(k) for k, c in cost_columns().items()])
+
+
+COSTS = ("audio_seconds", "cost_usd", "latency_ms")
 
 
 def summarise(per_clip: DataFrame, merged: DataFrame | None = None, by: str | None = None) -> DataFrame:
-    """One row per provider (and ``by``; null is a group); with cost and latency where ``merged`` is given and ``by`` is not."""
+    """One row per provider (and ``by``; null is a group).
+
+    Without ``by`` cost and latency go along: out of the same pass where the
+    scores have kept the columns ``COSTS``, else from ``merged`` where it is given.
+    """
     keys = ["provider", *([by] if by else [])]
-    out = per_clip.groupBy(*keys).agg(*[c.alias(k) for k, c in summary_columns().items()])
-    if by is None and merged is not None:
-        out = out.join(cost_per_hour(merged), "provider", "left")
-    return out
+    kept = by is None and set(COSTS) <= set(per_clip.columns)
+    out = per_clip.groupBy(*keys).agg(*[c.alias(k) for k, c in (summary_columns() | (cost_columns() if kept else {})).items()])
+    return out.join(cost_per_hour(merged), "provider", "left") if by is None and merged is not None and not kept else out
 
 
 def summarise_all(per_clip: DataFrame, by: tuple[str, ...] = ("tier", "domain", "accent")) -> DataFrame:
@@ -161,8 +195,12 @@ FINDING = (*CLIP[:5], "kind", "expected", "heard", "ref_index")
 
 def all_findings(merged: DataFrame, lexicon: DataFrame, normalised_already: bool = False) -> DataFrame:
     """One row per error, with ``position`` in reading order."""
-    pairs = with_lexicon(merged if normalised_already else normalised(merged), lexicon)
-    found = S.findings(F.col("reference"), F.col("hypothesis"), F.col("__lexicon"))
+    pairs = _taken_apart(merged if normalised_already else normalised(merged), lexicon)
+    ref, hyp, lex = F.col("__stripped_ref"), F.col("__stripped_hyp"), F.col("__lexicon")
+    pairs = pairs.withColumn("__r", F.when(ref == F.col("reference"), F.col("__ref")).otherwise(S.reference_parts(ref, lex)))
+    again = S.hypothesis_parts(ref, F.col("__r"), hyp, lex)
+    pairs = pairs.withColumn("__h", F.when((hyp == F.col("__text")) & (ref == F.col("reference")), F.col("__hyp")).otherwise(again))
+    found = S.findings(S.pair_of(F.col("__r"), F.col("__h"), lex))
     rows = pairs.select(*CLIP[:5], F.posexplode(found).alias("position", "f"))
     return rows.select(*CLIP[:5], "f.*", "position")
 
@@ -185,6 +223,7 @@ def draw_key(*columns: str) -> Column:
 
 def select_findings(findings: DataFrame, target: int = 150, keys: tuple[str, ...] = ("provider", "clip_id", "kind", "ref_index", "position")) -> DataFrame:
     """A stratified sample by kind with ``weight`` = findings of the kind over rows drawn of it, so weights sum to the population."""
+    findings = written(findings, "findings")  # worked out once for the counts and the draw
     totals = {r.kind: r["count"] for r in findings.groupBy("kind").count().collect()}  # seven kinds at most
     quota = quotas(totals, target)
     if not quota:

@@ -7,6 +7,8 @@ DuckDB read alike, so that query and oracle start from the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,12 +81,14 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clips_wide(spark, sf_dir).select(*CLIP_COLUMNS)
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per clip and provider, with the clip's columns."""
-    out = _clips_wide(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(PROVIDERS - 1))))
+def answers(spark: SparkSession, sf_dir: str, prepare: Callable[[DataFrame], DataFrame] = lambda clips: clips) -> DataFrame:
+    """One row per clip and provider, with the clip's columns and those that ``prepare`` adds to the clips."""
+    clips = _clips_wide(spark, sf_dir)
+    ready = prepare(clips)
+    out = ready.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(PROVIDERS - 1))))
     for step in ANSWER:
         out = out.selectExpr("*", *[f"{e} AS {c}" for c, e in step.items()])
-    return out.select(*ANSWER_COLUMNS)
+    return out.select(*ANSWER_COLUMNS, *[c for c in ready.columns if c not in clips.columns])
 
 
 def accent_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,10 +29,10 @@ def stripped(text: str) -> str:
     return f"trim(regexp_replace(regexp_replace(regexp_replace(concat(' ', {text}, ' '), '\\s+', '  ', 'g'), ' ({_SPOKEN}) ', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-def wer(a: str, b: str) -> str:
-    """Levenshtein over one ASCII character per distinct word of the pair (few words a pair)."""
-    code = lambda x: f"array_to_string(list_transform({x}, lambda w: chr(32 + list_position(list_sort(list_distinct(list_concat({a}, {b}))), w))), '')"
-    return f"CASE WHEN len({a}) > 0 THEN levenshtein({code(a)}, {code(b)}) / len({a})::DOUBLE END"
+def wer(a: str, b: str, vocabulary: str) -> str:
+    """Levenshtein over one ASCII character per distinct word of the pair (few words a pair); ``vocabulary`` is a column."""
+    code = lambda x: f"array_to_string(list_transform({x}, lambda w: chr(32 + list_position({vocabulary}, w))), '')"
+    return f"CASE WHEN {a} = {b} AND len({a}) > 0 THEN 0.0::DOUBLE WHEN len({a}) > 0 THEN levenshtein({code(a)}, {code(b)}) / len({a})::DOUBLE END"
 
 
 def centre(index: str, n: str, m: str) -> str:
@@ -43,7 +43,7 @@ def window(tokens: str, at: str) -> str:
     return f"list_slice({tokens}, greatest({at} - 5, 0) + 1, {at} + 6)"
 
 
-SCORED = f"""{ANSWERS_SQL}, tokens AS (
+SCORED = f"""{ANSWERS_SQL}, split AS (
   SELECT clip_id, provider, accent, tier, domain, duration, latency_ms, cost_usd, audio_seconds, reference, hypothesis,
     {words("reference")} AS rw, {words("hypothesis")} AS hw, {words(stripped("reference"))} AS rs, {words(stripped("hypothesis"))} AS hs,
     list_filter({lexed("reference")}, lambda t: list_contains({LEXICON}, t)) AS rm, list_filter({lexed("hypothesis")}, lambda t: list_contains({LEXICON}, t)) AS hm,
@@ -51,7 +51,11 @@ SCORED = f"""{ANSWERS_SQL}, tokens AS (
     regexp_extract(hypothesis, '(?:^| )(\\d+) (mg|ml|units|tablets|drops)(?: |$)', ['value', 'unit']) AS hd,
     list_filter({lexed("reference")}, lambda t: t IN ('denies', 'denied', 'without', 'never', 'not', 'no')) AS rn
   FROM answers
-), drugs AS (
+), vocabulary AS (
+  SELECT *, list_distinct(list_concat(rw, hw)) AS v, list_distinct(list_concat(rs, hs)) AS vs FROM split
+), tokens AS MATERIALIZED (
+  SELECT *, {wer("rw", "hw", "v")} AS wer, {wer("rs", "hs", "vs")} AS wer_spoken_punct_removed FROM vocabulary
+), drugs AS MATERIALIZED (
   SELECT provider, clip_id, m, ref_index, survived, CASE WHEN survived OR len(others) = 0 THEN '' ELSE others[1] END AS heard
   FROM (
     SELECT provider, clip_id, m, list_position(rw, m) - 1 AS ref_index, len(list_filter(hw, lambda t: levenshtein(m, t) <= 1)) > 0 AS survived,
@@ -60,7 +64,7 @@ SCORED = f"""{ANSWERS_SQL}, tokens AS (
   )
 ), drug_sums AS (
   SELECT provider, clip_id, count(*) AS mentions, count_if(survived) AS correct, count_if(NOT survived AND heard <> '') AS substitution, count_if(NOT survived AND heard = '') AS deletion FROM drugs GROUP BY ALL
-), cues AS (
+), cues AS MATERIALIZED (
   SELECT provider, clip_id, c, idx, list_contains(regexp_extract_all(concat(' ', array_to_string(near, '  '), ' '), ' (denies|denied|without|never|not|no) ', 1), c) AS survived
   FROM (
     SELECT provider, clip_id, c, list_position({lexed("reference")}, c) - 1 AS idx, {window("hw", centre(f"(list_position({lexed('reference')}, c) - 1)", "len(rw)", "len(hw)"))} AS near
@@ -68,9 +72,9 @@ SCORED = f"""{ANSWERS_SQL}, tokens AS (
   )
 ), cue_sums AS (
   SELECT provider, clip_id, count(*) AS cues, count_if(survived) AS preserved, count_if(NOT survived) AS lost FROM cues GROUP BY ALL
-), scored AS (
+), scored AS MATERIALIZED (
   SELECT t.clip_id, t.provider, t.accent, t.tier, t.domain, t.duration, latency_ms, cost_usd, audio_seconds, rd, hd,
-    {wer("rw", "hw")} AS wer, {wer("rs", "hs")} AS wer_spoken_punct_removed,
+    wer, wer_spoken_punct_removed,
     coalesce(mentions, 0) AS drug_mentions, coalesce(correct, 0) AS drug_correct, coalesce(substitution, 0) AS drug_substitution, coalesce(deletion, 0) AS drug_deletion,
     len(hm) AS drug_hyp_mentions, len(hm) - least(1, len(list_filter(hm, lambda h: len(list_filter(rm, lambda m: levenshtein(m, h) <= 1)) > 0))) AS drug_false_positive,
     (rd.value <> '')::INT AS doses,
@@ -101,8 +105,8 @@ _HEADLINE = f"""count(*) AS clips, round(avg(wer), 9) AS wer, round(avg(wer_spok
 _COST = "round(sum(cost_usd) / (sum(audio_seconds) / 3600), 9) AS cost_per_audio_hour, median(latency_ms) AS median_latency_ms"
 
 FOUND = f"""{SCORED}, flat AS (
-  SELECT clip_id, provider, accent, tier, domain, {stripped("reference")} AS reference, {stripped("hypothesis")} AS hypothesis, {wer("rs", "hs")} AS w, rd, hd FROM tokens
-), found AS (
+  SELECT clip_id, provider, accent, tier, domain, {stripped("reference")} AS reference, {stripped("hypothesis")} AS hypothesis, wer_spoken_punct_removed AS w, rd, hd FROM tokens
+), found AS MATERIALIZED (
   SELECT clip_id, provider, accent, tier, domain, 'ASR-COLLAPSE' AS kind, array_to_string(list_slice({words("reference")}, 1, 15), ' ') AS expected, array_to_string(list_slice({words("hypothesis")}, 1, 15), ' ') AS heard, 0 AS ref_index, 0 AS family FROM flat WHERE w >= 0.8
   UNION ALL SELECT clip_id, provider, accent, tier, domain, CASE WHEN d.heard <> '' THEN 'DRUG-SUB' ELSE 'DRUG-DEL' END, d.m, d.heard, d.ref_index, 1 FROM flat JOIN drugs d USING (provider, clip_id) WHERE w < 0.8 AND NOT d.survived
   UNION ALL SELECT clip_id, provider, accent, tier, domain, CASE WHEN rd.unit = hd.unit THEN 'DOSE-VAL' WHEN rd.value = hd.value THEN 'DOSE-UNIT' ELSE 'DOSE-MISS' END, concat(rd.value, ' ', rd.unit),
@@ -252,7 +256,13 @@ SELECT rule, subject, round(found::DOUBLE, 9) AS found, wanted::DOUBLE AS wanted
     "lexicon_components": f"{_TERMS} {_COMPONENTS}",
     "lexicon_build": f"{_TERMS}, trusted AS ({_TRUSTED}), everything AS (SELECT term FROM trusted UNION SELECT term FROM brand WHERE term NOT IN ('steel', 'copper') OR term IN (SELECT term FROM trusted)) SELECT term FROM everything WHERE length(term) >= 4 AND regexp_matches(term, '[a-z]') AND term NOT IN {_BLOCKED}",
     "pending_clips": f"WITH {CACHE} SELECT clip_id, duration FROM clips WHERE clip_id NOT IN (SELECT clip_id FROM cache WHERE provider = 'p2')",
-    "spend_cap": f"WITH {CACHE}, r AS (SELECT provider, clip_id, audio_seconds, coalesce(sum(CAST(cost_usd AS DECIMAL(28, 10))) OVER w, 0)::DOUBLE AS spent, count(*) OVER w AS before FROM cache WINDOW w AS (PARTITION BY provider ORDER BY clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT provider, clip_id, round(spent, 6) AS spent, spent + CASE WHEN before > 0 THEN spent / before ELSE audio_seconds / 60 * 0.0077::DOUBLE END <= 1.0 AS allowed FROM r",
+    "spend_cap": f"""WITH {CACHE}, r AS (
+  SELECT provider, clip_id, audio_seconds, coalesce(sum(CAST(cost_usd AS DECIMAL(28, 10))) OVER w, 0)::DOUBLE AS spent, count(*) OVER w AS before FROM cache
+  WINDOW w AS (PARTITION BY provider ORDER BY clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), e AS (
+  SELECT provider, min(before) AS last, arg_min(spent, before) AS stopped FROM r WHERE spent + CASE WHEN before > 0 THEN spent / before ELSE audio_seconds / 60 * 0.0077::DOUBLE END > 1.0 GROUP BY provider
+)
+SELECT provider, clip_id, round(CASE WHEN before >= last THEN stopped ELSE spent END, 6) AS spent, before < coalesce(last, before + 1) AS allowed FROM r LEFT JOIN e USING (provider)""",
     "run_summary": f"WITH {CACHE} SELECT provider, 'm' AS model, count(DISTINCT clip_id) AS clips_ok, round(sum(cost_usd), 4) AS cost_usd, round(median(latency_ms)) AS median_latency_ms, round(sum(audio_seconds) / 3600, 6) AS audio_hours FROM cache GROUP BY provider",
     "projected_cost": f"WITH {CLIPS_SQL}, m AS (SELECT sum(duration) / 60 AS minutes FROM clips) SELECT provider, round(minutes * price, 6) AS usd FROM m, (VALUES ('whisper', 0.0::DOUBLE), ('dg-general', 0.0077), ('dg-medical', 0.0077), ('aai', 0.0035), ('gemini', 0.0)) p(provider, price)",
     "cache_gates": f"WITH {CACHE} SELECT provider, count(*) AS answers, 1::BIGINT AS models, count_if(strlen(hypothesis) <> length(hypothesis)) AS non_ascii FROM cache GROUP BY provider",

@@ -38,17 +38,18 @@ def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.accent_tiers(fixture.accent_stats(spark, sf_dir), fixture.TIER_RANKS)
 
 
-def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers with their clip's tier; the fixture's texts are normalised as they are."""
-    return fixture.answers(spark, sf_dir).join(F.broadcast(tiers(spark, sf_dir)), "accent")  # a row for each of 25 nations
+def merged(spark: SparkSession, sf_dir: str, parts: bool = False) -> DataFrame:
+    """Answers with their clip's tier, and the parts of its reference; the fixture's texts are normalised as they are."""
+    prepare = (lambda clips: scoring.with_parts(clips, fixture.lexicon(spark))) if parts else (lambda clips: clips)
+    return fixture.answers(spark, sf_dir, prepare).join(F.broadcast(tiers(spark, sf_dir)), "accent")  # a row for each of 25 nations
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_clips(merged(spark, sf_dir), fixture.lexicon(spark), normalised_already=True)
+def scored(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = scoring.CLIP) -> DataFrame:
+    return scoring.score_clips(merged(spark, sf_dir, parts=True), fixture.lexicon(spark), normalised_already=True, keep=keep)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.all_findings(merged(spark, sf_dir), fixture.lexicon(spark), normalised_already=True)
+    return scoring.all_findings(merged(spark, sf_dir, parts=True), fixture.lexicon(spark), normalised_already=True)
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +129,7 @@ def wer_conversations(spark, sf_dir):
 
 @query
 def headline(spark, sf_dir):
-    return rounded(scoring.summarise(scored(spark, sf_dir), merged(spark, sf_dir)))
+    return rounded(scoring.summarise(scored(spark, sf_dir, (*scoring.CLIP, *scoring.COSTS))))
 
 
 @query

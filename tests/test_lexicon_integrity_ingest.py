@@ -132,16 +132,26 @@ def test_cap_stops_before_the_call_that_breaches_it():
     assert ig.run_provider("p", "m", 3.0, clips, lambda c: {"text": "x"}, stored.append, cap=2.5).clips_ok == 0
 
 
-def test_within_cap_matches_a_loop(spark):
-    rows = [(k, f"p{k % 2}", 0.01 * (k % 7), 0.05) for k in range(200)]
-    df = spark.createDataFrame(rows, "clip_id long, provider string, cost_usd double, list_cost double")
-    got = {(r.provider, r.clip_id): (r.spent, r.allowed) for r in ig.within_cap(df, 1.0, ranges=16).collect()}
+@pytest.mark.parametrize("key", ["long", "string"])
+def test_within_cap_matches_a_loop(spark, key):
+    rows = [(k if key == "long" else f"clip{k:03d}", f"p{k % 2}", 0.01 * (k % 7), 0.05) for k in range(200)]
+    df = spark.createDataFrame(rows, f"clip_id {key}, provider string, cost_usd double, list_cost double")
+    got = {(r.provider, r.clip_id): (r.spent, r.allowed) for r in ig.within_cap(df, 1.0).collect()}
     for p in ("p0", "p1"):
-        spent, n = 0.0, 0
+        spent, n, stopped = 0.0, 0, False
         for k, provider, cost, price in rows:
             if provider == p:
-                assert got[p, k] == (pytest.approx(spent), spent + (spent / n if n else price) <= 1.0 + 1e-12)
-                spent, n = round(spent + cost, 10), n + 1
+                stopped = stopped or spent + (spent / n if n else price) > 1.0 + 1e-12
+                assert got[p, k] == (pytest.approx(spent), not stopped)
+                if not stopped:
+                    spent, n = round(spent + cost, 10), n + 1
+
+
+def test_the_cap_ends_a_run_for_good(spark):
+    rows = [("a", "p", 0.5, 0.1), ("b", "p", 0.0, 0.1), ("c", "p", 0.0, 0.1), ("d", "p", 0.0, 0.1), ("a", "q", 0.0, 2.0), ("b", "q", 0.0, 0.1)]
+    df = spark.createDataFrame(rows, "clip_id string, provider string, cost_usd double, list_cost double")
+    got = sorted((r.provider, r.clip_id, r.spent, r.allowed) for r in ig.within_cap(df, 0.9).collect())
+    assert got == [("p", "a", 0.0, True), ("p", "b", 0.5, False), ("p", "c", 0.5, False), ("p", "d", 0.5, False), ("q", "a", 0.0, False), ("q", "b", 0.0, False)]
 
 
 def test_costs_numbers_and_payloads(spark):

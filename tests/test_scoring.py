@@ -138,13 +138,13 @@ def test_findings_are_the_planted_errors(planted, spark):
 
 def test_collapsed_transcripts_are_one_finding(spark):
     df = spark.createDataFrame([("no fever 5 mg warfarin today", "something else was heard here instead")], "r string, h string")
-    (f,) = df.select(S.findings(F.col("r"), F.col("h"), sc.lexicon_array(DRUGS))).first()[0]
+    (f,) = df.select(S.findings_of(F.col("r"), F.col("h"), sc.lexicon_array(DRUGS))).first()[0]
     assert (f.kind, f.expected, f.ref_index) == ("ASR-COLLAPSE", "no fever 5 mg warfarin today", 0)
 
 
 def test_findings_come_in_reading_order(spark):
     df = spark.createDataFrame([("no fever so take 5 mg of warfarin and call back soon my friend", "fever so take 7 mg of wine and call back soon my friend")], "r string, h string")
-    got = df.select(S.findings(F.col("r"), F.col("h"), sc.lexicon_array(DRUGS))).first()[0]
+    got = df.select(S.findings_of(F.col("r"), F.col("h"), sc.lexicon_array(DRUGS))).first()[0]
     assert [(f.kind, f.ref_index) for f in got] == [("NEG-FLIP", 0), ("DOSE-VAL", 4), ("DRUG-DEL", 7)]
     assert {f.kind for f in got} <= set(S.KINDS)
 
