@@ -1,59 +1,16 @@
-"""Where intermediate tables and files live.
-
-Every path is inside the folder named by ``spark.checkpoint.dir``, which the
-driver and all executors share.  A folder of our own is set only when the
-session names none and runs on one machine (tests, a laptop); on a cluster a
-folder of one machine would not do, so there the setting is needed.
-"""
+"""How much a table reads, and what ``tessalith.shared`` offers for tables in between."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: Catalyst reports about 2^63 bytes for rows that come from memory or an RDD.
-UNKNOWN = 1 << 60
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, set first if there is none."""
-    found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all machines share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessalith-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
-
+from tessalith.shared import new_path, removed, shared_dir, written
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessalith-{label}-{uuid.uuid4().hex}"
+__all__ = ["input_bytes", "new_path", "partitions_for", "removed", "shared_dir", "written"]
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again.
-
-    This cuts the lineage: an executor lost later costs a re-read of files
-    and not a re-run of the stages before.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete the files of tables that ``written`` made and nobody reads any more."""
-    jvm = spark.sparkContext._jvm
-    for table in tables:
-        folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
-        for folder in folders:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Catalyst reports about 2^63 bytes for rows that come from memory or an RDD.
+UNKNOWN = 1 << 60
 
 
 def input_bytes(df: DataFrame) -> int:
