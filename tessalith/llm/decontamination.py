@@ -46,6 +46,8 @@ from tessalith.llm.kernel import U64, Runs, Text, frugal, mixed, slices
 
 #: Embeddings, keys sampled from each, and places in a key.
 WALKS, SAMPLES, PLACES = 8, 8, 2
+#: Places of windows' embeddings that are held at once, for each walk.
+EMBEDDED = 200_000
 #: Edits per word of the item that a match may have, and words below which none are allowed.
 MAX_RATE, SHORT = 0.2, 8
 #: Characters of the benchmark that are sent to all workers at once (about 25 times as many bytes).
@@ -53,46 +55,52 @@ CHARACTERS_AT_ONCE = 1_000_000
 SEED = 0x5DEECE66D
 
 
-def _walk_bits(words: np.ndarray, step: int, walk: int) -> np.ndarray:
-    return (mixed(words ^ U64((SEED * (walk + 1) + step * 0x9E3779B97F4A7C15) & (2**64 - 1))) >> U64(63)).astype(np.int64)
-
-
-def embed(words: np.ndarray, starts: np.ndarray, size: int, walk: int, places: set[int]) -> dict[int, np.ndarray]:
-    """The CGK embedding of ``words[s : s + size]`` for each start, at the wanted places; 0 past the end."""
-    head = np.zeros(len(starts), np.int64)
-    out = {}
-    for step in range(max(places) + 1):
-        inside = head < size
-        symbol = np.where(inside, words[starts + np.minimum(head, size - 1)], U64(0))
-        if step in places:
-            out[step] = symbol
-        head = head + np.where(inside, _walk_bits(symbol, step, walk), 0)
+def embed(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, steps: int) -> np.ndarray:
+    """The first places of the CGK embeddings of ``words[s : s + size]`` (steps x walks x windows); 0 past the end."""
+    head = np.zeros((WALKS, len(starts)), np.int64)
+    out = np.empty((steps, WALKS, len(starts)), U64)
+    walk = np.array([SEED * (w + 1) % 2**64 for w in range(WALKS)], U64)[:, None]
+    for step in range(steps):
+        inside = head < sizes
+        out[step] = np.where(inside, words[starts + np.minimum(head, sizes - 1)], U64(0))
+        head += inside & (mixed(out[step] ^ (walk + U64(step * 0x9E3779B97F4A7C15 % 2**64))) >> U64(63) > 0)
     return out
 
 
-def sampled_places(size: int, walk: int) -> list[list[int]]:
-    """For each key of a walk the places it samples, the same on both sides.
+@lru_cache(maxsize=10_000)
+def sampled_places(size: int) -> np.ndarray:
+    """For each key of each walk the places it samples (walks x samples x places), the same on both sides.
 
     A head moves at every second step on average, so past ``1.5 * size`` steps
     an embedding is mostly padding, which all strings share.
     """
-    rng = np.random.default_rng([SEED, size, walk])
-    span = max(1, size * 3 // 2)
-    return [sorted(rng.choice(span, min(PLACES, span), replace=False).tolist()) for _ in range(SAMPLES)]
-
-
-def keys(words: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """All LSH keys of the windows: (band, one key per window, whether it holds two words or all it can)."""
-    for walk in range(WALKS):
-        sampled = sampled_places(size, walk)
-        symbols = embed(words, starts, size, walk, set().union(*sampled))
-        for k, places in enumerate(sampled):
-            key = np.full(len(starts), U64(size * 10_000 + walk * 100 + k))
-            held = np.zeros(len(starts), np.int64)
-            for p in places:
-                key = mixed(key * U64(0x9FB21C651E98DF25) + symbols[p])
-                held += symbols[p] != 0
-            yield walk * SAMPLES + k, key, held >= min(2, size)
+    rng = np.random.default_rng([SEED, size])
+    span = max(PLACES, size * 3 // 2)
+    return np.array([[sorted(rng.choice(span, PLACES, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)])
+
+
+def keys(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of windows and their LSH keys (which tell size, walk and sample too), by parts of bounded memory; keys that hold padding only are left out."""
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        steps = max(PLACES, int(sizes[order[at]]) * 3 // 2)
+        some = order[at : at + max(1, EMBEDDED // steps)]
+        some = some[sizes[some] == sizes[some[0]]] if steps > 200 else some
+        at += len(some)
+        own = sizes[some]
+        distinct, back = np.unique(own, return_inverse=True)
+        places = np.stack([sampled_places(int(x)) for x in distinct])[back]
+        symbols = embed(words, starts[some], own, int(places.max()) + 1)
+        number = np.arange(WALKS * SAMPLES).reshape(1, WALKS, SAMPLES).astype(U64)
+        key = mixed(own.astype(U64))[:, None, None] + number
+        held = np.zeros(key.shape, np.int64)
+        for p in range(PLACES):
+            symbol = symbols[places[..., p], np.arange(WALKS)[None, :, None], np.arange(len(some))[:, None, None]]
+            key = mixed(key * U64(0x9FB21C651E98DF25) + symbol)
+            held += symbol != 0
+        valid = held >= np.minimum(2, own)[:, None, None]
+        yield np.broadcast_to(some[:, None, None], key.shape)[valid], key[valid]
 
 
 def edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -123,15 +131,14 @@ def edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class Members:
     """A set of 64-bit values: a bitmap turns most others away, the sorted values decide."""
 
-    BITS = 22
-
     def __init__(self, values: np.ndarray):
         self.values = np.unique(values)
-        self.map = np.zeros(1 << self.BITS, bool)
-        self.map[self.values >> U64(64 - self.BITS)] = True
+        self.bits = min(22, max(8, int(len(self.values)).bit_length() + 5))
+        self.map = np.zeros(1 << self.bits, bool)
+        self.map[self.values >> U64(64 - self.bits)] = True
 
     def has(self, values: np.ndarray) -> np.ndarray:
-        out = self.map[values >> U64(64 - self.BITS)]
+        out = self.map[values >> U64(64 - self.bits)]
         maybe = np.flatnonzero(out)
         if len(maybe):
             at = np.minimum(np.searchsorted(self.values, values[maybe]), len(self.values) - 1)
@@ -158,40 +165,45 @@ class Items:
             by_size.setdefault(len(w), []).append(k)
         self.tables = []
         for size, items in sorted(by_size.items()):
-            flat, item = np.concatenate([self.words[k] for k in items]), np.array(items)
             # An edit makes two pairs foreign, and a window begins at a word of the match or next to it.
             spare = 2 * int(max_rate * size) + 2 if size >= SHORT else 0
-            bands = []
-            for _, key, valid in keys(flat, np.arange(0, len(flat), size), size):
-                order = np.argsort(key[valid], kind="stable")
-                bands.append((key[valid][order], item[valid][order]))
-            self.tables.append((size, spare, bands))
+            self.tables.append((size, spare, Members(np.concatenate([np.zeros(0, U64), *(pairs(self.words[k]) for k in items)]))))
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        found = list(keys(np.concatenate([np.zeros(0, U64), *self.words]), np.cumsum(sizes) - sizes, sizes))
+        item, key = (np.concatenate([np.zeros(0, x), *c]) for x, c in zip((np.int64, U64), zip(*found, strict=True) if found else ((), ()), strict=True))
+        order = np.argsort(key, kind="stable")
+        self.key, self.item = key[order], item[order]
 
     def hits(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows of (document, item, where the item would begin), sorted, once each."""
         if not len(words):
             return np.zeros((0, 3), np.int64)
-        known = np.zeros(len(words) + 1, np.int32)
         two = pairs(words)
-        known[1:-1] = np.cumsum(self.pairs.has(two))
-        known[-1] = known[-2]
+        native = np.flatnonzero(self.pairs.has(two))
+        known = np.zeros(len(words) + 1, np.int32)
+        known[native + 1] = 1
+        known = np.cumsum(known, dtype=np.int32)
         row_end = np.repeat(first[1:], np.diff(first))
-        out = [np.zeros((0, 3), np.int64)]
-        for size, spare, bands in self.tables:
+        starts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, spare, members in self.tables:
             if len(words) < size:
                 continue
             n = len(words) - size + 1
             start = np.flatnonzero(known[size - 1 :][:n] - known[:n] >= size - 1 - spare)
+            if len(start):  # the same for pairs of the items of this size
+                own = native[members.has(two[native])]
+                start = start[np.searchsorted(own, start + size - 1) - np.searchsorted(own, start) >= size - 1 - spare]
             start = start[start + size <= row_end[start]]
-            if not len(start):
-                continue
-            for band, key, valid in keys(words, start, size):
-                table, item = bands[band]
-                low, high = np.searchsorted(table, key, "left"), np.searchsorted(table, key, "right")
-                n = np.where(valid, high - low, 0)
-                if n.any():
-                    entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    out.append(np.unique(np.stack([np.repeat(start, n), item[entry], np.full(len(entry), size)], axis=1), axis=0))
+            starts.append(start)
+            sizes.append(np.full(len(start), size))
+        start, size = np.concatenate(starts), np.concatenate(sizes)
+        out = [np.zeros((0, 3), np.int64)]
+        for window, key in keys(words, start, size):
+            low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+            n = high - low
+            entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            window = np.repeat(window, n)
+            out.append(np.unique(np.stack([start[window], self.item[entry], size[window]], axis=1), axis=0))
         found = np.unique(np.concatenate(out), axis=0)
         # The same bound on foreign pairs, for the item that was hit.
         at, item, size = found.T
@@ -200,7 +212,7 @@ class Items:
             inside = np.flatnonzero(j < size - 1)
             shared[inside] += self.own_pairs.has(two[at[inside] + j] ^ code[inside])
         spare = np.zeros(int(size.max(initial=0)) + 1, np.int64)
-        for s, x, _ in self.tables:
+        for s, x, *_ in self.tables:
             if s < len(spare):
                 spare[s] = x
         spare = spare[size]

@@ -41,9 +41,9 @@ def test_edits_match_brute_force(item, text):
 
 def test_embedding_is_a_walk():
     words = np.arange(100, 130, dtype=np.uint64)
-    out = dc.embed(words, np.array([0, 5]), 12, 0, set(range(36)))
+    out = dc.embed(words, np.array([0, 5]), np.array([12, 12]), 36)
     for row, start in ((0, 0), (1, 5)):
-        path = [int(out[j][row]) for j in range(36)]
+        path = [int(out[j, 0, row]) for j in range(36)]
         visited = [p for p in dict.fromkeys(path) if p]
         assert visited == list(range(100 + start, 100 + start + len(visited)))
 
