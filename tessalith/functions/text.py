@@ -100,7 +100,7 @@ def negations(text: Column) -> Column:
         goes_on = F.when((state["n"] > 0) & gap.rlike(r"^[/.]"), 1).otherwise(0)
         idx = state["n"] + F.size(lexed(gap)) - goes_on
         hit = F.struct(part["cue"].alias("cue"), idx.alias("idx"))
-        return F.struct((idx + F.when(gap.rlike(r"[/.]$"), 0).otherwise(1)).alias("n"), F.concat(state["found"], F.array(hit)).alias("found"))
+        return F.struct((idx + F.size(lexed(part["cue"])) - F.when(gap.rlike(r"[/.]$"), 1).otherwise(0)).alias("n"), F.concat(state["found"], F.array(hit)).alias("found"))
 
     found = F.aggregate(parts, empty, step, lambda state: state["found"])
     return F.when(F.size(cues) > 0, found).when(text.isNotNull(), F.array().cast("array<struct<cue:string,idx:int>>"))

@@ -77,6 +77,11 @@ def reported_text(payload: Column, vendor: Column) -> Column:
     return out
 
 
+def latency_ms(payload: Column, path: str, wall_clock: Column) -> Column:
+    """The vendor's own figure in whole milliseconds where it gives a usable one, else what the clock said."""
+    return F.coalesce(F.round(reported_number(payload, path)), F.round(wall_clock)).cast("double")
+
+
 def projected_cost(manifest: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(provider, usd): list price times minutes; one manifest total against the few providers."""
     minutes = manifest.agg((F.sum("duration") / 60).alias("minutes")).first()[0] or 0.0

@@ -162,6 +162,44 @@ def collapse_rates(per_clip: DataFrame, keys: tuple[str, ...] = ("provider", "ti
     return per_clip.groupBy(*keys).agg(F.count("wer").alias("clips"), share("wer").alias("collapse_rate"), share("wer_spoken_punct_removed").alias("collapse_rate_stripped"))
 
 
+def sanity(per_clip: DataFrame, manifest: DataFrame) -> DataFrame:
+    """By provider: scored clips, rates outside [0, 1], and clips whose drug mentions are not those that the manifest lists."""
+    listed = F.size(F.filter(F.split("drug_terms", r"\|"), lambda t: t != ""))
+    both = per_clip.join(manifest.select("clip_id", listed.alias("__listed")), "clip_id")
+    count = lambda c: F.sum(c.cast("int"))
+    return both.groupBy("provider").agg(F.count("*").alias("clips"), count(~F.coalesce(F.col("wer").between(0, 1), F.lit(True))).alias("wer_outside"), count(F.col("drug_mentions") != F.col("__listed")).alias("other_mentions"))
+
+
+def accuracy_without_collapsed(per_clip: DataFrame) -> DataFrame:
+    """By provider the entity accuracies over all clips and over those whose transcript did not collapse."""
+    whole = F.coalesce(F.col("wer_spoken_punct_removed") < S.COLLAPSE, F.lit(True))
+    pairs = {"drug": ("drug_mentions", F.col("drug_correct")), "dose": ("doses", F.col("dose_correct") + F.col("dose_unit_error")), "negation": ("negation_cues", F.col("negation_preserved"))}
+    columns = []
+    for name, (n, ok) in pairs.items():
+        columns += [_ratio(F.sum(ok), F.sum(n)).alias(f"{name}_accuracy"), _ratio(F.sum(F.when(whole, ok)), F.sum(F.when(whole, F.col(n)))).alias(f"{name}_accuracy_whole")]
+    return per_clip.groupBy("provider").agg(F.sum((~whole).cast("int")).alias("collapsed"), *columns)
+
+
+def speaker_bootstrap(per_clip: DataFrame, correct: str = "drug_correct", total: str = "drug_mentions", rounds: int = 200) -> DataFrame:
+    """By provider the share of survivors and its 95 % interval, drawn by speaker: clips of one speaker stay together.
+
+    Every round gives each speaker a weight of Poisson's law, which a hash of
+    speaker and round decides; so speakers are summed first, rounds are a sum of
+    weighted speakers, and the interval is the same on every run.
+    """
+    speakers = per_clip.groupBy("provider", "speaker_id").agg(F.sum(correct).alias("c"), F.sum(total).alias("n"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("speaker_id").cast("string"), F.col("round").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    times = reduce(lambda rest, k: F.when(u < POISSON[k], F.lit(k)).otherwise(rest), reversed(range(len(POISSON))), F.lit(len(POISSON)))
+    drawn = speakers.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", times)
+    shares = drawn.groupBy("provider", "round").agg(F.try_divide(F.sum(F.col("w") * F.col("c")).cast("double"), F.sum(F.col("w") * F.col("n")).cast("double")).alias("share"))
+    intervals = shares.groupBy("provider").agg(F.percentile("share", F.lit(0.025)).alias("low"), F.percentile("share", F.lit(0.975)).alias("high"))
+    return speakers.groupBy("provider").agg(F.count("*").alias("speakers"), _ratio(F.sum("c"), F.sum("n")).alias("share")).join(intervals, "provider")
+
+
+# The distribution function of Poisson's law with mean 1 at 0 to 6.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712)
+
+
 # --- paired tests ----------------------------------------------------------------
 
 #: For each metric the denominator and what counts as survived; a dose with a wrong unit kept its value.

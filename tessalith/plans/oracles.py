@@ -8,7 +8,9 @@ doses and invented drugs relies on.
 from __future__ import annotations
 
 from tessalith.functions.text import SPOKEN_PUNCTUATION
-from tessalith.operators.scoring import ERRORS
+from tessalith.functions.scores import SCORES
+from tessalith.operators.scoring import ERRORS, POISSON
+from tessalith.plans import cases
 from tessalith.plans.fixture import ANSWERS_SQL, CLIPS_SQL, DRUGS
 from tessalith.plans.queries import ALLOCATION, SECRET
 
@@ -16,6 +18,10 @@ LEXICON = "[" + ", ".join(f"'{d}'" for d in DRUGS) + "]"
 _SPOKEN = "|".join(SPOKEN_PUNCTUATION)
 
 
+def _row(values: tuple) -> str:
+    return "(" + ", ".join("NULL" if v is None else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
 def words(text: str) -> str:
     return f"list_filter(string_split_regex({text}, '\\s+'), lambda w: w <> '')"
 
@@ -183,16 +189,29 @@ _ROUNDED = ", ".join(f"round({c}, 9) AS {c}" for c in ("clinical_share", "has_dr
 _EXCERPT = f"""SELECT provider, clip_id, array_to_string(list_slice(list_transform(rs, lambda w, i: CASE WHEN i = 4 THEN concat('[[', w, ']]') ELSE w END), 1, 11), ' ') AS ref_excerpt,
   array_to_string(list_slice(hs, greatest({centre("3", "len(rs)", "len(hs)")} - 7, 0) + 1, {centre("3", "len(rs)", "len(hs)")} + 8), ' ') AS hyp_excerpt FROM tokens"""
 
-_SHEET = f"""{FOUND}, sheet AS (
+#: How a person might have filled the sheet.
+_FILLED = """CASE WHEN (finding_id + {t}) % 5 = 0 THEN 'NO-ERROR' WHEN (finding_id + {t}) % 5 = 1 THEN 'BENIGN' WHEN (finding_id + {t}) % 7 = 2 THEN '' ELSE kind END AS failure_code,
+    concat('S', finding_id % 3 + 1) AS severity, CASE WHEN (finding_id + {t}) % 4 = 0 THEN 'heard "twice", clearly' ELSE '' END AS note"""
+
+_REVIEW = f"""{FOUND}, sheet AS (
   SELECT row_number() OVER (ORDER BY kind, clip_id, provider, ref_index, position) AS finding_id, picked.* FROM picked WHERE nth <= quota
 ), shown AS (
   SELECT s.*, {words("t.reference")} AS r, {words("f.hypothesis")} AS h, rs, hs FROM sheet s JOIN tokens t USING (provider, clip_id) JOIN flat f USING (provider, clip_id)
-)
+), review AS MATERIALIZED (
 SELECT finding_id, 'detector' AS source, clip_id, provider, accent, tier, domain, kind, expected, heard, round(weight, 4) AS weight,
   array_to_string(list_slice(list_transform(rs, lambda w, i: CASE WHEN i = ref_index + 1 THEN concat('[[', w, ']]') ELSE w END), greatest(ref_index - 7, 0) + 1, ref_index + 8), ' ') AS ref_excerpt,
   array_to_string(list_slice(hs, greatest({centre("ref_index", "len(rs)", "len(hs)")} - 7, 0) + 1, {centre("ref_index", "len(rs)", "len(hs)")} + 8), ' ') AS hyp_excerpt,
   concat(kind, ' candidate') AS auto_flag, '' AS needs_listen, '' AS failure_code, '' AS severity, '' AS note
-FROM shown"""
+FROM shown
+), filled AS (
+  SELECT * REPLACE ({_FILLED.format(t=0)}), weight AS w, 'detector' AS who FROM review
+), added AS (
+  SELECT finding_id + 1000 AS finding_id, 'human' AS source, clip_id, provider, accent, tier, domain, 'HUMAN' AS kind, 'TERM-CORRUPT' AS failure_code, 'S2' AS severity FROM review WHERE finding_id % 20 = 0
+), labelled AS (
+  SELECT finding_id, source, clip_id, provider, tier, kind, weight, failure_code, severity, note FROM filled
+  UNION ALL SELECT finding_id, source, clip_id, provider, tier, kind, CAST(NULL AS DOUBLE), failure_code, severity, CASE WHEN (finding_id - 1000) % 4 = 0 THEN '' ELSE '' END FROM added
+)"""
+_DONE = "failure_code <> '' AND severity <> ''"
 
 _RATE = f"""{CLIPS_SQL}, rates AS (
   SELECT clip_id, duration, len({words("reference")}) AS n, len({words("reference")}) / duration AS rate FROM clips
@@ -235,7 +254,33 @@ ORACLES: dict[str, str] = {
     "findings": f"WITH {FOUND} SELECT clip_id, provider, accent, tier, domain, kind, expected, heard, ref_index FROM found",
     "findings_by_kind": f"WITH {FOUND} SELECT provider, kind, count(*) AS n FROM found GROUP BY ALL",
     "findings_sample": f"WITH {FOUND} SELECT provider, clip_id, kind, expected, heard, ref_index, round(weight, 9) AS weight FROM picked WHERE nth <= quota",
-    "review_sheet": f"WITH {_SHEET}",
+    "review_sheet": f"WITH {_REVIEW} SELECT * FROM review",
+    "review_cards": f"""WITH {_REVIEW}, c AS (SELECT *, row_number() OVER (PARTITION BY clip_id, provider ORDER BY finding_id) AS position FROM review)
+SELECT clip_id, provider, arg_min(accent, finding_id) AS accent, arg_min(tier, finding_id) AS tier, arg_min(domain, finding_id) AS domain, count(*) AS n,
+  string_agg(concat_ws('|', position, finding_id, kind, expected, heard, ref_excerpt, hyp_excerpt), ';' ORDER BY position) AS findings FROM c GROUP BY clip_id, provider""",
+    "sheet_labels": f"WITH {_REVIEW} SELECT finding_id, source, clip_id, provider, kind, weight, failure_code, severity, note FROM labelled",
+    "taxonomy_summary": f"WITH {_REVIEW} SELECT provider, tier, count(*) AS rows, count_if({_DONE}) AS done, round(sum(coalesce(weight, 1)), 3) AS findings, round(coalesce(sum(coalesce(weight, 1)) FILTER (WHERE severity = 'S1'), 0), 3) AS worst FROM labelled GROUP BY provider, tier",
+    "label_distribution": f"WITH {_REVIEW} SELECT provider, tier, failure_code, severity, count(*) AS rows, round(sum(coalesce(weight, 1)), 3) AS findings FROM labelled WHERE {_DONE} GROUP BY ALL",
+    "missed_by_detector": f"WITH {_REVIEW}, c AS (SELECT provider, count_if(source <> 'human' AND {_DONE} AND failure_code <> 'NO-ERROR') AS found, count_if(source = 'human' AND {_DONE} AND failure_code <> 'NO-ERROR') AS missed FROM labelled GROUP BY provider) SELECT *, round(missed / (found + missed)::DOUBLE, 9) AS missed_rate FROM c",
+    "rater_agreement": f"WITH {_REVIEW}, a AS (SELECT finding_id, failure_code, severity FROM filled WHERE {_DONE}), second AS (SELECT * REPLACE ({_FILLED.format(t=1)}) FROM review), b AS (SELECT finding_id, failure_code, severity FROM second WHERE {_DONE}) SELECT count(*) AS findings, round(avg((a.failure_code = b.failure_code)::INT), 9) AS code_agreement, round(avg((a.severity = b.severity)::INT), 9) AS severity_agreement FROM a JOIN b USING (finding_id)",
+    "sheet_coverage": f"WITH {_REVIEW}, n AS (SELECT kind, count(*) AS found FROM found GROUP BY kind), o AS (SELECT kind, count(*) AS on_sheet FROM review GROUP BY kind) SELECT kind, found, coalesce(on_sheet, 0) AS on_sheet, round(coalesce(on_sheet, 0) / found::DOUBLE, 9) AS share FROM n LEFT JOIN o USING (kind)",
+    "scores_sanity": f"WITH {SCORED}, m AS (SELECT clip_id, len(list_filter({lexed('reference')}, lambda t: list_contains({LEXICON}, t))) AS listed FROM clips) SELECT provider, count(*) AS clips, count_if(wer < 0 OR wer > 1) AS wer_outside, count_if(drug_mentions <> listed) AS other_mentions FROM scored JOIN m USING (clip_id) GROUP BY provider",
+    "accuracy_without_collapsed": f"WITH {SCORED} SELECT provider, count_if(wer_spoken_punct_removed >= 0.8) AS collapsed, " + ", ".join(f"round(sum({ok}) / sum({n})::DOUBLE, 9) AS {name}_accuracy, round(sum({ok}) FILTER (WHERE wer_spoken_punct_removed < 0.8) / (sum({n}) FILTER (WHERE wer_spoken_punct_removed < 0.8))::DOUBLE, 9) AS {name}_accuracy_whole" for name, n, ok in (("drug", "drug_mentions", "drug_correct"), ("dose", "doses", "dose_correct + dose_unit_error"), ("negation", "negation_cues", "negation_preserved"))) + " FROM scored GROUP BY provider",
+    "speaker_bootstrap": f"""WITH {SCORED}, s AS (SELECT provider, speaker_id, sum(drug_correct) AS c, sum(drug_mentions) AS n FROM scored JOIN (SELECT clip_id, speaker_id FROM clips) USING (clip_id) GROUP BY ALL
+), u AS (SELECT *, ('0x' || substr(md5(concat_ws('|', speaker_id, round)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM s, (SELECT unnest(range(1, 201)) AS round)
+), w AS (SELECT *, CASE {" ".join(f"WHEN u < {x!r}::DOUBLE THEN {k}" for k, x in enumerate(POISSON))} ELSE {len(POISSON)} END AS w FROM u
+), r AS (SELECT provider, round, sum(w * c)::DOUBLE / sum(w * n)::DOUBLE AS share FROM w GROUP BY provider, round
+), i AS (SELECT provider, quantile_cont(share, 0.025) AS low, quantile_cont(share, 0.975) AS high FROM r GROUP BY provider)
+SELECT s.provider, count(*) AS speakers, round(sum(c)::DOUBLE / sum(n)::DOUBLE, 8) AS share, round(any_value(low), 8) AS low, round(any_value(high), 8) AS high FROM s JOIN i USING (provider) GROUP BY s.provider""",
+    "case_scores": f"SELECT * FROM (VALUES {', '.join(_row((c.clip_id, *c.scores)) for c in cases.PAIRS)}) v(clip_id, {', '.join(SCORES)})",
+    "case_findings": f"SELECT * FROM (VALUES {', '.join(_row((c.clip_id, k, *f)) for c in cases.PAIRS for k, f in enumerate(c.findings))}) v(clip_id, position, kind, expected, heard, ref_index)",
+    "normalised_texts": f"SELECT * FROM (VALUES {', '.join(_row(t) for t in cases.TEXTS)}) v(raw, normalised)",
+    "marked_texts": f"SELECT * FROM (VALUES {', '.join(_row((k, *m)) for k, m in enumerate(cases.MARKED))}) v(n, numbered, plain, ref_marked, hyp_marked, ref_excerpt, expected, heard_known)",
+    "cache_round_trip": f"WITH {CACHE} SELECT clip_id::VARCHAR AS clip_id, provider, 'm' AS model, hypothesis AS text, latency_ms::DOUBLE AS latency_ms, audio_seconds, cost_usd FROM cache WHERE provider = 'p1'",
+    "manifest_round_trip": f"WITH {MANIFEST} SELECT d.clip_id::VARCHAR AS clip_id, d.accent, d.tier, d.domain, d.duration, d.reference AS transcript, has_drug, drug_terms, has_dose, CASE WHEN has_dose THEN dose_strings END AS dose_strings, has_negation, has_entity, speaker_id::VARCHAR AS speaker_id FROM drawn d",
+    "reported_payloads": f"WITH {CACHE} SELECT provider, clip_id, hypothesis AS text, CASE WHEN provider IN ('p0', 'p2', 'p4') THEN round(latency_ms) ELSE round(latency_ms + 0.4) END::DOUBLE AS latency_ms FROM cache",
+    "wer_conversations": """WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS r FROM conversations), p AS (SELECT a.conv_id, a.turn, a.r, b.r AS h FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, len(r) AS words, CASE WHEN len(r) > 0 THEN round(list_reduce(r, lambda a, x: list_reduce(list_transform(range(1, len(h) + 1), lambda j: least(a[j + 1] + 1, a[j] + (h[j] <> x)::BIGINT)), lambda n, v: list_append(n, least(v, n[len(n)] + 1)), [a[1] + 1]), range(0, len(h) + 1))[len(h) + 1] / len(r)::DOUBLE, 9) END AS wer FROM p""",
     "worst_failures": f"WITH {SCORED}, failed AS (SELECT *, {_BAND.format(0, 1, 2, 3)} AS band FROM scored WHERE {_FAILED}), dealt AS (SELECT *, row_number() OVER (PARTITION BY band, provider, tier ORDER BY wer DESC, clip_id) AS turn FROM failed) SELECT clip_id, provider, tier, band, turn, {_BAND.format(*(f'{chr(39)}{x}{chr(39)}' for x in ('DRUG-SUB candidate', 'DOSE-VAL candidate', 'NEG-FLIP candidate', 'high WER')))} AS auto_flag, round(wer, 9) AS wer FROM dealt ORDER BY band, turn, provider, tier, clip_id LIMIT 100",
     "accent_tiers": f"WITH {CLIPS_SQL} SELECT accent, tier FROM tiers WHERE tier IS NOT NULL",
     "stratified_draw": f"WITH {MANIFEST} SELECT clip_id, tier, accent, domain, has_entity FROM drawn",
@@ -255,6 +300,7 @@ SELECT rule, subject, round(found::DOUBLE, 9) AS found, wanted::DOUBLE AS wanted
     "repeated_line_items": "SELECT 'suspicious' AS verdict, concat_ws('/', l_orderkey, l_linenumber) AS subject, count(*) AS clips, array_to_string(list_slice(list_sort(list_distinct(list(l_partkey))), 1, 100), ',') AS clip_ids FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
     "lexicon_components": f"{_TERMS} {_COMPONENTS}",
     "lexicon_build": f"{_TERMS}, trusted AS ({_TRUSTED}), everything AS (SELECT term FROM trusted UNION SELECT term FROM brand WHERE term NOT IN ('steel', 'copper') OR term IN (SELECT term FROM trusted)) SELECT term FROM everything WHERE length(term) >= 4 AND regexp_matches(term, '[a-z]') AND term NOT IN {_BLOCKED}",
+    "lexicon_round_trip": f"{_TERMS}, trusted AS ({_TRUSTED}), everything AS (SELECT term FROM trusted UNION SELECT term FROM brand WHERE term NOT IN ('steel', 'copper') OR term IN (SELECT term FROM trusted)) SELECT term FROM everything WHERE length(term) >= 4 AND regexp_matches(term, '[a-z]') AND term NOT IN {_BLOCKED}",
     "pending_clips": f"WITH {CACHE} SELECT clip_id, duration FROM clips WHERE clip_id NOT IN (SELECT clip_id FROM cache WHERE provider = 'p2')",
     "spend_cap": f"""WITH {CACHE}, r AS (
   SELECT provider, clip_id, audio_seconds, coalesce(sum(CAST(cost_usd AS DECIMAL(28, 10))) OVER w, 0)::DOUBLE AS spent, count(*) OVER w AS before FROM cache

@@ -8,13 +8,17 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessalith import sinks
 from tessalith.functions import scores as S
 from tessalith.functions import stats
 from tessalith.functions import text as T
-from tessalith.operators import ingest, integrity, lexicon, sampling, scoring
-from tessalith.plans import fixture
+from tessalith.operators import ingest, integrity, labels, lexicon, sampling, scoring
+from tessalith.plans import cases, fixture
 from tessalith.plans.fixture import table
+from tessalith.functions.normalise import normalise
 from tessalith.session import ship_package
+from tessalith.shared import new_path, written
+from tessalith.sources import tables
 from tessalith.sources.tables import members_wanted
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,7 +203,8 @@ def review_sheet(spark, sf_dir):
 @query
 def review_cards(spark, sf_dir):
     sheet = scoring.review_sheet(scoring.select_findings(found(spark, sf_dir)), merged(spark, sf_dir))
-    return scoring.cards(sheet).select("clip_id", "provider", "accent", "tier", "domain", F.size("findings").alias("n"), F.to_json("findings").alias("findings"))
+    entry = lambda f: F.concat_ws("|", f["position"].cast("string"), f["finding_id"].cast("string"), f["kind"], f["expected"], f["heard"], f["ref_excerpt"], f["hyp_excerpt"])
+    return scoring.cards(sheet).select("clip_id", "provider", "accent", "tier", "domain", F.size("findings").alias("n"), F.array_join(F.transform("findings", entry), ";").alias("findings"))
 
 
 @query
@@ -207,6 +212,162 @@ def worst_failures(spark, sf_dir):
     return scoring.select_failures(scored(spark, sf_dir), 100).select("clip_id", "provider", "tier", "band", "turn", "auto_flag", F.round("wer", 9).alias("wer"))
 
 
+# --- labelled sheets ----------------------------------------------------------------
+
+
+def _sheet(spark, sf_dir):
+    return written(scoring.review_sheet(scoring.select_findings(found(spark, sf_dir)), merged(spark, sf_dir)), "sheet")
+
+
+def _filled(sheet, turn: int = 0):
+    """The sheet as a person might have filled it: judgments by the row's number, one added row in ten, some of them empty."""
+    n = F.col("finding_id") + turn
+    code = F.when(n % 5 == 0, "NO-ERROR").when(n % 5 == 1, "BENIGN").when(n % 7 == 2, "").otherwise(F.col("kind"))
+    own = sheet.withColumns({"failure_code": code, "severity": F.concat(F.lit("S"), (F.col("finding_id") % 3 + 1).cast("string")), "note": F.when(n % 4 == 0, 'heard "twice", clearly').otherwise("")})
+    blank = {"source": F.lit("human"), "kind": F.lit("HUMAN"), "expected": F.lit(""), "heard": F.lit(""), "weight": F.lit(None).cast("double"), "ref_excerpt": F.lit(""), "hyp_excerpt": F.lit(""), "auto_flag": F.lit(""), "finding_id": F.col("finding_id") + 1000}
+    kept = n % 20 == 0
+    added = sheet.filter(n % 10 == 0).withColumns({"failure_code": F.when(kept, "TERM-CORRUPT").otherwise(""), "severity": F.when(kept, "S2").otherwise("")}).withColumns(blank)
+    return own.unionByName(added)
+
+
+def _labelled(spark, sf_dir):
+    """The filled sheet written as CSV, read as text, and attached to a fresh sheet."""
+    path, sheet = new_path(spark, "filled-sheet"), _sheet(spark, sf_dir)
+    sinks.write_csv(_filled(sheet), path)
+    return labels.reattached(sheet, tables.read_sheet(spark, path, scoring.SHEET))
+
+
+@query
+def sheet_labels(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("finding_id", "source", "clip_id", "provider", "kind", "weight", "failure_code", "severity", F.coalesce("note", F.lit("")).alias("note"))
+
+
+@query
+def taxonomy_summary(spark, sf_dir):
+    return rounded(labels.taxonomy_summary(_labelled(spark, sf_dir)), 3)
+
+
+@query
+def label_distribution(spark, sf_dir):
+    return rounded(labels.label_distribution(_labelled(spark, sf_dir)), 3)
+
+
+@query
+def missed_by_detector(spark, sf_dir):
+    return rounded(labels.missed_rate(_labelled(spark, sf_dir)))
+
+
+@query
+def rater_agreement(spark, sf_dir):
+    return rounded(labels.agreement(_filled(sheet := _sheet(spark, sf_dir)), _filled(sheet, turn=1).filter("source != 'human'")))
+
+
+@query
+def sheet_coverage(spark, sf_dir):
+    return rounded(labels.coverage(_sheet(spark, sf_dir), found(spark, sf_dir)))
+
+
+# --- checks of scores -----------------------------------------------------------------
+
+
+@query
+def scores_sanity(spark, sf_dir):
+    return scoring.sanity(scored(spark, sf_dir), manifest(spark, sf_dir))
+
+
+@query
+def accuracy_without_collapsed(spark, sf_dir):
+    return rounded(scoring.accuracy_without_collapsed(scored(spark, sf_dir)))
+
+
+@query
+def speaker_bootstrap(spark, sf_dir):
+    return rounded(scoring.speaker_bootstrap(scored(spark, sf_dir, (*scoring.CLIP, "speaker_id"))), 8)
+
+
+# --- written cases: raw texts with several entities, their marks and their numbers ------------------------
+
+
+def _case_pairs(spark):
+    """The written cases as a cache and a manifest, merged and normalised like any other."""
+    manifest = spark.createDataFrame([(c.clip_id, "x", "A", "clinical", 10.0, c.reference) for c in cases.PAIRS], "clip_id string, accent string, tier string, domain string, duration double, transcript string")
+    cache = spark.createDataFrame([(c.clip_id, "p", c.hypothesis) for c in cases.PAIRS] + [("orphan", "p", "no clip")], "clip_id string, provider string, text string")
+    return scoring.normalised(scoring.merge(cache, manifest)), spark.createDataFrame([(t,) for t in cases.LEXICON], "term string")
+
+
+@query
+def case_scores(spark, sf_dir):
+    pairs, terms = _case_pairs(spark)
+    return rounded(scoring.score_clips(pairs, terms, normalised_already=True).select("clip_id", *S.SCORES))
+
+
+@query
+def case_findings(spark, sf_dir):
+    pairs, terms = _case_pairs(spark)
+    return scoring.all_findings(pairs, terms, normalised_already=True).select("clip_id", "position", "kind", "expected", "heard", "ref_index")
+
+
+@query
+def normalised_texts(spark, sf_dir):
+    raw = spark.createDataFrame([(r, ) for r, _ in cases.TEXTS], "raw string")
+    return raw.select("raw", normalise(F.col("raw")).alias("normalised"))
+
+
+@query
+def marked_texts(spark, sf_dir):
+    """Marks of judged words, their removal, excerpts around a mark, and the drugs of both sides."""
+    rows = spark.createDataFrame([(k, r, h, p) for k, (r, h, p) in enumerate(cases.MARKS)], "n int, reference string, hypothesis string, positions array<int>")
+    lex = scoring.lexicon_array(cases.LEXICON)
+    numbered = T.marked_reference(F.col("reference"), F.col("positions"))
+    diff = T.mark_diff(F.col("reference"), F.col("hypothesis"))
+    out = rows.withColumns({"numbered": numbered, "diff": diff}).withColumn("plain", T.unmark(F.col("numbered")))
+    evidence = T.drug_evidence(F.col("numbered"), F.col("diff.hyp"), lex)
+    joined = lambda c: F.array_join(c, ",")
+    return out.select("n", "numbered", "plain", F.col("diff.ref").alias("ref_marked"), F.col("diff.hyp").alias("hyp_marked"), T.excerpt(F.col("diff.ref"), 5).alias("ref_excerpt"), joined(evidence["expected"]).alias("expected"), joined(evidence["heard_known"]).alias("heard_known"))
+
+
+# --- written and read again -------------------------------------------------------------------------
+
+
+@query
+def cache_round_trip(spark, sf_dir):
+    """The cache as one JSON object an answer, in a folder for each provider, read again."""
+    path = new_path(spark, "cache")
+    rows = _cache(spark, sf_dir).filter("provider = 'p1'").withColumn("clip_id", F.col("clip_id").cast("string"))
+    sinks.append_cache(rows, f"{path}/parquet")
+    again = spark.read.parquet(f"{path}/parquet")
+    again.drop("provider").repartition(4).write.json(f"{path}/json/p1")
+    return spark.read.schema(tables.CACHE).json(f"{path}/json/[^_]*").withColumn("provider", F.lit("p1")).select("clip_id", "provider", "model", "text", "latency_ms", "audio_seconds", "cost_usd")
+
+
+@query
+def manifest_round_trip(spark, sf_dir):
+    """The drawn manifest as CSV with the fixed columns, read with its schema."""
+    path = new_path(spark, "manifest")
+    sinks.write_manifest(drawn(spark, sf_dir).withColumnRenamed("reference", "transcript"), path)
+    return tables.read_manifest(spark, path).select("clip_id", "accent", "tier", "domain", "duration", "transcript", "has_drug", "drug_terms", "has_dose", "dose_strings", "has_negation", "has_entity", "speaker_id")
+
+
+@query
+def lexicon_round_trip(spark, sf_dir):
+    path = new_path(spark, "lexicon")
+    sinks.write_lexicon(lexicon_build(spark, sf_dir), path)
+    return tables.read_lexicon(spark, path)
+
+
+@query
+def reported_payloads(spark, sf_dir):
+    """Answers as the vendors send them (JSON), and what is read out of them."""
+    vendors = F.create_map(*[F.lit(x) for x in ("p0", "groq", "p1", "deepgram", "p2", "assemblyai", "p3", "google", "p4", "groq")])
+    rows = _cache(spark, sf_dir).withColumn("vendor", F.element_at(vendors, F.col("provider")))
+    deep = F.to_json(F.struct(F.struct(F.array(F.struct(F.array(F.struct(F.col("text").alias("transcript"))).alias("alternatives"))).alias("channels")).alias("results")))
+    google = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct("text")).alias("parts")).alias("content"))).alias("candidates")))
+    plain = F.to_json(F.struct("text", F.col("latency_ms").alias("took")))
+    rows = rows.withColumn("payload", F.when(F.col("vendor") == "deepgram", deep).when(F.col("vendor") == "google", google).otherwise(plain))
+    latency = ingest.latency_ms(F.col("payload"), "$.took", F.col("latency_ms") + 0.4)
+    return rows.select("provider", "clip_id", ingest.reported_text(F.col("payload"), F.col("vendor")).alias("text"), latency.alias("latency_ms"))
+
+
 # --- sampling ---------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessalith.operators.integrity import MOST_FLAGGED
+from tessalith.schemas import MANIFEST
 
 #: A page shows so many rows at most; larger tables belong into a CSV or Parquet.
 PAGE_ROWS = 10_000
@@ -40,6 +41,12 @@ def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """The manifest as CSV with its fixed columns in order; a column that the manifest lacks is empty."""
+    columns = [F.col(f.name).cast(f.dataType) if f.name in manifest.columns else F.lit(None).cast(f.dataType) for f in MANIFEST.fields]
+    write_csv(manifest.select(*[c.alias(f.name) for c, f in zip(columns, MANIFEST.fields, strict=True)]), path)
+
+
 def write_lexicon(terms: DataFrame, path: str) -> None:
     """Sorted unique terms, one a line."""
     terms.select(F.col(terms.columns[0]).alias("value")).distinct().orderBy("value").coalesce(1).write.mode("overwrite").text(path)

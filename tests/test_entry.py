@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 duckdb = pytest.importorskip("duckdb")
-FAST = ("drug_mentions", "dose_pairs", "negation_positions", "entity_flags", "wer_by_provider", "headline", "significance", "findings_by_kind", "accent_tiers", "stratified_draw", "quota_checks", "duplicate_pairings", "speech_rate_outliers", "lexicon_build", "pending_clips", "spend_cap", "run_summary", "member_key_join", "secret_scan")
+FAST = ("drug_mentions", "dose_pairs", "negation_positions", "entity_flags", "wer_by_provider", "headline", "significance", "findings_by_kind", "accent_tiers", "stratified_draw", "quota_checks", "duplicate_pairings", "speech_rate_outliers", "lexicon_build", "pending_clips", "spend_cap", "run_summary", "member_key_join", "secret_scan", "case_scores", "case_findings", "normalised_texts", "marked_texts", "wer_conversations", "cache_round_trip", "manifest_round_trip", "reported_payloads", "scores_sanity", "taxonomy_summary", "speaker_bootstrap")
 
 
 def test_entry_runs(spark):
@@ -38,12 +38,15 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_other_queries_stay_without_the_subpackage(monkeypatch):
+@pytest.mark.parametrize("gone", ["tessalith.llm", "zstandard", "public_tokenizers"])
+def test_other_queries_stay_without_the_subpackage(monkeypatch, gone):
     class Gone:
         def find_spec(self, name, path=None, target=None):
-            if name == "corpus_pipeline" or name.startswith("tessalith.llm"):
+            if name.startswith(gone) or (gone == "tessalith.llm" and name == "corpus_pipeline"):
                 raise ModuleNotFoundError(f"No module named {name!r}", name=name)
 
+    monkeypatch.delitem(sys.modules, gone, raising=False)
+
     for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("tessalith.llm")]:
         monkeypatch.delitem(sys.modules, name)
     monkeypatch.setattr(sys, "meta_path", [Gone(), *sys.meta_path])
