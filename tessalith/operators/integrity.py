@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessalith.functions.text import words
@@ -60,16 +60,23 @@ def duplicate_pairings(manifest: DataFrame) -> DataFrame:
     one transcript twice, or rows that share a path, are ``suspicious``.
     ``clip_ids`` lists a group's smallest ids up to ``LISTED``; ``clips`` counts all.
     """
-    listed = lambda: F.slice(F.array_sort(F.collect_set("clip_id")), 1, LISTED)
-    texts = manifest.groupBy(F.trim("transcript").alias("subject"), F.col("speaker_id")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("clip_id")), 1, LISTED).alias("ids"))
-    texts = texts.groupBy("subject").agg(F.sum("n").alias("clips"), F.count("*").alias("speakers"), F.slice(F.array_sort(F.flatten(F.collect_set("ids"))), 1, LISTED).alias("clip_ids")).filter("clips > 1")
+    def listed(rows: DataFrame, subject: str) -> DataFrame:
+        """(subject, clips, ids): all rows are counted, the smallest ids collected: a group of any size sends ``LISTED`` of each part of it."""
+        ids = rows.select(subject, "clip_id").distinct().withColumn("part", F.pmod(F.xxhash64("clip_id"), F.lit(PARTS)))
+        few = ids.withColumn("n", F.row_number().over(Window.partitionBy(subject, "part").orderBy("clip_id"))).filter(F.col("n") <= LISTED)
+        return few.groupBy(subject).agg(F.slice(F.array_sort(F.collect_set("clip_id")), 1, LISTED).alias("clip_ids"))
+
+    rows = manifest.select("clip_id", F.trim("transcript").alias("subject"), "speaker_id", F.trim("path").alias("path"))
+    texts = rows.groupBy("subject", "speaker_id").agg(F.count("*").alias("n")).groupBy("subject").agg(F.sum("n").alias("clips"), F.count("*").alias("speakers")).filter("clips > 1")
+    texts = texts.join(listed(rows.join(texts.select("subject"), "subject", "left_semi"), "subject"), "subject")
     verdict = F.when(F.col("speakers") < F.col("clips"), "suspicious").otherwise("expected")
     shape = F.when(F.col("speakers") < F.col("clips"), "one speaker, same transcript").otherwise("same prompt, other speakers")
-    paths = manifest.groupBy(F.trim("path").alias("subject")).agg(F.count("*").alias("clips"), listed().alias("clip_ids")).filter("clips > 1")
+    paths = rows.groupBy("path").agg(F.count("*").alias("clips")).filter("clips > 1")
+    paths = paths.join(listed(rows.join(paths.select("path"), "path", "left_semi"), "path"), "path").withColumnRenamed("path", "subject")
     return texts.select(verdict.alias("verdict"), shape.alias("shape"), "subject", "clips", "clip_ids").unionByName(paths.select(F.lit("suspicious").alias("verdict"), F.lit("rows share audio").alias("shape"), "subject", "clips", "clip_ids"))
 
 
-LISTED = 100
+LISTED, PARTS = 100, 64
 
 
 def should_halt(flagged: int, suspicious: int) -> bool:

@@ -12,30 +12,38 @@ from pyspark.sql import functions as F
 from tessalith.operators.integrity import MOST_FLAGGED
 from tessalith.schemas import MANIFEST
 
-#: A page shows so many rows at most; larger tables belong into a CSV or Parquet.
+#: A page is put together on the driver, so it shows so many rows at most; a larger table is an error and belongs into a CSV or Parquet.
 PAGE_ROWS = 10_000
 
-# What a reviewer chooses from.
+# The codes; what they mean, in words of our own.
 CODES = {
-    "DRUG-SUB": "one real drug transcribed as a different real drug",
-    "DRUG-DEL": "drug name dropped or corrupted into a non-word",
-    "DOSE-VAL": "numeric value changed",
-    "DOSE-UNIT": "unit changed, value intact",
-    "DOSE-MISS": "the dose is gone: no number and unit survived in its place",
-    "NEG-FLIP": "negation lost or inverted",
-    "TERM-CORRUPT": "clinical term corrupted into a plausible-reading wrong term",
-    "PHON-ACCENT": "error traceable to accent phonology (verify by listening)",
-    "ASR-COLLAPSE": "the whole transcription failed, this is not an entity-level error",
-    "BENIGN": "a real error, but no clinical meaning changes",
-    "NO-ERROR": "the detector was wrong, nothing is wrong with this transcription",
+    "DRUG-SUB": "another drug of the lexicon stands where this one was said",
+    "DRUG-DEL": "the drug's name is missing, or what stands there is no drug",
+    "DOSE-VAL": "the unit is right and the number is not",
+    "DOSE-UNIT": "the number is right and the unit is not",
+    "DOSE-MISS": "neither number nor unit of the dose came through",
+    "NEG-FLIP": "a negation is gone, so the statement turns round",
+    "TERM-CORRUPT": "a clinical term became another one that reads well",
+    "PHON-ACCENT": "the sound of the accent explains the error (listen first)",
+    "ASR-COLLAPSE": "nothing of the recording came through, not just an entity",
+    "BENIGN": "an error that changes no clinical meaning",
+    "NO-ERROR": "a false alarm: the transcript is right",
 }
 SEVERITIES = {
-    "S1": "could change a clinical action if unreviewed (wrong drug, wrong value, flipped negation)",
-    "S2": "misleading, likely caught by a reader",
-    "S3": "cosmetic",
+    "S1": "unnoticed, it could change what is done for the patient",
+    "S2": "it misleads, but a reader would probably notice",
+    "S3": "it only looks wrong",
 }
 
 
+def page_rows(rows: DataFrame) -> list:
+    """The rows of a page, in their order; too many for a page are an error, never cut."""
+    found = rows.limit(PAGE_ROWS + 1).collect()
+    if len(found) > PAGE_ROWS:
+        raise ValueError(f"more than {PAGE_ROWS} rows for a page: write the table as CSV or Parquet")
+    return found
+
+
 def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
     """CSV with a header; one file for summaries and sheets, several for tables that grow."""
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
@@ -95,7 +103,7 @@ def review_page(cards: DataFrame, audio: str = "audio") -> str:
     """Cards with player, texts and findings, each with empty choices of code and severity."""
     choices = lambda names: "".join(f"<option>{html.escape(n)}</option>" for n in ("", *names))
     out = [f"<p>{html.escape('; '.join(f'{k}: {v}' for k, v in (CODES | SEVERITIES).items()))}</p>"]
-    for card in cards.orderBy("first").limit(PAGE_ROWS).collect():
+    for card in page_rows(cards.orderBy("first")):
         rows = "".join(
             f'<li data-finding="{f.finding_id}">{f.position}. {html.escape(f.kind)}: {html.escape(f.expected)} &rarr; {html.escape(f.heard)}'
             f"<p>{html.escape(f.ref_excerpt)}</p><p>{html.escape(f.hyp_excerpt)}</p><select>{choices(CODES)}</select><select>{choices(SEVERITIES)}</select></li>"
@@ -109,7 +117,7 @@ def listen_page(chosen: DataFrame, findings: list[tuple[str, list[str]]], audio:
     """The spot-checked clips with player and transcript, and what the checks found."""
     flagged = dict(findings)
     out = []
-    for r in chosen.limit(PAGE_ROWS).collect():
+    for r in page_rows(chosen):
         note = f"<strong>{html.escape('; '.join(flagged[r.clip_id]))}</strong>" if r.clip_id in flagged else ""
         out.append(f'<section><h2>{html.escape(str(r.clip_id))}</h2>{note}<audio controls src="{html.escape(audio)}/{html.escape(str(r.clip_id))}.wav"></audio><p>{html.escape(r.transcript or "")}</p></section>')
     return _page(f"Spot listen: {len(out)} clips", "\n".join(out))
@@ -120,7 +128,7 @@ def integrity_report(outcome: dict, pairings: DataFrame) -> str:
     lines = ["# Integrity check", "", f"**Outcome: {'HALT' if outcome['halt'] else 'PASS'}**", "", f"- Clips checked: {outcome['checked']}", f"- Flagged: {outcome['flagged']} (halt above {MOST_FLAGGED})", f"- Suspicious pairings: {outcome['suspicious']}", f"- Expected repeated prompts: {outcome['expected']}", "", "## Flagged clips", ""]
     lines += [f"- `{clip}`: {'; '.join(reasons)}" for clip, reasons in outcome["findings"]] or ["None."]
     for verdict in ("suspicious", "expected"):
-        rows = pairings.filter(F.col("verdict") == verdict).orderBy("shape", "subject").limit(PAGE_ROWS).collect()
+        rows = page_rows(pairings.filter(F.col("verdict") == verdict).orderBy("shape", "subject"))
         lines += ["", f"## {verdict.capitalize()} pairings", "", *([f"- {r['shape']} ({r['clips']}): {', '.join(map(str, r['clip_ids']))}" for r in rows] or ["None."])]
     return "\n".join(lines) + "\n"
 

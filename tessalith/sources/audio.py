@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import wave
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,38 +76,73 @@ def read_audio(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", "content")
 
 
-def extract(archives: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(clip_id, content, archive, error) of the wanted members of tar.gz archives (path, content), as 16 kHz mono WAV.
+def opened(path: str, content: bytes | None):
+    """A file object over an archive: its bytes where they are given, else a stream from the store that its path names."""
+    if content is not None:
+        return io.BytesIO(bytes(content))
+    from urllib.parse import urlparse
+
+    import pyarrow.fs
+
+    parts = urlparse(path)
+    if parts.scheme in ("", "file"):
+        return pyarrow.fs.LocalFileSystem().open_input_stream(parts.path, compression=None)
+    fs, place = pyarrow.fs.FileSystem.from_uri(path)
+    return fs.open_input_stream(place, compression=None)
 
-    Each archive is read forward in one task.  The wanted keys (two path parts
-    each) go along with it, collected per archive by the (accent, split) in its
-    name, and it is left as soon as all are found; each key is taken once.
-    A broken archive gives one row with its error and the run goes on.
+
+def extract(archives: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(clip_id, content, archive, error) of the wanted members of tar.gz archives, as 16 kHz mono WAV.
+
+    ``archives`` has a path, and a content or not: without it the archive is
+    streamed from its store and only one member is in memory.  Each archive is
+    read forward in one task.  The wanted keys (two path parts each) go along
+    with it, collected per archive by the (accent, split) in its name, and it is
+    left as soon as all are found; each key is taken once.  A member that cannot
+    be read gives its clip a row with the error, and the members behind it are
+    read; an archive that breaks off gives one row with its error, and the
+    clips not yet found say so too.
     """
     name = F.element_at(F.split("path", "/"), -1)  # split_accent_shard.tar.gz
     wanted = members_wanted(manifest).join(manifest.select("clip_id", "split", "accent"), "clip_id").groupBy("split", "accent").agg(F.collect_list(F.struct("key", "clip_id")).alias("wanted"))
     named = archives.withColumn("split", F.regexp_extract(name, r"^([^_]+)_", 1)).withColumn("accent", F.regexp_extract(name, r"^[^_]+_(.+)_\d+\.tar\.gz$", 1))
+    content = F.col("content") if "content" in archives.columns else F.lit(None).cast("binary").alias("content")
+
+    def members(path: str, content: bytes | None, left: dict[str, str]) -> Iterator[tuple]:
+        missing = "not in the archive"
+        try:
+            with opened(path, content) as file, tarfile.open(fileobj=file, mode="r|gz") as archive:
+                for member in archive:
+                    if not left:
+                        break
+                    parts = member.name.strip().lstrip("/").split("/")
+                    clip = left.pop("/".join(parts[-2:]), None) if member.isfile() else None
+                    if clip is None:
+                        continue
+                    data = archive.extractfile(member).read()
+                    try:
+                        yield clip, wav_bytes(to_mono(*samples_of(data))), path, None
+                    except (wave.Error, EOFError, ValueError) as e:
+                        yield clip, None, path, f"{type(e).__name__}: {e}"
+        except (tarfile.TarError, OSError, EOFError, zlib.error) as e:
+            missing = f"{type(e).__name__}: {e}"
+            yield None, None, path, missing
+        for clip in left.values():
+            yield clip, None, path, missing
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content, wanted in zip(batch.path, batch.content, batch.wanted, strict=True):
-                left = {w["key"]: w["clip_id"] for w in wanted}
-                rows = []
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(bytes(content)), mode="r|gz") as archive:
-                        for member in archive:
-                            if not left:
-                                break
-                            parts = member.name.strip().lstrip("/").split("/")
-                            clip = left.pop("/".join(parts[-2:]), None) if member.isfile() else None
-                            if clip is not None:
-                                rows.append((clip, wav_bytes(to_mono(*samples_of(archive.extractfile(member).read()))), path, None))
-                except (tarfile.TarError, OSError, EOFError, wave.Error) as e:
-                    rows.append((None, None, path, f"{type(e).__name__}: {e}"))
-                rows += [(clip, None, path, "not in the archive") for clip in left.values()]
-                yield pd.DataFrame(rows, columns=["clip_id", "content", "archive", "error"])
-
-    return named.join(wanted, ["split", "accent"]).select("path", "content", "wanted").mapInPandas(read, "clip_id string, content binary, archive string, error string")
+                for row in members(path, content, {w["key"]: w["clip_id"] for w in wanted}):
+                    yield pd.DataFrame([row], columns=["clip_id", "content", "archive", "error"])
+
+    return named.join(wanted, ["split", "accent"]).select("path", content, "wanted").mapInPandas(read, "clip_id string, content binary, archive string, error string")
+
+
+def missing_audio(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """The manifest's rows without a sound file (path) named after them: what is still to be fetched."""
+    there = files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.wav$", "").alias("clip_id")).distinct()
+    return manifest.join(there, "clip_id", "left_anti")
 
 
 def total_bytes(archives: DataFrame, most: int = 8 * 1024**3) -> int:

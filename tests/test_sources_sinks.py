@@ -76,23 +76,26 @@ def test_archives(spark, tmp_path):
     def archive(name, members):
         with tarfile.open(tmp_path / name, "w:gz") as f:
             for path, samples in members.items():
-                data = au.wav_bytes(samples)
+                data = samples if isinstance(samples, bytes) else au.wav_bytes(samples)
                 info = tarfile.TarInfo(path)
                 info.size = len(data)
                 f.addfile(info, io.BytesIO(data))
 
-    archive("test_yoruba_0.tar.gz", {"data/intron/s1/a.wav": tone(1), "data/intron/s2/a.wav": tone(2), "data/intron/s3/b.wav": tone(1)})
+    archive("test_yoruba_0.tar.gz", {"data/intron/s1/bad.wav": b"RIFF no sound", "data/intron/s1/a.wav": tone(1), "data/intron/s2/a.wav": tone(2), "data/intron/s3/b.wav": tone(1)})
     (tmp_path / "test_igbo_0.tar.gz").write_bytes(b"not an archive")
-    rows = [("c1", "test", "yoruba", "/set/test/s1/a"), ("c2", "test", "yoruba", "/set/test/s2/a.wav"), ("c3", "test", "yoruba", "/set/test/s9/zz.wav"), ("c4", "test", "igbo", "/set/test/s1/a.wav")]
+    rows = [("c1", "test", "yoruba", "/set/test/s1/a"), ("c2", "test", "yoruba", "/set/test/s2/a.wav"), ("c3", "test", "yoruba", "/set/test/s9/zz.wav"), ("c4", "test", "igbo", "/set/test/s1/a.wav"), ("c5", "test", "yoruba", "/set/test/s1/bad.wav")]
     manifest = spark.createDataFrame(rows, "clip_id string, split string, accent string, path string")
     archives = spark.read.format("binaryFile").load(str(tmp_path / "*.tar.gz"))
     assert au.total_bytes(archives) > 0
     with pytest.raises(ValueError):
         au.total_bytes(archives, 10)
+    streamed = au.extract(archives.select("path"), manifest).collect()
     out = au.extract(archives, manifest).collect()
+    assert sorted(map(str, out)) == sorted(map(str, streamed))
     assert {r.clip_id: len(au.samples_of(bytes(r.content))[0]) for r in out if r.content is not None} == {"c1": 16_000, "c2": 32_000}
-    assert {(r.clip_id, r.error.split(":")[0]) for r in out if r.error} == {("c3", "not in the archive"), (None, "ReadError"), ("c4", "not in the archive")}
+    assert {(r.clip_id, r.error.split(":")[0]) for r in out if r.error} == {("c3", "not in the archive"), (None, "ReadError"), ("c4", "ReadError"), ("c5", "Error")}
     sinks.write_wavs(spark.createDataFrame([(r.clip_id, r.content) for r in out if r.content is not None], "clip_id string, content binary"), str(tmp_path / "wav"))
+    assert sorted(r.clip_id for r in au.missing_audio(manifest, au.read_audio(spark, str(tmp_path / "wav"))).collect()) == ["c3", "c4", "c5"]
     measured = {r.clip_id: r for r in au.measure(au.read_audio(spark, str(tmp_path / "wav"))).collect()}
     assert measured["c2"].seconds == 2 and measured["c1"].rms == pytest.approx(0.2 / 2**0.5, rel=0.01)
     assert [tuple(r) for r in tb.needed_archives(manifest).collect()] == [("igbo", "test"), ("yoruba", "test")]
@@ -142,3 +145,11 @@ def test_streaming_scores_each_answer_once(spark, tmp_path):
     rows = spark.read.parquet(out)
     assert rows.count() == 3 and rows.agg(F.sum("drug_correct")).first()[0] == 3
     assert CACHE.fieldNames()[0] == "clip_id"
+
+
+def test_a_page_is_never_cut(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "PAGE_ROWS", 2)
+    rows = spark.range(3)
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        sinks.page_rows(rows)
+    assert len(sinks.page_rows(spark.range(2))) == 2
