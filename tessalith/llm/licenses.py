@@ -15,7 +15,9 @@ reach ``LEAST`` only if the smaller bag has at least LEAST / (2 - LEAST) of the
 larger one's bigrams, so a segment meets only templates inside those size
 bounds; of these only those with which it has a bigram in common.
 
-The templates are a fixed list, sent to all workers (a few kilobytes).
+The templates are a fixed list, the short notices in this module and the full
+texts of the common licences in ``license_texts``; their bags of bigrams are
+sent to all workers (a megabyte).  The full texts are read on the driver only.
 
 Defined results.  Null and empty texts, and segments with fewer than two words,
 match nothing.  Of several segments that match a template the best one is
@@ -27,6 +29,7 @@ rows each give their rows; empty table: no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +84,17 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Proprietary": ("All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.", "All rights reserved."),
 }
 
+TEXTS = Path(__file__).resolve().parent / "license_texts"
+
+
+def all_templates() -> dict[str, tuple[str, ...]]:
+    """The notices, and behind them the full texts under the name of their file."""
+    out = dict(TEMPLATES)
+    for path in sorted(TEXTS.iterdir()):
+        out[path.name] = (*out.get(path.name, ()), path.read_text(encoding="utf-8"))
+    return out
+
+
 _NEWLINE = np.ones(256, np.uint8)
 _NEWLINE[10] = 0
 
@@ -167,6 +181,9 @@ class Templates:
         bounds = np.searchsorted(of[order], np.arange(len(self.size) + 1))
         for t, size in enumerate(self.size.tolist()):
             at, entry = places[bounds[t] : bounds[t + 1]], entries[bounds[t] : bounds[t + 1]]
+            # A run of the least length inside the bounds needs so many shared bigrams.
+            if not len(at) or np.bincount(runs.row[at]).max() * 2 < self.least * size * (1 + self.least / (2 - self.least)) - 1:
+                continue
             best = np.full(len(text), -1, np.int64)
             own = found[found[:, 1] == t]
             np.maximum.at(best, own[:, 0], own[:, 2])
@@ -208,7 +225,7 @@ class Templates:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, license, template, dice, begin, end (bytes of the lower-cased text) of the best segment for every template that matches."""
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates or TEMPLATES, least))
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates or all_templates(), least))
     own = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("t"))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 1. Random indexing.  Every word hashes into one of ``BUCKETS`` rows.  A row's
    index vector is a fixed sparse ternary vector; its context vector is the sum
    of the index vectors of the words within ``REACH`` places, over the whole
-   corpus.  The table has a fixed size (4 MB) however large the corpus: tasks
+   corpus.  The table has a fixed size (2 MB) however large the corpus: tasks
    add up their own texts, and the tables are summed in two steps of bounded
    groups.  Words are runs of letters and digits, or of symbols, case kept.
 2. Pooling.  A document is the mean and the spread of its words' vectors, and

@@ -77,3 +77,19 @@ def test_licences_in_several_paragraphs_and_short_notices(documents):
     for k in (0, 1, 4, 6):
         segment = rows[k][1].lower().encode()[found[k, "MIT"].begin : found[k, "MIT"].end].decode()
         assert bag(segment) == bag(MIT)
+
+
+def test_full_texts_inside_documents_are_found(documents):
+    import random
+
+    rng, templates = random.Random(3), lc.all_templates()
+    names = sorted(p.name for p in lc.TEXTS.iterdir())
+    rows = []
+    for k, name in enumerate(names):
+        words = templates[name][-1].split()
+        for _ in range(len(words) // 50):  # some words differ
+            words[rng.randrange(len(words))] = "changed"
+        rows += [(2 * k, f"{BODY}\n{templates[name][-1]}\n{BODY}"), (2 * k + 1, f"{BODY} " * 300 + " ".join(words) + f" {BODY}" * 300)]
+    got = {(r.doc_id, r.license): r.dice for r in lc.scan(documents(rows)).collect() if r.template == len(templates[r.license]) - 1}
+    for k, name in enumerate(names):
+        assert got[2 * k, name] >= 0.98 and got[2 * k + 1, name] >= 0.9, name
