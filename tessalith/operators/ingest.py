@@ -120,6 +120,18 @@ def within_cap(calls: DataFrame, cap: float = SPEND_CAP, order: str = "clip_id",
     return out.select(*calls.columns, F.when(done, F.col("__end.__spent")).otherwise(F.col("__spent")).alias("spent"), (~F.coalesce(done, F.lit(False))).alias("allowed"))
 
 
+#: Share of the clips that a provider must have answered: 395 of 400.
+COMPLETE = 0.9875
+
+
+def cache_gates(cache: DataFrame, clips: DataFrame, share: float = COMPLETE) -> DataFrame:
+    """By provider: answers, models, answers in other than ASCII, and whether at least ``share`` of the clips are answered."""
+    odd = F.col("text").rlike(r"[^\x00-\x7F]").cast("int")
+    counts = cache.groupBy("provider").agg(F.count("*").alias("answers"), F.countDistinct("model").alias("models"), F.sum(odd).alias("non_ascii"))
+    wanted = clips.agg((F.count("*") * F.lit(share)).alias("__wanted"))  # one row
+    return counts.crossJoin(F.broadcast(wanted)).withColumn("complete", F.col("answers") >= F.col("__wanted")).drop("__wanted")
+
+
 def run_summary(cache: DataFrame) -> DataFrame:
     """(provider, model, clips_ok, cost_usd, median_latency_ms, audio_hours), always from the cache, so a resumed run counts right."""
     return cache.groupBy("provider", "model").agg(F.countDistinct("clip_id").alias("clips_ok"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.round(F.median("latency_ms")).alias("median_latency_ms"), (F.sum("audio_seconds") / 3600).alias("audio_hours"))

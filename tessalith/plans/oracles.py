@@ -311,7 +311,7 @@ SELECT rule, subject, round(found::DOUBLE, 9) AS found, wanted::DOUBLE AS wanted
 SELECT provider, clip_id, round(CASE WHEN before >= last THEN stopped ELSE spent END, 6) AS spent, before < coalesce(last, before + 1) AS allowed FROM r LEFT JOIN e USING (provider)""",
     "run_summary": f"WITH {CACHE} SELECT provider, 'm' AS model, count(DISTINCT clip_id) AS clips_ok, round(sum(cost_usd), 4) AS cost_usd, round(median(latency_ms)) AS median_latency_ms, round(sum(audio_seconds) / 3600, 6) AS audio_hours FROM cache GROUP BY provider",
     "projected_cost": f"WITH {CLIPS_SQL}, m AS (SELECT sum(duration) / 60 AS minutes FROM clips) SELECT provider, round(minutes * price, 6) AS usd FROM m, (VALUES ('whisper', 0.0::DOUBLE), ('dg-general', 0.0077), ('dg-medical', 0.0077), ('aai', 0.0035), ('gemini', 0.0)) p(provider, price)",
-    "cache_gates": f"WITH {CACHE} SELECT provider, count(*) AS answers, 1::BIGINT AS models, count_if(strlen(hypothesis) <> length(hypothesis)) AS non_ascii FROM cache GROUP BY provider",
+    "cache_gates": f"WITH {CACHE} SELECT provider, count(*) AS answers, 1::BIGINT AS models, count_if(strlen(hypothesis) <> length(hypothesis)) AS non_ascii, count(*) >= (SELECT count(*) FROM clips) * 0.9875 AS complete FROM cache GROUP BY provider",
     "clips_per_speaker": f"WITH {CLIPS_SQL} SELECT clips, count(*) AS speakers FROM (SELECT speaker_id, count(*) AS clips FROM clips GROUP BY speaker_id) GROUP BY clips",
     "member_key_join": "WITH k AS (SELECT page_id, CASE WHEN ends_with(ltrim(trim(url), '/'), '.wav') THEN ltrim(trim(url), '/') ELSE concat(ltrim(trim(url), '/'), '.wav') END AS u FROM pages), p AS (SELECT page_id, array_to_string(list_slice(string_split(u, '/'), -2, -1), '/') AS key FROM k) SELECT key, (count(*) * count(*))::BIGINT AS pairs, min(page_id) AS first_page FROM p GROUP BY key",
     "secret_scan": f"SELECT doc_id, source FROM documents WHERE regexp_matches(text, '{SECRET.replace(chr(39), chr(39) * 2)}')",

@@ -469,9 +469,8 @@ def projected_cost(spark, sf_dir):
 
 @query
 def cache_gates(spark, sf_dir):
-    """By provider: answers, models, and answers in other than ASCII."""
-    odd = F.col("text").rlike(r"[^\x00-\x7F]").cast("int")
-    return _cache(spark, sf_dir).groupBy("provider").agg(F.count("*").alias("answers"), F.countDistinct("model").alias("models"), F.sum(odd).alias("non_ascii"))
+    """By provider: answers, models, answers in other than ASCII, and whether the cache is complete enough."""
+    return ingest.cache_gates(_cache(spark, sf_dir), fixture.clips(spark, sf_dir))
 
 
 @query

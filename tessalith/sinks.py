@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessalith.operators.integrity import MOST_FLAGGED
 from tessalith.schemas import MANIFEST
+from tessalith.sources import tables
 
 #: A page is put together on the driver, so it shows so many rows at most; a larger table is an error and belongs into a CSV or Parquet.
 PAGE_ROWS = 10_000
@@ -60,6 +62,22 @@ def write_lexicon(terms: DataFrame, path: str) -> None:
     terms.select(F.col(terms.columns[0]).alias("value")).distinct().orderBy("value").coalesce(1).write.mode("overwrite").text(path)
 
 
+def built_lexicon(spark: SparkSession, path: str, make: Callable[[], DataFrame], fallback: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """The lexicon under ``path``: read where it is there (unless ``force``), else made and written.
+
+    ``make`` asks a service for records; where that fails on the line, the terms of
+    ``fallback`` are taken, and without one it is an error.
+    """
+    if force or not tables.exists(spark, path):
+        try:
+            write_lexicon(make(), path)
+        except OSError:
+            if fallback is None:
+                raise
+            write_lexicon(fallback, path)
+    return tables.read_lexicon(spark, path)
+
+
 def append_cache(answers: DataFrame, path: str) -> None:
     """Answers as Parquet by provider: a rerun appends what was pending, and a reader prunes by provider."""
     answers.write.mode("append").partitionBy("provider").parquet(path)

@@ -153,3 +153,21 @@ def test_a_page_is_never_cut(spark, monkeypatch):
     with pytest.raises(ValueError, match="more than 2 rows"):
         sinks.page_rows(rows)
     assert len(sinks.page_rows(spark.range(2))) == 2
+
+
+def test_a_built_lexicon_is_read_again(spark, tmp_path):
+    terms = lambda *t: spark.createDataFrame([(x,) for x in t], "term string")
+    path, asked = str(tmp_path / "lexicon"), []
+
+    def make():
+        asked.append(1)
+        return terms("aspirin", "morphine")
+
+    def down():
+        raise ConnectionError("no line")
+
+    read = lambda *a, **k: sorted(r.term for r in sinks.built_lexicon(spark, path, *a, **k).collect())
+    assert read(make) == read(make) == ["aspirin", "morphine"] and len(asked) == 1
+    assert read(down, terms("codeine"), force=True) == ["codeine"]
+    with pytest.raises(ConnectionError):
+        sinks.built_lexicon(spark, path, down, force=True)
