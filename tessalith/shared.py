@@ -8,9 +8,12 @@ setting is needed.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -51,3 +54,20 @@ def removed(spark: SparkSession, *tables: DataFrame) -> None:
         for folder in folders:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store that a path's URI names, and the path in it; a plain path is local."""
+    if urlparse(uri).scheme:
+        return pyarrow.fs.FileSystem.from_uri(uri)
+    return pyarrow.fs.LocalFileSystem(), uri
+
+
+def put(uri: str, data: bytes) -> None:
+    """Write a file whole: under another name, then moved, so that a task that runs twice leaves one good file."""
+    fs, path = filesystem(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    draft = f"{path}.{os.getpid()}-{os.urandom(6).hex()}.draft"
+    with fs.open_output_stream(draft, compression=None) as out:
+        out.write(data)
+    fs.move(draft, path)

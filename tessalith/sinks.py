@@ -5,13 +5,13 @@ from __future__ import annotations
 import html
 import json
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessalith.operators.integrity import MOST_FLAGGED
 from tessalith.schemas import MANIFEST
+from tessalith.shared import put
 from tessalith.sources import tables
 
 #: A page is put together on the driver, so it shows so many rows at most; a larger table is an error and belongs into a CSV or Parquet.
@@ -84,33 +84,23 @@ def append_cache(answers: DataFrame, path: str) -> None:
 
 
 def store_json(root: str):
-    """A function that stores one answer as root/provider/clip.json, whole or not at all."""
+    """A function that stores one answer as root/provider/clip.json, whole or not at all, in whatever store ``root`` names."""
 
     def store(record: dict) -> None:
-        target = Path(root) / record["provider"] / f"{record['clip_id']}.json"
-        target.parent.mkdir(parents=True, exist_ok=True)
-        draft = target.with_suffix(".draft")
-        draft.write_text(json.dumps(record, indent=2))
-        draft.replace(target)
+        put(f"{root}/{record['provider']}/{record['clip_id']}.json", json.dumps(record, indent=2).encode())
 
     return store
 
 
 def write_wavs(clips: DataFrame, folder: str) -> None:
-    """WAV files (clip_id, content) into a shared folder, from the executors; a task that runs twice writes the same files."""
-
-    def put(rows) -> None:
-        import os
+    """WAV files (clip_id, content) into a folder of the store that its URI names, from the executors; a task that runs twice writes the same files."""
 
+    def write(rows) -> None:
         for r in rows:
             if r.content is not None:
-                os.makedirs(folder, exist_ok=True)
-                draft = f"{folder}/.{r.clip_id}.{os.getpid()}"
-                with open(draft, "wb") as f:
-                    f.write(bytes(r.content))
-                os.replace(draft, f"{folder}/{r.clip_id}.wav")
+                put(f"{folder}/{r.clip_id}.wav", bytes(r.content))
 
-    clips.select("clip_id", "content").foreachPartition(put)
+    clips.select("clip_id", "content").foreachPartition(write)
 
 
 def _page(title: str, body: str) -> str:

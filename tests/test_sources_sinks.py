@@ -171,3 +171,15 @@ def test_a_built_lexicon_is_read_again(spark, tmp_path):
     assert read(down, terms("codeine"), force=True) == ["codeine"]
     with pytest.raises(ConnectionError):
         sinks.built_lexicon(spark, path, down, force=True)
+
+
+def test_a_paged_service_is_read_page_by_page(spark):
+    from tessalith.sources import paged
+
+    records = paged.read_records(spark, "tests.paged_service:call", page=2, most=12)
+    assert records.count() == 7 and records.rdd.getNumPartitions() == 6
+    assert paged.read_records(spark, "tests.paged_service:flaky", page=2, most=12).count() == 5
+    generic, brand = paged.generic_and_brand_only(records)
+    assert {r.term for r in generic.collect()} == {"salt", *(f"drug{k}" for k in range(7))} and [r.term for r in brand.collect()] == ["brand"]
+    with pytest.raises(Exception, match="no record"):
+        paged.read_records(spark, "tests.paged_service:empty", page=2, most=4).count()
