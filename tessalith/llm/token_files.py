@@ -55,7 +55,7 @@ END_ID = 0
 #: The dictionary is trained on at most so many documents and bytes of ids of each.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8192, 64 << 10
 #: Distinct pieces whose ids a worker keeps (about 40 bytes each), and those in the young array.
-CACHE, YOUNG = 2_000_000, 200_000
+CACHE, YOUNG = 500_000, 100_000
 LAST_LATIN = "\u024f"
 #: Bytes of input that become one shard, about.
 SHARD_INPUT = 16 << 20
@@ -64,7 +64,7 @@ SHARD_BYTES, ROLLS = 64 << 20, 1_000_000
 #: Ranges of documents at most (each of several shards then), and keys that are drawn for a range to find their bounds.
 RANGES, KEYS_DRAWN = 20_000, 20
 #: Bytes of text that are encoded at once.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 LEVEL = 1
 
 def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
